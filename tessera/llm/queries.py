@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import matches
+from tessera.llm.html_text import main_text
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import taken
 from tessera.llm.near_dedup import near_duplicates
@@ -29,6 +31,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = main_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
@@ -41,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_near_dedup, op4_decontaminate, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_near_dedup, op4_decontaminate, op6_html_extraction, op8_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
