@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tessera.llm.chat import digests, format_chats
 from tessera.llm.decontaminate import matches
 from tessera.llm.html_text import main_text
+from tessera.llm.licences import licence_scan
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import taken
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.pii import replace_pii
 from tessera.llm.quality import quality_rules
 from tessera.llm.secrets import secret_scan
 
@@ -44,11 +46,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = main_text(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
@@ -65,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_near_dedup, op4_decontaminate, op6_html_extraction, op8_mixing, op9_secret_scans, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_near_dedup, op4_decontaminate, op5_licence_scans, op6_html_extraction, op7_pii, op8_mixing, op9_secret_scans, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
