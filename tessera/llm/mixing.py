@@ -25,6 +25,7 @@ SHARE = 1.5
 MOST_USES = 2
 BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
+TASK_SHARDS = 32
 SEED = 20240229
 #: One row per source goes to every task; more sources than this are refused rather than broadcast.
 MOST_SOURCES = 100_000
@@ -184,7 +185,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     got = np.zeros(len(rows), np.int64)
     for r in drawn.groupBy("no").agg(F.sum("n").alias("n")).collect():  # a row a source
         got[r["no"] - 1] = r["n"]
-    slots = drawn.repartition("shard").mapInPandas(_fill(Plan(plan.blocks, plan.wanted, got)), "shard long, no int, k long, block long")
+    # a shard is one short row here and thousands of slots afterwards, which Spark can't know: so many tasks, and no broadcast
+    tasks = max(1, -(-plan.shards // TASK_SHARDS))
+    slots = drawn.repartition(tasks, "shard").mapInPandas(_fill(Plan(plan.blocks, plan.wanted, got)), "shard long, no int, k long, block long")
 
     b = F.lit(BLOCK_WORDS)
     first, last = F.floor(F.col("off") / b), F.floor((F.col("off") + F.col("size") - 1) / b)
@@ -192,7 +195,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = F.greatest(F.col("block") * b - F.col("off"), F.lit(0))
     stop = F.least((F.col("block") + 1) * b - F.col("off"), F.col("size"))
     spans = spans.select("no", "block", "off", start.alias("first"), (stop - start).alias("words"))
-    pieces = slots.join(spans, ["no", "block"]).select("shard", F.col("k").alias("slot"), "no", "off", "first", "words")
+    pieces = slots.hint("merge").join(spans, ["no", "block"]).select("shard", F.col("k").alias("slot"), "no", "off", "first", "words")
     return documents.withColumnRenamed("id", id_col), pieces
 
 
