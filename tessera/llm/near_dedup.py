@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -98,14 +98,49 @@ def _verified(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; nodes: (id, text) of class representatives."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(nodes.join(wanted, "id", "left_semi").mapInPandas(_sets(k), "id long, items binary"), "sets")
+def _ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose full sets are similar, and the sets; nodes: (id, text) of class representatives."""
+    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    sets = cut(nodes.join(wanted, "id").mapInPandas(_sets(k), "id long, items binary"), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return cut(both.mapInPandas(_verified(num, den), "a long, b long"), "links")
+    return cut(both.mapInPandas(_verified(num, den), "a long, b long"), "links"), sets
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for i, items in zip(pdf["id"], pdf["items"], strict=True):
+            yield pd.DataFrame({"id": i, "h": np.frombuffer(items, np.int64)})
+
+
+def _crossed(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and two components that may be similar; open_: (key, id, n, label).
+
+    A shingle that no other open document has is shared with none. With c shingles that
+    others have, x shares at most c with y, so den * c >= num * (n_x + n_y - c) must hold:
+    y has at most ((den + num) * c) / num - n_x shingles, and at least num / den of c's
+    bound. Joining on the size as well as the bucket makes only the pairs inside both bounds.
+    """
+    members = cut(open_.select("id", "n").distinct(), "rest")
+    flat = sets.join(members.select("id"), "id").mapInPandas(_unpacked, "id long, h long")
+    alone = flat.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("u"))
+    most = F.floor(F.lit(num + den) * (F.col("n") - F.coalesce("u", F.lit(0))) / F.lit(num)) - F.col("n")
+    bound = members.join(cut(alone, "alone"), "id", "left").select("id", most.cast("long").alias("most"))
+    # no partner is smaller than num / den of the document either
+    bounded = cut(open_.join(cut(bound, "bounds"), "id").where(f"{den} * most >= {num} * n"), "bounded")
+    sizes = F.sequence(F.ceil(F.lit(num) * F.col("n") / F.lit(den)), F.least("most", "n"))
+    x = bounded.where("least(most, n) >= ceil(%d * n / %d)" % (num, den)).select("key", F.col("id").alias("i"), F.col("label").alias("li"), F.col("n").alias("ni"), F.explode(sizes).alias("n"))
+    return (
+        x.join(bounded, ["key", "n"])
+        .where("label <> li and ni <= most and (n < ni or id < i)")
+        .select(*_ordered("i", "id"))
+        .distinct()
+    )
 
 
 def near_duplicates(
@@ -117,10 +152,10 @@ def near_duplicates(
     (id = component_id), one row per input row.
 
     Equal sets form a class; only its smallest id is compared further. Members of a band
-    bucket are compared with the bucket's smallest id first. After these links are joined,
-    a bucket whose members still lie in several components goes on: every component's
-    smallest members are compared with all members of other components (rounds of 1, 8,
-    then all), until none is left uncompared. No bucket, however large, is cut short.
+    bucket are first compared with its pivot, the member that meets most others over all
+    buckets. After these links are joined, every pair of members of a bucket that still lie
+    in two components is compared too, unless the shingles that only one of them has rule it
+    out. No bucket, however large, is cut short.
 
     Null or blank text: no shingles, linked with nothing. Null id: linked with nothing,
     component null, kept. Rows that repeat an id stand for one document, linked through any
@@ -136,44 +171,29 @@ def near_duplicates(
 
     own = classes.select("lo", "hi", "n", F.col("rep").alias("id"))
     banded = named.join(own, ["id", "lo", "hi", "n"], "left_semi").dropDuplicates(["id", "lo", "hi"])
-    placed = banded.select(F.explode("bands").alias("key"), "id")
-    keys = cut(placed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where("m > 1"), "buckets")
-    shared = cut(placed.join(keys, "key").select("key", "id", "pivot", "m"), "placed")
+    placed = banded.select(F.explode("bands").alias("key"), "id", "n")
+    keys = cut(placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    shared = cut(placed.join(keys, "key"), "placed")
+    # the centre of a group meets more of it than a member at its rim does
+    company = cut(shared.groupBy("id").agg(F.sum("m").alias("met")), "company")
+    ranked = shared.join(company, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("back"))).alias("top"))
+    pivots = cut(ranked.select("key", (-F.col("top.back")).alias("pivot")), "pivots")
+    met = cut(shared.join(pivots, "key"), "met")
     nodes = rows.where("id is not null")
 
-    pairs = cut(
-        shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs"
-    )
-    links = _links(pairs, nodes, k, num, den)
+    pairs = cut(met.where("id <> pivot").select(*_ordered("pivot", "id")).distinct(), "pairs")
+    links, sets = _links(pairs, nodes, k, num, den)
     labels = components(edges.union(links))
-    open_ = shared.where("m > 2 and id <> pivot").select("key", "id")
-    for pivots in (1, 8, None):
-        joined = open_.join(labels, open_["id"] == labels["node"], "left").select(
-            "key", "id", F.coalesce("label", "id").alias("label")
-        )
-        spread = joined.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        left = cut(joined.join(spread.select("key"), "key", "left_semi"), "open")
-        if left.isEmpty():
-            break
-        if pivots is None:
-            head = left
-        else:
-            ranked = left.groupBy("key", "label").agg(F.min("id").alias("id")) if pivots == 1 else _least(left, pivots)
-            head = cut(ranked.select("key", "id", "label"), "heads")
-        h = head.select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-        crossed = (
-            left.join(h, "key")
-            .where("label <> la")
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-            .distinct()
-        )
-        crossed = cut(crossed.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = cut(links.union(_links(crossed, nodes, k, num, den)), "links")
-        pairs = cut(pairs.union(crossed), "pairs")
-        labels = components(edges.union(links))
-        if pivots is None:
-            break
-        open_ = left.join(head.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
+
+    # members of buckets that still lie in several components; pivots have met everyone in theirs
+    open_ = met.where("m > 2 and id <> pivot").select("key", "id", "n")
+    open_ = open_.join(labels, open_["id"] == labels["node"], "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    spread = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    open_ = cut(open_.join(cut(spread.select("key"), "split"), "key"), "open")
+    crossed = cut(_crossed(open_, sets, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not crossed.isEmpty():
+        more, _ = _links(crossed, nodes, k, num, den)
+        labels = components(edges.union(links).union(more))
     found = sketched.select("id", "n").join(labels, sketched["id"] == labels["node"], "left")
     comp = F.coalesce("label", "id")
     return found.select(
@@ -184,16 +204,6 @@ def near_duplicates(
     )
 
 
-def _least(left: DataFrame, n: int) -> DataFrame:
-    """The n smallest ids of each (key, label), by n partial aggregates rather than a sort of whole groups."""
-    rest, out = left, None
-    for _ in range(n):
-        least = cut(rest.groupBy("key", "label").agg(F.min("id").alias("id")), "heads")
-        out = least if out is None else out.union(least)
-        rest = rest.join(least, ["key", "label", "id"], "left_anti")
-    return out
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """The rows of ``docs``, with their columns, whose document is kept; rows that repeat an id stay together."""
     kept = near_duplicates(docs, id_col, text_col, k).where("kept").select(F.col(id_col).alias("__ok")).distinct()
