@@ -11,7 +11,7 @@ from __future__ import annotations
 import random
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +101,8 @@ OTHER = (
 )
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
-FEATURES = 1 << 15
+#: Words and pairs that the training rows hold in so many rows; others have no weight, so unseen text says nothing.
+FEATURES, LEAST_ROWS = 1 << 14, 4
 #: Training rows a template, of which one in HELD_OUT calibrates; unknown rows in all. These bound the fit.
 VARIANTS, UNKNOWN_ROWS, HELD_OUT = 24, 1200, 5
 #: Share of unlicensed held-out rows that may pass the limit; share of a template's word pairs that a paragraph must hold.
@@ -155,19 +156,21 @@ def pairs(w: Column) -> Column:
     return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def featured(rows: DataFrame, text: str) -> DataFrame:
-    grams = rows.withColumn("w", tokens(F.col(text))).withColumn("p", pairs(F.col("w"))).withColumn("g", F.concat("w", "p"))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="g", outputCol="features").transform(grams)
+def grams(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with p (word pairs) and g (words and pairs)."""
+    return rows.withColumn("__w", tokens(F.col(text))).withColumn("p", pairs(F.col("__w"))).withColumn("g", F.concat("__w", "p")).drop("__w")
 
 
-def fit(spark: SparkSession) -> tuple[LogisticRegressionModel, float]:
-    """The model, and the least probability of a family that is believed."""
-    rows = spark.createDataFrame(training_rows(), "text string, label int, held boolean")
-    rows = cut(featured(rows, "text").select("features", F.col("label").cast("double").alias("label"), "held"), "training")
-    model = LogisticRegression(family="multinomial", elasticNetParam=0.9, regParam=3e-4, maxIter=60).fit(rows.where("not held"))
+def fit(spark: SparkSession) -> tuple[CountVectorizerModel, LogisticRegressionModel, float]:
+    """Vocabulary, model, and the least probability of a family that is believed."""
+    rows = spark.createDataFrame(training_rows(), "text string, label int, held boolean").coalesce(2)
+    rows = cut(grams(rows, "text").select("g", F.col("label").cast("double").alias("label"), "held"), "training")
+    vocabulary = CountVectorizer(inputCol="g", outputCol="features", binary=True, vocabSize=FEATURES, minDF=LEAST_ROWS).fit(rows.where("not held"))
+    rows = vocabulary.transform(rows)
+    model = LogisticRegression(family="multinomial", elasticNetParam=0.9, regParam=3e-4, maxIter=40).fit(rows.where("not held"))
     best = model.transform(rows.where("held and label = 0")).select(known(F.col("probability"))["p"].alias("p"))
     limit = best.agg(F.percentile("p", 1 - FALSE_SHARE)).first()[0]
-    return model, min(0.9, max(0.5, limit))
+    return vocabulary, model, min(0.9, max(0.5, limit))
 
 
 def known(probability: Column) -> Column:
@@ -188,9 +191,9 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table: empty result. Other columns are not read, whatever they are called.
     """
     spark = docs.sparkSession
-    model, limit = fit(spark)
+    vocabulary, model, limit = fit(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "text"))
-    scored = model.transform(featured(rows.where("trim(text) <> ''"), "text")).withColumn("best", known(F.col("probability")))
+    scored = model.transform(vocabulary.transform(grams(rows.where("trim(text) <> ''"), "text"))).withColumn("best", known(F.col("probability")))
     found = scored.where((F.col("best.p") >= limit) & (F.col("prediction") > 0)).select("id", "paragraph", "p", "best")
     share = None
     for label, family in enumerate(FAMILIES):
