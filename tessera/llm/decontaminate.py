@@ -119,7 +119,7 @@ def matches(
     # windows: their shingles with weights; shingles that no item has weigh as much as the rarest
     w = F.slice(F.col("w"), F.col("start") + 1, F.col("n"))
     texts = rows.select(F.col("id"), F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["id", "text_hash"])
-    cut_out = laid.join(texts, ["id", "text_hash"]).withColumn("w", words(F.lower(F.col("text"))))
+    cut_out = laid.hint("merge").join(texts, ["id", "text_hash"]).withColumn("w", words(F.lower(F.col("text"))))
     windows = cut_out.select("id", "text_hash", "k", "n", "start", w.alias("w"))
     hashes = F.coalesce(*[F.when(F.col("k") == j, shingle_hashes(F.col("w"), j)) for j in sizes])
     windows = cut(
@@ -185,4 +185,4 @@ def matches(
 def clean_of(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, whose document matches no benchmark item."""
     bad = cut(matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__bad")).distinct(), "leaks")
-    return docs.join(bad, docs[id_col].cast("long") == bad["__bad"], "left_anti")
+    return docs.join(bad.hint("merge"), docs[id_col].cast("long") == bad["__bad"], "left_anti")

@@ -142,8 +142,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.collect_set("at").alias("gone"))
     )
     gone = cut(gone, "gone").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
+    # texts move by id at every size; a broadcast while there is little to delete would only hide that
     joined = docs.join(
-        gone, (docs[id_col].cast("long") == gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left"
+        gone.hint("merge"), (docs[id_col].cast("long") == gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left"
     )
     text = docs[text_col]
     joined = joined.withColumn("__lines", _lines(text))

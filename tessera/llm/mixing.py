@@ -220,7 +220,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = documents.where("size > 0").select(F.col(id_col).alias("__id"), "source", "no", "off", "size")
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), n_words(F.col(text_col)).alias("size"), F.col(text_col).alias("__text"))
     texts = texts.groupBy("__id", "size").agg(F.min("__text").alias("__text"))
-    held = keyed.join(texts, ["__id", "size"]).withColumn("w", words(F.col("__text")))
+    held = keyed.hint("merge").join(texts, ["__id", "size"]).withColumn("w", words(F.col("__text")))
     piece = F.slice("w", F.col("first").cast("int") + 1, F.col("words").cast("int"))
     joined = pieces.join(held, ["no", "off"]).select(
         "shard", "slot", "no", "source", F.struct("off", F.col("__id").alias("id"), "words", F.array_join(piece, " ").alias("t")).alias("p")

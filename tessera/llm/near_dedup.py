@@ -105,7 +105,7 @@ def _ordered(x: str, y: str) -> tuple[Column, Column]:
 def _links(pairs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) whose full sets are similar, and the sets; nodes: (id, text) of class representatives."""
     wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    sets = cut(nodes.join(wanted, "id").mapInPandas(_sets(k), "id long, items binary"), "sets")
+    sets = cut(nodes.join(wanted.hint("merge"), "id").mapInPandas(_sets(k), "id long, items binary"), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -207,4 +207,4 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """The rows of ``docs``, with their columns, whose document is kept; rows that repeat an id stay together."""
     kept = near_duplicates(docs, id_col, text_col, k).where("kept").select(F.col(id_col).alias("__ok")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__ok"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col].cast("long").eqNullSafe(kept["__ok"]), "left_semi")

@@ -184,7 +184,7 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     written = cut(written, "written")
     inside = flat.join(written, "value").groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("s"))
     inside = cut(inside.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("s.new").alias("__new")), "replacements")
-    joined = docs.join(inside, docs[id_col].eqNullSafe(inside["__id"]) & (F.xxhash64(docs[text_col]) == inside["__hash"]), "left")
+    joined = docs.join(inside.hint("merge"), docs[id_col].eqNullSafe(inside["__id"]) & (F.xxhash64(docs[text_col]) == inside["__hash"]), "left")
     pieces = F.split(docs[text_col], ANY_NUMBERED, -1)
     put = F.array_join(F.flatten(F.zip_with(pieces, F.col("__new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     return joined.select(

@@ -150,4 +150,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     its rows passes. Rows without an id go when no row without an id passes.
     """
     good = quality_rules(docs, id_col, text_col, host_col).where("kept").select(F.col(id_col).alias("__ok")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(good["__ok"]), "left_semi")
+    return docs.join(good.hint("merge"), docs[id_col].eqNullSafe(good["__ok"]), "left_semi")
