@@ -1,0 +1,123 @@
+"""Backtests: entry and exit conditions turned into trades, per symbol and for an account.
+
+A position depends on the one before it, so a symbol's bars (or an account's candidates) run
+through one task in order; symbols and parameter sets are what runs side by side.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions.windows import safe_div
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Costs are shares of value; a position is left after most_bars, at a loss of stop or a gain of target."""
+
+    cost: float = 0.001
+    most_bars: int = 20
+    stop: float | None = 0.1
+    target: float | None = None
+
+
+TRADES = "symbol string, entry_date date, exit_date date, entry_price double, exit_price double, bars int, reason string, ret double"
+
+
+def _trades(pdf: pd.DataFrame, rules: Rules) -> pd.DataFrame:
+    pdf = pdf.sort_values("date", kind="stable")
+    out, held = [], None
+    for symbol, date, open_, close, enter, leave in zip(pdf["symbol"], pdf["date"], pdf["open"], pdf["close"], pdf["entry"].shift(1), pdf["exit"].shift(1), strict=True):
+        if held is not None:
+            since, price, bars = held[0], held[1], held[2] + 1
+            gain = close / price - 1
+            if leave is True:
+                at, why = open_, "exit"
+            elif rules.stop is not None and gain <= -rules.stop:
+                at, why = close, "stop"
+            elif rules.target is not None and gain >= rules.target:
+                at, why = close, "target"
+            elif bars >= rules.most_bars:
+                at, why = close, "time"
+            else:
+                held = (since, price, bars)
+                continue
+            out.append((symbol, since, date, price, at, bars, why, at * (1 - rules.cost) / (price * (1 + rules.cost)) - 1))
+            held = None
+        elif enter is True:
+            held = (date, open_, 0)
+    return pd.DataFrame(out, columns=[x.split()[0] for x in TRADES.split(", ")])
+
+
+def trades(panel: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """Closed trades of each symbol; panel: symbol, date, open, close, entry, exit. Conditions of a bar act at the next open."""
+    columns = panel.select("symbol", "date", "open", "close", F.coalesce("entry", F.lit(False)).alias("entry"), F.coalesce("exit", F.lit(False)).alias("exit"))
+    return columns.groupBy("symbol").applyInPandas(lambda pdf: _trades(pdf, rules), TRADES)
+
+
+def trade_stats(closed: DataFrame, *by: str) -> DataFrame:
+    """Number, share of wins, mean, profit factor and longest holding of trades."""
+    gains, losses = F.sum(F.greatest("ret", F.lit(0.0))), -F.sum(F.least("ret", F.lit(0.0)))
+    return closed.groupBy(*by).agg(
+        F.count("*").alias("trades"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.avg("ret").alias("mean_ret"), safe_div(gains, losses).alias("profit_factor"), F.max("bars").alias("longest")
+    )
+
+
+ACCOUNT = "scenario string, date date, equity double, positions int"
+
+
+def account(closed: DataFrame, slots: int, scenario: str = "base") -> DataFrame:
+    """Equity of an account that gives each trade one of ``slots`` equal parts while one is free, per exit date.
+
+    closed may hold a column scenario: scenarios run side by side.
+    """
+    rows = closed if "scenario" in closed.columns else closed.withColumn("scenario", F.lit(scenario))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cash, open_, out = 1.0, [], []
+        for t in pdf.sort_values(["entry_date", "symbol"], kind="stable").itertuples():
+            for x in sorted([x for x in open_ if x[0] <= t.entry_date], key=lambda x: (x[0], x[3])):
+                cash += x[1] * (1 + x[2])
+                open_.remove(x)
+                out.append((x[0], cash + sum(y[1] for y in open_), len(open_)))
+            if len(open_) < slots:
+                part = cash / (slots - len(open_))
+                cash -= part
+                open_.append((t.exit_date, part, t.ret, t.symbol))
+        for x in sorted(open_, key=lambda x: (x[0], x[3])):
+            cash += x[1] * (1 + x[2])
+            open_.remove(x)
+            out.append((x[0], cash + sum(y[1] for y in open_), len(open_)))
+        frame = pd.DataFrame(out, columns=["date", "equity", "positions"]).groupby("date", as_index=False).last()
+        frame.insert(0, "scenario", pdf["scenario"].iloc[0])
+        return frame
+
+    return rows.groupBy("scenario").applyInPandas(run, ACCOUNT)
+
+
+def grid(panel: DataFrame, rule_sets: dict[str, Rules]) -> DataFrame:
+    """Trades of every rule set, with a column scenario; sets are rows, so they run side by side."""
+    out = None
+    for name, rules in rule_sets.items():
+        one = trades(panel, rules).withColumn("scenario", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def walk_forward(closed: DataFrame, train: int, test: int) -> DataFrame:
+    """Per fold: the scenario with the best mean return over ``train`` months, and its mean over the ``test`` months after them."""
+    month = F.year("entry_date") * 12 + F.month("entry_date")
+    rows = closed.withColumn("m", month)
+    first = rows.agg(F.min("m").alias("m0"))
+    folded = rows.crossJoin(F.broadcast(first)).withColumn("i", F.col("m") - F.col("m0"))  # one row on the right
+    fold = F.explode(F.sequence(F.greatest(F.floor((F.col("i") - train - test) / test) + 1, F.lit(0)), F.floor(F.col("i") / test)))
+    placed = folded.withColumn("fold", fold).withColumn("at", F.col("i") - F.col("fold") * test).where(f"at < {train + test}")
+    sums = placed.groupBy("fold", "scenario").agg(
+        F.avg(F.when(F.col("at") < train, F.col("ret"))).alias("train_ret"), F.avg(F.when(F.col("at") >= train, F.col("ret"))).alias("test_ret")
+    )
+    w = Window.partitionBy("fold").orderBy(F.col("train_ret").desc_nulls_last(), "scenario")
+    return sums.withColumn("n", F.row_number().over(w)).where("n = 1 and test_ret is not null").drop("n")
