@@ -118,14 +118,15 @@ def matches(
 
     # windows: their shingles with weights; shingles that no item has weigh as much as the rarest
     w = F.slice(F.col("w"), F.col("start") + 1, F.col("n"))
-    texts = rows.select(F.col("id"), F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["id", "text_hash"])
+    texts = rows.select(F.col("id"), F.xxhash64("text").alias("text_hash"), "text")
     cut_out = laid.hint("merge").join(texts, ["id", "text_hash"]).withColumn("w", words(F.lower(F.col("text"))))
     windows = cut_out.select("id", "text_hash", "k", "n", "start", w.alias("w"))
     hashes = F.coalesce(*[F.when(F.col("k") == j, shingle_hashes(F.col("w"), j)) for j in sizes])
     windows = cut(
         windows.select("id", "text_hash", "k", "n", "start", F.size("w").alias("n_words"), hashes.alias("hashes"))
         .where("hashes is not null")
-        .withColumn("win", F.xxhash64("id", "text_hash", "k", "n", "start")),
+        .withColumn("win", F.xxhash64("id", "text_hash", "k", "n", "start"))
+        .dropDuplicates(["win"]),
         "windows",
     )
     flat = windows.select("win", "k", F.explode("hashes").alias("h"))
