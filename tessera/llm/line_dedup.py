@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents that share an anchor line (long, or rare) are paired with the first document that
-holds it; each pair is aligned by patience diff on line hashes, and aligned blocks of enough
-words leave the later document. Pairing with the first holder keeps the work in proportion
-to the lines, however many documents share one.
+A line is rare when it has BLOCK_WORDS words; a shorter one is taken together with the lines
+after it until they have as many. Documents that share such a hash are paired with the first
+document that holds it; each pair is aligned by patience diff on line hashes, and aligned
+blocks of BLOCK_WORDS words leave the later document. Every block that long begins with a
+rare hash, so none is without a pair; and pairing with the first holder keeps the work in
+proportion to the lines, however many documents share one.
 """
 
 from __future__ import annotations
@@ -12,23 +14,24 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import SPACES, cut
+from tessera.llm.shingles import GOLDEN, mix64
 
-#: A line of so many words is an anchor whatever its frequency.
-LONG_LINE = 20
-#: A shorter line, of RARE_WORDS or more, is an anchor if at most RARE_DOCS documents hold it.
-RARE_WORDS, RARE_DOCS = 4, 100
 #: An aligned block leaves the later document if it has so many words.
 BLOCK_WORDS = 20
 TRIMMED = " \t\n\x0b\x0c\r"
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Matched positions (i, j) of two sequences, rising in both: ends first, then lines that are unique on both sides."""
+    """Matched positions (i, j) of two sequences, rising in both: ends first, then lines that are unique on both sides.
+
+    Where no common line is unique, the n-th standing of a line in a is matched with its n-th in b.
+    """
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, ie, j, je = todo.pop()
@@ -43,6 +46,16 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[i:ie]), Counter(b[j:je])
         where = {x: p for p, x in enumerate(b[j:je], j) if in_b[x] == 1}
         both = [(p, where[x]) for p, x in enumerate(a[i:ie], i) if in_a[x] == 1 and x in where]
+        if not both:
+            seen, numbered = Counter(), {}
+            for p in range(j, je):
+                numbered[b[p], seen[b[p]]] = p
+                seen[b[p]] += 1
+            seen = Counter()
+            for p in range(i, ie):
+                if (q := numbered.get((a[p], seen[a[p]]))) is not None:
+                    both.append((p, q))
+                seen[a[p]] += 1
         if not both:
             continue
         tails: list[int] = []  # positions in `both` that end the best rising run of each length
@@ -90,6 +103,35 @@ def common_lines(a: list[int], b: list[int], weight: list[int], least: int) -> l
     return sorted(gone)
 
 
+#: GOLDEN * INVERSE is 1 modulo 2**64.
+INVERSE = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
+
+
+def _powers(x: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(min(n, 1), np.uint64), np.full(max(n - 1, 0), x))))
+
+
+def rare_hashes(seq: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """For each line with words, the hash of the shortest run of lines from it on that has ``least`` words; distinct, sorted."""
+    n = len(seq)
+    total = np.concatenate(([0], np.cumsum(words)))
+    stop = np.searchsorted(total, total[:-1] + least)
+    start = np.flatnonzero((stop <= n) & (words > 0))
+    stop = stop[start]
+    with np.errstate(over="ignore"):
+        # the sum of line p's hash times GOLDEN**p; a run's is the difference, divided by the power of its first line
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(mix64(seq.view(np.uint64)) * _powers(GOLDEN, n))))
+        runs = (sums[stop] - sums[start]) * _powers(INVERSE, n)[start]
+    return np.unique(mix64(runs + stop.astype(np.uint64) - start.astype(np.uint64)).view(np.int64))
+
+
+def _rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        found = [rare_hashes(np.asarray(s, np.int64), np.asarray(w, np.int64), BLOCK_WORDS) for s, w in zip(pdf["seq"], pdf["words"], strict=True)]
+        ids = np.repeat(pdf["id"].to_numpy(), [len(x) for x in found])
+        yield pd.DataFrame({"id": ids, "rare": np.concatenate(found) if found else np.empty(0, np.int64)})
+
+
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         gone = [
@@ -111,7 +153,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null text: stays null, with 0 lines. Null id: the row is left alone. Rows that repeat an
     id are one document: they are not compared with each other, and each loses what it
-    shares with earlier ids. Empty table: empty result. All columns of ``docs`` are kept
+    shares with earlier ids. Lines are aligned as patience diff does it, so a block that crosses
+    a longer alignment is found in a later round, or not if no round aligns it. Empty table: empty result. All columns of ``docs`` are kept
     under their names, except that earlier columns n_lines and n_removed are replaced.
     """
     docs = docs.drop(*({"n_lines", "n_removed"} & set(docs.columns)))
@@ -122,16 +165,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     seqs = cut(rows.select("id", F.xxhash64("text").alias("text_hash"), line_hash.alias("seq"), n_words.alias("words")), "lines")
-    lines = seqs.select("id", F.explode(F.array_distinct(F.arrays_zip("seq", "words"))).alias("x")).select(
-        "id", F.col("x.seq").alias("line"), F.col("x.words").alias("words")
-    ).where(f"words >= {RARE_WORDS}")
-    anchors = (
-        lines.groupBy("line")
-        .agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.max("words").alias("words"))
-        .where(f"docs > 1 and (words >= {LONG_LINE} or docs <= {RARE_DOCS})")
-    )
-    anchors = cut(anchors.select("line", "first"), "anchors")
-    pairs = cut(lines.join(anchors, "line").where("id <> first").select("first", "id").distinct(), "pairs")
+    rare = seqs.select("id", "seq", "words").mapInPandas(_rare, "id long, rare long")
+    rare = cut(rare.groupBy("rare", "id").agg(F.lit(1).alias("one")).select("rare", "id"), "rare")
+    anchors = rare.groupBy("rare").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where("docs > 1").select("rare", "first")
+    pairs = cut(rare.join(cut(anchors, "anchors"), "rare").where("id <> first").select("first", "id").distinct(), "pairs")
     earlier = seqs.select(F.col("id").alias("first"), F.col("seq").alias("a"))
     later = seqs.select("id", "text_hash", F.col("seq").alias("b"), "words")
     both = pairs.join(earlier, "first").join(later, "id").select("id", "text_hash", "a", "b", "words")
