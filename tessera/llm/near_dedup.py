@@ -112,33 +112,54 @@ def _links(pairs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> tu
     return cut(both.mapInPandas(_verified(num, den), "a long, b long"), "links"), sets
 
 
-def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for i, items in zip(pdf["id"], pdf["items"], strict=True):
-            yield pd.DataFrame({"id": i, "h": np.frombuffer(items, np.int64)})
+        d = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True) for x, y in zip(pdf["items"], pdf["pivot_items"], strict=True)]
+        out = pdf[["pivot", "id", "label", "n"]].copy()
+        out["pn"], out["m"], out["d"] = [len(y) // 8 for y in pdf["pivot_items"]], [len(x) for x in d], d
+        yield out
 
 
 def _crossed(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components that may be similar; open_: (key, id, n, label).
+    """Pairs (a, b) with one pivot and two components that may be similar; open_: (pivot, id, n, label).
 
-    A shingle that no other open document has is shared with none. With c shingles that
-    others have, x shares at most c with y, so den * c >= num * (n_x + n_y - c) must hold:
-    y has at most ((den + num) * c) / num - n_x shingles, and at least num / den of c's
-    bound. Joining on the size as well as the bucket makes only the pairs inside both bounds.
+    D(x), the shingles that only one of x and the pivot p has, tells all about a pair: x and y
+    differ in as many shingles as D(x) and D(y) do. With c = (den - num) / (den + num) they
+    are similar when these are at most c * (n_x + n_y), that is when D(x) and D(y) share
+    t = (|D(x)| + |D(y)| - c * (n_x + n_y)) / 2. At most one component is p's, so one of the
+    two, the far one, is not similar to p: |D| > c * (n + n_p). Hence t > 0, and by what
+    is known of one side alone
+
+        2t >= |D| + c * (n_p - n)     if the other side is far,
+        2t >= |D| - c * (n_p + n)     for the far side, if the other is near p.
+
+    With D sorted by frequency among the pivot's documents, similar pairs share one of the
+    first |D| - t + 1. A shingle that one component alone has is shared with no other.
     """
-    members = cut(open_.select("id", "n").distinct(), "rest")
-    flat = sets.join(members.select("id"), "id").mapInPandas(_unpacked, "id long, h long")
-    alone = flat.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("u"))
-    most = F.floor(F.lit(num + den) * (F.col("n") - F.coalesce("u", F.lit(0))) / F.lit(num)) - F.col("n")
-    bound = members.join(cut(alone, "alone"), "id", "left").select("id", most.cast("long").alias("most"))
-    # no partner is smaller than num / den of the document either
-    bounded = cut(open_.join(cut(bound, "bounds"), "id").where(f"{den} * most >= {num} * n"), "bounded")
-    sizes = F.sequence(F.ceil(F.lit(num) * F.col("n") / F.lit(den)), F.least("most", "n"))
-    x = bounded.where("least(most, n) >= ceil(%d * n / %d)" % (num, den)).select("key", F.col("id").alias("i"), F.col("label").alias("li"), F.col("n").alias("ni"), F.explode(sizes).alias("n"))
+    up, down = den + num, den - num
+    pivot_sets = sets.select(F.col("id").alias("pivot"), F.col("items").alias("pivot_items"))
+    kind = "pivot long, id long, label long, n long, pn long, m long, d array<long>"
+    diffs = cut(open_.join(sets, "id").join(pivot_sets, "pivot").select("pivot", "id", "label", "n", "items", "pivot_items").mapInPandas(_differences, kind), "differences")
+    flat = diffs.select("pivot", "id", "label", F.explode("d").alias("h"))
+    common = flat.groupBy("pivot", "h").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("pivot", "h", "df")
+    ranked = flat.select("pivot", "id", "h").join(cut(common, "common"), ["pivot", "h"]).groupBy("pivot", "id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    sized = diffs.select("pivot", "id", "label", "n", "pn", "m").join(cut(ranked, "ranked"), ["pivot", "id"])
+    first = lambda twice_t: F.col("m") + 1 - F.greatest(F.lit(1), F.ceil(twice_t / F.lit(2 * up)))
+    sized = sized.withColumns({
+        "far": F.lit(up) * F.col("m") > F.lit(down) * (F.col("n") + F.col("pn")),
+        "to_far": first(F.lit(up) * F.col("m") + F.lit(down) * (F.col("pn") - F.col("n"))),
+        "to_near": first(F.lit(up) * F.col("m") - F.lit(down) * (F.col("pn") + F.col("n"))),
+    })
+    placed = sized.select("pivot", "id", "label", "n", "m", "far", "to_far", "to_near", F.posexplode("s").alias("i", "e"), (F.col("m") - F.size("s")).alias("alone"))
+    placed = placed.withColumn("left", F.col("m") - F.col("alone") - F.col("i")).withColumn("at", F.col("alone") + F.col("i")).withColumn("h", F.col("e.h"))
+    placed = cut(placed.where("at < to_far or (far and at < to_near)").drop("i", "e", "alone"), "prefixes")
+    x = placed.where("far").select("pivot", "h", *[F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "m", "at", "left", "to_far", "to_near")])
+    y = placed.where("at < to_far")
     return (
-        x.join(bounded, ["key", "n"])
-        .where("label <> li and ni <= most and (n < ni or id < i)")
-        .select(*_ordered("i", "id"))
+        x.join(y, ["pivot", "h"])
+        .where("x_label <> label and if(far, x_at < x_to_far and x_id < id, x_at < x_to_near)")
+        .where(f"{2 * up} * least(x_left, left) >= {up} * (x_m + m) - {down} * (x_n + n)")
+        .select(*_ordered("x_id", "id"))
         .distinct()
     )
 
@@ -154,8 +175,8 @@ def near_duplicates(
     Equal sets form a class; only its smallest id is compared further. Members of a band
     bucket are first compared with its pivot, the member that meets most others over all
     buckets. After these links are joined, every pair of members of a bucket that still lie
-    in two components is compared too, unless the shingles that only one of them has rule it
-    out. No bucket, however large, is cut short.
+    in two components is compared too, unless their differences from the pivot rule it out.
+    No bucket, however large, is cut short.
 
     Null or blank text: no shingles, linked with nothing. Null id: linked with nothing,
     component null, kept. Rows that repeat an id stand for one document, linked through any
@@ -186,10 +207,11 @@ def near_duplicates(
     labels = components(edges.union(links))
 
     # members of buckets that still lie in several components; pivots have met everyone in theirs
-    open_ = met.where("m > 2 and id <> pivot").select("key", "id", "n")
-    open_ = open_.join(labels, open_["id"] == labels["node"], "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    spread = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    open_ = cut(open_.join(cut(spread.select("key"), "split"), "key"), "open")
+    open_ = met.where("m > 2 and id <> pivot").select("pivot", "id", "n").distinct()
+    open_ = open_.join(labels, open_["id"] == labels["node"], "left").select("pivot", "id", "n", F.coalesce("label", "id").alias("label"))
+    open_ = cut(open_, "unsettled")
+    spread = open_.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    open_ = cut(open_.join(cut(spread.select("pivot"), "split"), "pivot"), "open")
     crossed = cut(_crossed(open_, sets, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not crossed.isEmpty():
         more, _ = _links(crossed, nodes, k, num, den)
