@@ -127,7 +127,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _fill(plan: Plan):
-    """Slot rows: (shard, slot, no, block).
+    """Slot rows: (shard, no, slot, block); a slot is numbered among those of its source.
 
     Multinomial draws miss the wanted counts by chance. The draws of a source beyond its
     count pass, in order, to the sources that fell short, so every count comes out whole.
@@ -149,20 +149,20 @@ def _fill(plan: Plan):
                     i[extra] = to
                 size = plan.blocks[i]
                 key = mix64((i + 1).astype(np.uint64) * np.uint64(1_000_003) + (k // size).astype(np.uint64) + np.uint64(SEED))
-                yield pd.DataFrame({"shard": shard, "no": i.astype(np.int32) + 1, "k": k, "block": permuted(k % size, size, key)})
+                yield pd.DataFrame({"shard": shard, "no": i.astype(np.int32) + 1, "slot": k, "block": permuted(k % size, size, key)})
 
     return run
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The mix of all ``docs``: (documents, pieces).
+    """The mix of all ``docs``: (documents, slots).
 
-    documents: one row per input row: id_col, source, no, size, source_size, target, off.
-    pieces: one row per slot and document in its block: shard, slot, no, off, first, words,
-    where a piece is ``words`` words of the document of (no, off) from word ``first`` on.
+    documents: one row per input row: id_col, source, no, size, source_size, target, off; a
+    source's words run from 0 on, and a document's from off on.
+    slots: shard, slot, no, block: slot of the shard holds that block of the source's words.
 
     Null or blank text: size 0, never taken. Null source: a source of its own, last. Null
-    ids and repeated rows are rows like others. Empty table, or no words at all: no pieces.
+    ids and repeated rows are rows like others. Empty table, or no words at all: no slots.
     The result depends on ids, sources, sizes and SEED alone, not on partitions.
     """
     spark = docs.sparkSession
@@ -187,22 +187,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         got[r["no"] - 1] = r["n"]
     # a shard is one short row here and thousands of slots afterwards, which Spark can't know: so many tasks, and no broadcast
     tasks = max(1, -(-plan.shards // TASK_SHARDS))
-    slots = drawn.repartition(tasks, "shard").mapInPandas(_fill(Plan(plan.blocks, plan.wanted, got)), "shard long, no int, k long, block long")
-
-    b = F.lit(BLOCK_WORDS)
-    first, last = F.floor(F.col("off") / b), F.floor((F.col("off") + F.col("size") - 1) / b)
-    spans = documents.where("size > 0").select("no", "off", "size", F.explode(F.sequence(first, last)).alias("block"))
-    start = F.greatest(F.col("block") * b - F.col("off"), F.lit(0))
-    stop = F.least((F.col("block") + 1) * b - F.col("off"), F.col("size"))
-    spans = spans.select("no", "block", "off", start.alias("first"), (stop - start).alias("words"))
-    pieces = slots.hint("merge").join(spans, ["no", "block"]).select("shard", F.col("k").alias("slot"), "no", "off", "first", "words")
-    return documents.withColumnRenamed("id", id_col), pieces
+    slots = drawn.repartition(tasks, "shard").mapInPandas(_fill(Plan(plan.blocks, plan.wanted, got)), "shard long, no int, slot long, block long")
+    return documents.withColumnRenamed("id", id_col), slots
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of ``docs``: id_col, source, size, source_size, target, and the words the mix takes of it, repeats counted."""
-    documents, pieces = mix(docs, id_col, text_col, source_col)
-    used = pieces.groupBy("no", "off").agg(F.sum("words").alias("taken"))
+    documents, slots = mix(docs, id_col, text_col, source_col)
+    b = F.lit(BLOCK_WORDS)
+    first, last = F.floor(F.col("off") / b), F.floor((F.col("off") + F.col("size") - 1) / b)
+    spans = documents.where("size > 0").select("no", "off", "size", F.explode(F.sequence(first, last)).alias("block"))
+    start, stop = F.greatest(F.col("block") * b, F.col("off")), F.least((F.col("block") + 1) * b, F.col("off") + F.col("size"))
+    uses = slots.groupBy("no", "block").agg(F.count("*").alias("uses"))
+    spans = uses.hint("merge").join(spans.select("no", "block", "off", (stop - start).alias("words")), ["no", "block"])
+    used = spans.groupBy("no", "off").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     # empty documents share their offset with the next one
     both = documents.join(used, (documents["no"] == used["no"]) & (documents["off"] == used["off"]) & (documents["size"] > 0), "left")
     return both.select(
@@ -210,25 +208,41 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
 
 
+PIECES = "no int, block long, off long, id long, words long, t string"
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each document puts into each block; a document at a time, so that long ones do not add up."""
+    for pdf in batches:
+        for no, off, i, text in zip(pdf["no"], pdf["off"], pdf["id"], pdf["text"], strict=True):
+            w = text.encode("utf-8", "surrogatepass").split()
+            first, last = int(off) // BLOCK_WORDS, (int(off) + len(w) - 1) // BLOCK_WORDS
+            ends = [max(0, b * BLOCK_WORDS - int(off)) for b in range(first, last + 1)] + [len(w)]
+            parts = [w[x:y] for x, y in zip(ends, ends[1:])]
+            yield pd.DataFrame({
+                "no": no, "block": range(first, last + 1), "off": off, "id": i, "words": [len(x) for x in parts],
+                "t": [b" ".join(x).decode("utf-8", "surrogatepass") for x in parts],
+            })
+
+
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: shard, slot, source, doc_ids, n_words and text, a slot's words joined by one space.
 
     Rows without an id are drawn but have no words here. Rows that repeat an id and a size
-    are taken to hold the same text. A slot's pieces have a word at least, so they are few.
+    are taken to hold the same text. Texts move twice: to their offsets, then cut into pieces
+    to their blocks, where the slots come to fetch them; a block is at most BLOCK_WORDS pieces.
     """
-    documents, pieces = mix(docs, id_col, text_col, source_col)
-    keyed = documents.where("size > 0").select(F.col(id_col).alias("__id"), "source", "no", "off", "size")
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), n_words(F.col(text_col)).alias("size"), F.col(text_col).alias("__text"))
-    texts = texts.groupBy("__id", "size").agg(F.min("__text").alias("__text"))
-    held = keyed.hint("merge").join(texts, ["__id", "size"]).withColumn("w", words(F.col("__text")))
-    piece = F.slice("w", F.col("first").cast("int") + 1, F.col("words").cast("int"))
-    joined = pieces.join(held, ["no", "off"]).select(
-        "shard", "slot", "no", "source", F.struct("off", F.col("__id").alias("id"), "words", F.array_join(piece, " ").alias("t")).alias("p")
-    )
-    parts = joined.groupBy("shard", "slot", "no", "source").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return parts.select(
-        "shard", "slot", "source",
-        F.col("p.id").alias("doc_ids"),
+    documents, slots = mix(docs, id_col, text_col, source_col)
+    keyed = documents.where("size > 0").select(F.col(id_col).alias("id"), "no", "off", "size")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), n_words(F.col(text_col)).alias("size"), F.col(text_col).alias("text"))
+    texts = texts.groupBy("id", "size").agg(F.min("text").alias("text"))
+    pieces = keyed.hint("merge").join(texts, ["id", "size"]).select("no", "off", "id", "text").mapInPandas(_pieces, PIECES)
+    blocks = pieces.groupBy("no", "block").agg(F.array_sort(F.collect_list(F.struct("off", "id", "words", "t"))).alias("p"))
+    filled = blocks.select(
+        "no", "block", F.col("p.id").alias("doc_ids"),
         F.aggregate("p.words", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_words"),
         F.array_join("p.t", " ").alias("text"),
     )
+    # at most MOST_SOURCES rows, as mix() has checked
+    names = F.broadcast(documents.groupBy("no").agg(F.first("source").alias("source")))
+    return slots.hint("merge").join(filled, ["no", "block"]).join(names, "no").select("shard", "slot", "source", "doc_ids", "n_words", "text")
