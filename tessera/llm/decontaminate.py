@@ -114,21 +114,22 @@ def matches(
         return rows.limit(0).select(
             F.col("id").alias(id_col), F.col("id").alias(item_col), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")
         )
-    laid = cut(laid.distinct(), "laid")
+    # the windows of a text together, so that it is split once; they are at most its words times the sizes of items
+    laid = cut(laid.groupBy("id", "text_hash").agg(F.collect_set(F.struct("k", "n", "start")).alias("at")), "laid")
 
     # windows: their shingles with weights; shingles that no item has weigh as much as the rarest
-    w = F.slice(F.col("w"), F.col("start") + 1, F.col("n"))
-    texts = rows.select(F.col("id"), F.xxhash64("text").alias("text_hash"), "text")
-    cut_out = laid.hint("merge").join(texts, ["id", "text_hash"]).withColumn("w", words(F.lower(F.col("text"))))
-    windows = cut_out.select("id", "text_hash", "k", "n", "start", w.alias("w"))
-    hashes = F.coalesce(*[F.when(F.col("k") == j, shingle_hashes(F.col("w"), j)) for j in sizes])
-    windows = cut(
-        windows.select("id", "text_hash", "k", "n", "start", F.size("w").alias("n_words"), hashes.alias("hashes"))
-        .where("hashes is not null")
-        .withColumn("win", F.xxhash64("id", "text_hash", "k", "n", "start"))
-        .dropDuplicates(["win"]),
-        "windows",
-    )
+    texts = rows.select("id", F.xxhash64("text").alias("text_hash"), "text")
+    found = laid.hint("merge").join(texts, ["id", "text_hash"]).select("id", "text_hash", "at", words(F.lower(F.col("text"))).alias("w"))
+    for k in sizes:
+        found = found.withColumn(f"h{k}", shingle_hashes(F.col("w"), k))
+
+    def window(x: Column) -> Column:
+        hashes = F.coalesce(*[F.when(x["k"] == j, F.slice(f"h{j}", x["start"] + 1, x["n"] - j + 1)) for j in sizes])
+        return F.struct(x["k"].alias("k"), x["n"].alias("n"), x["start"].alias("start"), F.least(x["n"], F.size("w") - x["start"]).alias("n_words"), hashes.alias("hashes"))
+
+    windows = found.select("id", "text_hash", F.explode(F.transform("at", window)).alias("x")).select("id", "text_hash", "x.*")
+    # repeated rows of a document give the same windows
+    windows = cut(windows.withColumn("win", F.xxhash64("id", "text_hash", "k", "n", "start")).dropDuplicates(["win"]), "windows")
     flat = windows.select("win", "k", F.explode("hashes").alias("h"))
     of_window = (
         flat.join(weighted, ["k", "h"], "left")
