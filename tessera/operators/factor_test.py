@@ -24,11 +24,15 @@ def ic(panel: DataFrame, factor: str, ret: str, least: int = 5) -> DataFrame:
     return by.select("date", safe_div("c", "s").alias("ic"), "n")
 
 
+#: A rank correlation that is 0 comes out as a few units of the last bit, of either sign; real ones differ from 0 by more.
+ZERO = 1e-9
+
+
 def ic_summary(daily: DataFrame, by: str = "year") -> DataFrame:
     """Mean, information ratio (population deviation) and share of positive dates, per year or over all."""
     key = F.year("date") if by == "year" else F.lit(0)
     return daily.where("ic is not null").groupBy(key.alias("year")).agg(
-        F.avg("ic").alias("ic_mean"), safe_div(F.avg("ic"), F.stddev_pop("ic")).alias("ic_ir"), F.avg((F.col("ic") > 0).cast("double")).alias("win_rate"), F.count("*").alias("days")
+        F.avg("ic").alias("ic_mean"), safe_div(F.avg("ic"), F.stddev_pop("ic")).alias("ic_ir"), F.avg((F.col("ic") > ZERO).cast("double")).alias("win_rate"), F.count("*").alias("days")
     )
 
 

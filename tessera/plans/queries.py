@@ -155,9 +155,10 @@ ROLLED_COLUMNS = ["prev_close", *[f"ma{n}" for n in (5, 10, 20, 30, 60)], "vol_m
                   "boll_upper", "boll_lower", "vol_ratio_5d", "change_amount", "amplitude", "annual_vol_20d"]
 
 
-@query(f"WITH {ROLL} SELECT symbol, date, {r(*ROLLED_COLUMNS, digits=3)}, ma_bull_align, ma_bear_align FROM rolled")
+@query(f"WITH {ROLL} SELECT symbol, date, {r(*ROLLED_COLUMNS, digits=3)}, CAST(ma_bull_align AS DOUBLE) AS ma_bull_align, CAST(ma_bear_align AS DOUBLE) AS ma_bear_align FROM rolled")
 def rolling_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rolled(spark, sf_dir).select("symbol", "date", *ROLLED_COLUMNS, "ma_bull_align", "ma_bear_align"), digits=3)
+    flags = [F.col(c).cast("double").alias(c) for c in ("ma_bull_align", "ma_bear_align")]
+    return rounded(rolled(spark, sf_dir).select("symbol", "date", *ROLLED_COLUMNS, *flags), digits=3)
 
 
 SIGNAL_SQL = {
@@ -407,7 +408,7 @@ def factor_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(factor_test.ic(forward(spark, sf_dir), "momentum_20d", "fwd_1"))
 
 
-@query(f"WITH {RANKED} SELECT CAST(year(date) AS INTEGER) AS year, round(avg(ic), 6) AS ic_mean, round(avg(ic) / nullif(stddev_pop(ic), 0), 6) AS ic_ir, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, count(*) AS days FROM ic WHERE ic IS NOT NULL GROUP BY 1")
+@query(f"WITH {RANKED} SELECT CAST(year(date) AS INTEGER) AS year, round(avg(ic), 6) AS ic_mean, round(avg(ic) / nullif(stddev_pop(ic), 0), 6) AS ic_ir, round(avg(CASE WHEN ic > 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, count(*) AS days FROM ic WHERE ic IS NOT NULL GROUP BY 1")
 def factor_ic_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(factor_test.ic_summary(factor_test.ic(forward(spark, sf_dir), "momentum_20d", "fwd_1")))
 
