@@ -1,11 +1,12 @@
 """Line dedup by pairwise alignment.
 
 A line is rare when it has BLOCK_WORDS words; a shorter one is taken together with the lines
-after it until they have as many. Documents that share such a hash are paired with the first
-document that holds it; each pair is aligned by patience diff on line hashes, and aligned
-blocks of BLOCK_WORDS words leave the later document. Every block that long begins with a
-rare hash, so none is without a pair; and pairing with the first holder keeps the work in
-proportion to the lines, however many documents share one.
+after it, and with those before it, until they have as many. Documents that share such a hash
+are paired with the first document that holds it; each pair is aligned by patience diff on
+line hashes, and common blocks of BLOCK_WORDS words leave the later document, also where they
+cross the alignment. Every line of a block that long lies in a rare run of the block, so none
+is without a pair; and pairing with the first holder keeps the work in proportion to the
+lines, however many documents share one.
 """
 
 from __future__ import annotations
@@ -82,27 +83,6 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(a: list[int], b: list[int], weight: list[int], least: int) -> list[int]:
-    """Positions in b of aligned blocks of ``least`` words or more; aligns again what is left until nothing is found.
-
-    Later rounds find blocks that stand in another order, or more than once, in b.
-    """
-    left, gone = list(range(len(b))), []
-    while left:
-        blocks: list[list[tuple[int, int]]] = []
-        for i, j in patience(a, [b[p] for p in left]):
-            if blocks and blocks[-1][-1] == (i - 1, j - 1):
-                blocks[-1].append((i, j))
-            else:
-                blocks.append([(i, j)])
-        found = {left[j] for block in blocks if sum(weight[left[j]] for _, j in block) >= least for _, j in block}
-        if not found:
-            break
-        gone += found
-        left = [p for p in left if p not in found]
-    return sorted(gone)
-
-
 #: GOLDEN * INVERSE is 1 modulo 2**64.
 INVERSE = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
 
@@ -111,23 +91,74 @@ def _powers(x: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate((np.ones(min(n, 1), np.uint64), np.full(max(n - 1, 0), x))))
 
 
-def rare_hashes(seq: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    """For each line with words, the hash of the shortest run of lines from it on that has ``least`` words; distinct, sorted."""
+def rare_runs(seq: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, line after the last, and hash of the shortest runs of ``least`` words: from each line with words on, then up to each."""
     n = len(seq)
     total = np.concatenate(([0], np.cumsum(words)))
     stop = np.searchsorted(total, total[:-1] + least)
-    start = np.flatnonzero((stop <= n) & (words > 0))
-    stop = stop[start]
+    on = np.flatnonzero((stop <= n) & (words > 0))
+    start = np.searchsorted(total, total[1:] - least, side="right") - 1
+    upto = np.flatnonzero((start >= 0) & (words > 0))
+    start, stop = np.concatenate((on, start[upto])), np.concatenate((stop[on], upto + 1))
     with np.errstate(over="ignore"):
         # the sum of line p's hash times GOLDEN**p; a run's is the difference, divided by the power of its first line
         sums = np.concatenate(([np.uint64(0)], np.cumsum(mix64(seq.view(np.uint64)) * _powers(GOLDEN, n))))
         runs = (sums[stop] - sums[start]) * _powers(INVERSE, n)[start]
-    return np.unique(mix64(runs + stop.astype(np.uint64) - start.astype(np.uint64)).view(np.int64))
+    return start, stop, mix64(runs + stop.astype(np.uint64) - start.astype(np.uint64)).view(np.int64)
+
+
+def rare_hashes(seq: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """For each line with words, the hash of the shortest run of lines from it on that has ``least`` words; distinct, sorted."""
+    _, _, hashes = rare_runs(seq, words, least)
+    total = np.concatenate(([0], np.cumsum(words)))
+    return np.unique(hashes[: np.count_nonzero((words > 0) & (total[-1] - total[:-1] >= least))])
+
+
+def shared_lines(a: np.ndarray, b: list[int], weight: list[int], least: int) -> set[int]:
+    """Positions in b of all lines with words in runs of ``least`` words or more that stand in a too, wherever.
+
+    Such a line lies in the shortest run from itself on, in that up to itself, or in that from
+    the first line of the common run on.
+    """
+    known = dict(zip(b, weight, strict=True))
+    # a line that b lacks may end a run, but no run with it is in b
+    _, _, there = rare_runs(a, np.array([known.get(x, least) for x in a.tolist()], np.int64), least)
+    start, stop, runs = rare_runs(np.array(b, np.int64), np.array(weight, np.int64), least)
+    hit = np.isin(runs, there)
+    depth = np.zeros(len(b) + 1, np.int64)
+    np.add.at(depth, start[hit], 1)
+    np.add.at(depth, stop[hit], -1)
+    return set(np.flatnonzero(np.cumsum(depth)).tolist())
+
+
+def common_lines(a: list[int], b: list[int], weight: list[int], least: int) -> list[int]:
+    """Positions in b of common blocks of ``least`` words or more; looks again at what is left until nothing is found.
+
+    A round takes the aligned blocks, with the lines without words at their ends, and the
+    blocks that cross the alignment. Later rounds find blocks that have come together.
+    """
+    left, gone, whole = list(range(len(b))), [], np.array(a, np.int64)
+    while left:
+        rest = [b[p] for p in left]
+        crossing = shared_lines(whole, rest, [weight[p] for p in left], least)
+        if not crossing:  # then no aligned block is long enough either
+            break
+        blocks: list[list[tuple[int, int]]] = []
+        for i, j in patience(a, rest):
+            if blocks and blocks[-1][-1] == (i - 1, j - 1):
+                blocks[-1].append((i, j))
+            else:
+                blocks.append([(i, j)])
+        found = {left[j] for block in blocks if sum(weight[left[j]] for _, j in block) >= least for _, j in block}
+        found |= {left[j] for j in crossing}
+        gone += found
+        left = [p for p in left if p not in found]
+    return sorted(gone)
 
 
 def _rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = [rare_hashes(np.asarray(s, np.int64), np.asarray(w, np.int64), BLOCK_WORDS) for s, w in zip(pdf["seq"], pdf["words"], strict=True)]
+        found = [np.unique(rare_runs(np.asarray(s, np.int64), np.asarray(w, np.int64), BLOCK_WORDS)[2]) for s, w in zip(pdf["seq"], pdf["words"], strict=True)]
         ids = np.repeat(pdf["id"].to_numpy(), [len(x) for x in found])
         yield pd.DataFrame({"id": ids, "rare": np.concatenate(found) if found else np.empty(0, np.int64)})
 
@@ -153,9 +184,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null text: stays null, with 0 lines. Null id: the row is left alone. Rows that repeat an
     id are one document: they are not compared with each other, and each loses what it
-    shares with earlier ids. Lines are aligned as patience diff does it, so a block that crosses
-    a longer alignment is found in a later round, or not if no round aligns it. Empty table: empty result. All columns of ``docs`` are kept
-    under their names, except that earlier columns n_lines and n_removed are replaced.
+    shares with earlier ids. A block leaves whether patience diff aligns it or other lines cross
+    it. Empty table: empty result. All columns of ``docs`` are kept under their names, except that earlier columns n_lines and n_removed are replaced.
     """
     docs = docs.drop(*({"n_lines", "n_removed"} & set(docs.columns)))
     line_hash = F.transform(_lines(F.col("text")), lambda x: F.xxhash64(F.btrim(x, F.lit(TRIMMED))))

@@ -77,6 +77,23 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def test_blocks_that_short_lines_cross(spark):
+    assert line_dedup.common_lines([1, 2], [2, 1], [3, 50], 20) == [1]
+    assert line_dedup.common_lines([1, 2, 3, 4, 5], [5, 4, 3, 9, 1, 2], [3, 3, 3, 9, 10, 10], 20) == [4, 5]
+    r = random.Random(5)
+    for _ in range(400):
+        a, b = ([r.randint(1, 7) for _ in range(r.randint(0, 14))] for _ in range(2))
+        gone = set(line_dedup.common_lines(a, b, [3 * x for x in b], 20))
+        inside = {p for i in range(len(b)) for j in range(i, len(b)) for p in range(i, j + 1) if 3 * sum(b[i : j + 1]) >= 20 and any(a[x : x + j + 1 - i] == b[i : j + 1] for x in range(len(a)))}
+        assert inside <= gone
+    line = lambda word, n: " ".join(f"{word}{i}" for i in range(n))
+    passage, short, p, q, tail = line("p", 55), "a common line", line("q", 15), line("s", 15), line("t", 3)
+    # the last line of a block has another first holder than the block's start
+    rows = [(1, f"{passage}\n{short}", "x"), (2, f"{short}\n{passage}", "x"), (3, f"{p}\n{q}", "x"), (4, f"{p}\n{q}\n{tail}", "x"), (5, f"{p}\n{q}\n{tail}\nown", "x")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert (got[2], got[4], got[5]) == (short, tail, "own")
+
+
 # --- chat
 
 
