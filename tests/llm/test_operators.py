@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -232,6 +233,18 @@ def test_licences(spark):
     assert got == {(1, 1): "Apache-2.0", (3, 0): "MIT", (7, 0): "GPL-3.0"}
 
 
+def test_wrapped_and_double_licences(spark):
+    wrap = lambda family, at, width: "\n".join(textwrap.wrap(licences.TEMPLATES[family][at], width, initial_indent=" * ", subsequent_indent=" * "))
+    rows = [
+        (1, f"A tool of mine.\n\n{wrap('GPL-3.0', 1, 72)}\n\nThe end.", "a"), (2, wrap("GPL-2.0", 1, 72), "a"), (3, f"\n\n{wrap('LGPL', 1, 60)}", "a"),
+        (4, f"Copyright 2020 Ann.\n{wrap('BSD', 1, 60)}\n\n{wrap('Apache-2.0', 1, 50)}", "a"), (5, "Dual: MIT or Apache-2.0.", "a"),
+        (6, "Licensed under the Apache License, Version 2.0, or released under the MIT License.", "a"), (7, "SPDX-License-Identifier: MIT OR Apache-2.0", "a"),
+        (8, "Released under the MIT License.\nSee the museum, open to the public.", "a"),
+    ]
+    got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in licences.licence_scan(table(spark, rows)).collect())
+    assert got == [(1, 2, "GPL-3.0"), (2, 0, "GPL-2.0"), (3, 2, "LGPL"), (4, 0, "BSD"), (4, 5, "Apache-2.0"), (5, 0, "Apache-2.0"), (5, 0, "MIT"), (6, 0, "Apache-2.0"), (6, 0, "MIT"), (7, 0, "Apache-2.0"), (7, 0, "MIT"), (8, 0, "MIT")]
+
+
 # --- pages
 
 
