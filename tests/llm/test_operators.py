@@ -340,6 +340,14 @@ def test_secrets(spark):
     assert secrets.secret_scan(table(spark, [])).count() == 0
 
 
+def test_one_owner_keeps_a_secret(spark):
+    key, token, wide = "ghp_" + "aB3" * 13, "Zq7" * 10, "Xw5" * 10
+    rows = [(i, f"{key} {token}", "x") for i in range(12)] + [(50 + i, wide, f"o{i}") for i in range(3)] + [(70 + i, "Vn9" * 10, None) for i in range(9)]
+    got = {r["doc_id"]: (r["spans"], r["n_live"], r["n_copied"]) for r in secrets.secret_scan(table(spark, rows)).collect()}
+    assert all(got[i] == ("github:0:43,token:44:74", 2, 0) for i in range(12))
+    assert got[50] == got[52] == got[70] == ("token-copied:0:30", 0, 1)
+
+
 def test_quality(spark):
     rows = documents(spark, 200)
     want = []
