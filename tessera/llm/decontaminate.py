@@ -5,9 +5,10 @@ within RADIUS of an item's are found through a multi-index: of BLOCKS blocks, on
 at most RADIUS // BLOCKS bits, so looking up every block value within that distance finds
 them all. What is found is confirmed by the exact weighted similarity of word shingles.
 
-Two texts that share no shingle have similarity 0, so windows are laid only where a document
-has a shingle of an item, at the item's offset: no window of positive similarity at such an
-alignment is missed, and the rest of the corpus is not fingerprinted.
+Two texts that share no shingle have similarity 0, and a similar window shares PERCENT of its
+item's weight. So shingles of items are looked up in the documents first, and every window
+whose shared shingles can weigh as much is laid, at whatever offset; no window that passes is
+missed for want of an alignment, and the rest of the corpus is not fingerprinted.
 """
 
 from __future__ import annotations
@@ -106,14 +107,35 @@ def matches(
         placed = rows.withColumn("w", words(F.lower(F.col("text")))).select(
             "id", F.xxhash64("text").alias("text_hash"), F.size("w").alias("words"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("p", "h")
         )
-        here = own.where(F.col("k") == k).select("item", "n", "q", "h")
-        start = F.greatest(F.least(F.col("p") - F.col("q"), F.col("words") - F.col("n")), F.lit(0))
-        hit = placed.join(here, "h").select("id", "text_hash", F.lit(k).alias("k"), "n", start.alias("start"))
+        here = own.where(F.col("k") == k).select("item", "n", "h", "weight").distinct()
+        hit = placed.join(here, "h").select("id", "text_hash", "words", "item", F.lit(k).alias("k"), "n", "p", "weight")
         laid = hit if laid is None else laid.union(hit)
     if laid is None:
         return rows.limit(0).select(
             F.col("id").alias(id_col), F.col("id").alias(item_col), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")
         )
+    # the hits of an item in a text are at most the text's words
+    hits = laid.groupBy("id", "text_hash", "words", "item", "k", "n").agg(F.collect_set(F.struct("p", "weight")).alias("at"))
+    needs = own.groupBy("item").agg(F.sum("weight").alias("need"))
+    enough = lambda got: F.lit(100) * got >= F.lit(PERCENT) * F.col("need")
+    total = F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x["weight"])
+    hits = hits.join(needs, "item").where(enough(total)).withColumn("at", F.array_sort("at"))
+    reach = F.col("n") - F.col("k")
+
+    def starts(x: Column, i: Column) -> Column:
+        """Starts of the windows whose first hit is x: those that reach the hit with which the weight is enough."""
+        state = F.struct(F.lit(0).cast("long").alias("got"), F.lit(-1).alias("last"))
+        grown = F.aggregate(
+            F.slice("at", i + 1, reach + 1), state,
+            lambda a, y: F.when(enough(a["got"]), a).otherwise(F.struct((a["got"] + y["weight"]).alias("got"), y["p"].alias("last"))),
+            lambda a: F.when(enough(a["got"]), a["last"]),
+        )
+        before = F.when(i > 0, F.get("at", i - 1)["p"]).otherwise(-1)
+        low = F.greatest(before + 1, F.when(grown.isNotNull(), grown - reach))
+        high = F.least(x["p"], F.greatest(F.col("words") - F.col("n"), F.lit(0)))
+        return F.when(grown.isNotNull() & (low <= high), F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+    laid = hits.select("id", "text_hash", "k", "n", F.explode(F.flatten(F.transform("at", starts))).alias("start"))
     # the windows of a text together, so that it is split once; they are at most its words times the sizes of items
     laid = cut(laid.groupBy("id", "text_hash").agg(F.collect_set(F.struct("k", "n", "start")).alias("at")), "laid")
 

@@ -222,6 +222,37 @@ def test_decontamination(spark):
     assert decontaminate.matches(table(spark, []), bench).count() == decontaminate.matches(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_windows_between_alignments(spark):
+    """Shared heads and tails, words put in or taken out between them: the best of all windows is found."""
+    r = random.Random(8)
+    fresh = lambda n: ["".join(r.choice("bcdfghklmnpr") + r.choice("aeiou") for _ in range(5)) for _ in range(n)]
+    head, tail = fresh(9), fresh(9)
+    items = [(i, head + fresh(n - 18) + tail) for i, n in enumerate([100] * 20 + [60] * 20)]
+    docs = []
+    for i in range(24):
+        w = list(items[r.randrange(len(items))][1])
+        at, n = r.randrange(15, len(w) - 20), 2 + i % 10
+        w[at : at + (n if i % 3 == 2 else 0)] = [] if i % 3 == 2 else fresh(n)
+        docs.append((i, " ".join(fresh(r.choice([0, 30])) + w + fresh(r.choice([0, 30]))), "s"))
+    grams = lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    df = Counter(g for _, w in items for g in grams(w))
+    weight = lambda g: round(1000 * math.log1p(len(items) / df.get(g, 1)))
+    want = {}
+    for d, t, _ in docs:
+        w = t.split()
+        for item, words in items:
+            b, best = grams(words), (0, 0)
+            for s in range(max(1, len(w) - len(words) + 1)):
+                a = grams(w[s : s + len(words)])
+                top = sum(weight(g) * min(c, b[g]) for g, c in a.items())
+                best = max(best, (top / (sum(weight(g) * c for x in (a, b) for g, c in x.items()) - top), -s))
+            if best[0] >= 0.8:
+                want[d, item] = (round(best[0], 6), -best[1])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["start"]) for x in decontaminate.matches(table(spark, docs), bench).collect()}
+    assert got == want and len(want) > 5
+
+
 # --- licences
 
 
