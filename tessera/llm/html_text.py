@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 #: Tags whose text flows on in the block around them; fixed values of HTML.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup "
+    "msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not text of the page.
-RAW = frozenset("script style template noscript svg iframe textarea title object canvas math audio video".split())
+#: Elements whose content is not text of the page; without a closing tag, that of the first ones goes on to the end.
+RAW_TEXT = frozenset("script style textarea title iframe".split())
+RAW = RAW_TEXT | frozenset("template noscript svg object canvas audio video annotation annotation-xml".split())
 #: An element that begins closes an open one of these, if that is the innermost block.
 CLOSES = {
     "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"),
@@ -47,7 +50,7 @@ HINTS = frozenset(
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S
 )
-RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in RAW}
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>" + (r"|\Z" if t in RAW_TEXT else ""), re.I) for t in RAW}
 ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPLIT = re.compile(r"[^a-z]+")
 
@@ -106,6 +109,7 @@ def parse(source: str) -> list[Node]:
     parts: list[str] = []
     linked, in_link = 0, False
     labels: dict[int, int] = {}
+    unclosed: set[str] = set()  # no closing tag follows
 
     def flush() -> None:
         nonlocal linked
@@ -132,12 +136,15 @@ def parse(source: str) -> list[Node]:
             continue
         tag = tag.lower()
         if tag in RAW:
-            if not m["end"] and not m["attrs"].endswith("/"):
+            if not m["end"] and not m["attrs"].endswith("/") and tag not in unclosed:
                 close = RAW_END[tag].search(source, at)
-                at = close.end()
+                if close:
+                    at = close.end()
+                else:
+                    unclosed.add(tag)
             continue
         if tag in INLINE:
-            if tag == "br":
+            if tag in ("br", "mtd"):
                 parts.append(" ")
             elif tag == "a":
                 in_link = not m["end"]

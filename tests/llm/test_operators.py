@@ -304,6 +304,17 @@ def test_pages(spark):
     assert html_text.extract(None, html_text.fitted()) == ""
 
 
+def test_unclosed_elements_and_formulas():
+    text = lambda page: [x.text for x in html_text.parse(page) if x.text is not None]
+    for tag in ("svg", "object", "canvas", "audio", "video", "noscript", "template"):
+        assert text(f"<article><p>one</p><{tag} a=b><p>two</p></article>") == ["one", "two"]
+        assert text(f"<article><p>one</p><{tag}>no</{tag}><p>two</p><{tag}><p>three</p></article>") == ["one", "two", "three"]
+    for tag in ("script", "style", "title", "textarea"):
+        assert text(f"<p>one</p><{tag}><p>two</p>") == ["one"]
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math>"
+    assert text(f"<article><p>Let {formula} hold.</p></article>") == ["Let x=2 hold."]
+
+
 # --- personal data
 
 
