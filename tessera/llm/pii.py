@@ -33,6 +33,8 @@ PATTERNS = {
 }
 #: The separators of a card number are the same, which needs a group; here as numbered in the whole pattern.
 ANY = "|".join(PATTERNS.values())
+#: Country codes of telephone numbers; none begins another.
+COUNTRY = "^\\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:21|22|23|24|25|26|28|29|35|37|38|42|50|59|67|68|69|80|83|85|87|88|89|96|97|99)\\d)"
 KEY = "tessera-surrogates"
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
@@ -44,9 +46,10 @@ def kind_of(value: Column) -> Column:
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """What makes two spellings the same entity: digits of numbers, lower case of the rest; names without their title."""
+    """What makes two spellings the same entity: digits of numbers, with the + of phones; lower case of the rest; names without their title."""
     bare = F.regexp_replace(F.lower(value), "[^\\p{L}\\p{N}]", "")
     named = F.lower(F.regexp_replace(value, f"^(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})\\.? ", ""))
+    bare = F.when((kind == "phone") & value.startswith("+"), F.concat(F.lit("+"), bare)).otherwise(bare)
     return F.when(kind.isin("phone", "card", "ssn", "iban"), bare).when(kind == "name", named).otherwise(F.lower(value))
 
 
@@ -120,6 +123,8 @@ def surrogate(kind: Column, entity: Column, sex: Column, attempt: Column) -> Col
     check = (F.lit(10) - luhn(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.when(luhn(entity) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(F.concat(F.substring(entity, F.lit(1), F.lit(1)), F.substring(drawn, F.lit(2), F.length(entity))))
     iban = F.concat(F.substring(entity, F.lit(1), F.lit(2)), F.substring(drawn, F.lit(3), F.length(entity)))
+    code = F.regexp_extract(entity, COUNTRY, 0)
+    phone = F.concat(code, F.substring(drawn, F.length(code) + 1, F.length(entity)))
     x = numbers(seed, F.lit(4))
     ip = F.concat_ws(".", (F.get(x, F.lit(0)) % 223 + 1).cast("string"), *[(F.get(x, F.lit(i)) % 256).cast("string") for i in (1, 2, 3)])
     parts = F.split(entity, " ")
@@ -127,17 +132,17 @@ def surrogate(kind: Column, entity: Column, sex: Column, attempt: Column) -> Col
     family = invented(_script(entity), F.lit(False), F.concat_ws("|", F.lit("family"), F.element_at(parts, -1), again))
     given = invented(_script(entity), sex == "f", F.concat_ws("|", F.lit("given"), sex, F.get(parts, F.lit(0)), again))
     name = F.when(F.size(parts) > 1, F.concat_ws(" ", given, family)).otherwise(family)
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip", ip).when(kind == "name", name).otherwise(drawn)
+    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "name", name).otherwise(drawn)
 
 
 def shaped(kind: Column, value: Column, entity: Column, new: Column) -> Column:
-    """The canonical replacement ``new`` written as ``value`` writes its ``entity``: separators, case, title, country code."""
+    """The canonical replacement ``new`` written as ``value`` writes its ``entity``: separators, case, title."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")
-    code = F.when(kind == "phone", F.length(F.regexp_replace(F.regexp_extract(value, "^\\+\\d+", 0), "\\+", ""))).otherwise(0)
+    signs = F.regexp_replace(new, "^\\+", "")
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(a: Column, c: Column) -> Column:
-        letter = F.when(a["at"] <= code, c).otherwise(F.substring(new, a["at"], F.lit(1)))
+        letter = F.substring(signs, a["at"], F.lit(1))
         used = c.rlike("[\\p{L}\\p{N}]")
         put = F.when(~used, c).when((F.upper(c) == c) & (F.lower(c) != c), F.upper(letter)).otherwise(letter)
         return F.struct(F.concat(a["out"], put).alias("out"), (a["at"] + F.when(used, 1).otherwise(0)).alias("at"))
@@ -149,15 +154,16 @@ def shaped(kind: Column, value: Column, entity: Column, new: Column) -> Column:
 
 
 def surrogates(entities: DataFrame) -> DataFrame:
-    """Distinct (kind, entity, sex) to (kind, entity, sex, new): no new twice in a kind, and none that is an entity."""
+    """Distinct (kind, entity, sex) to (kind, entity, sex, new): no new twice in a kind, and none that is an entity, with + or without."""
+    signs = F.regexp_replace("new", "^\\+", "").alias("signs")
     table = cut(entities.select("kind", "entity", "sex", F.lit(0).alias("attempt")), "entities")
-    real = cut(table.select("kind", F.col("entity").alias("new")).distinct(), "real")
+    real = cut(table.select("kind", F.col("entity").alias("new")).select("kind", signs).distinct(), "real")
     while True:
-        drawn = cut(table.withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("sex"), F.col("attempt"))), "drawn")
+        drawn = cut(table.withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("sex"), F.col("attempt"))).select("*", signs), "drawn")
         # the entity that has waited longest keeps a replacement that several have drawn
-        first = cut(drawn.groupBy("kind", "new").agg(F.min(F.struct(-F.col("attempt"), "entity", "sex")).alias("owner"), F.count("*").alias("n")), "owners")
-        clash = first.where("n > 1").join(drawn, ["kind", "new"]).where("owner.entity <> entity or owner.sex <> sex").select("kind", "entity", "sex")
-        clash = cut(clash.union(drawn.join(real, ["kind", "new"], "left_semi").select("kind", "entity", "sex")).distinct(), "clashes")
+        first = cut(drawn.groupBy("kind", "signs").agg(F.min(F.struct(-F.col("attempt"), "entity", "sex")).alias("owner"), F.count("*").alias("n")), "owners")
+        clash = first.where("n > 1").join(drawn, ["kind", "signs"]).where("owner.entity <> entity or owner.sex <> sex").select("kind", "entity", "sex")
+        clash = cut(clash.union(drawn.join(real, ["kind", "signs"], "left_semi").select("kind", "entity", "sex")).distinct(), "clashes")
         if clash.isEmpty():
             return drawn.select("kind", "entity", "sex", "new")
         again = clash.withColumn("clash", F.lit(1))

@@ -331,6 +331,18 @@ def test_pii(spark):
     assert got[4] is None and got[5] == "nothing" and got[None] == got[3]
 
 
+def test_phones_are_compared_as_written(spark):
+    numbers = [f"+{p}{i % 10} {100 + i // 100} {1000 + i % 100}" for i in range(3000) for p in ("49301", "123456")]
+    numbers += [f"+4930 {i} 1000" for i in range(100, 1000)]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(table(spark, [(i, x, "a") for i, x in enumerate(numbers)])).collect()}
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert len({digits(x) for x in got.values()}) == len({digits(x) for x in numbers})
+    assert not {digits(x) for x in got.values()} & {digits(x) for x in numbers}
+    # the country code stays, the area code does not
+    assert all(got[i].startswith("+49" if x.startswith("+49") else "+1") for i, x in enumerate(numbers))
+    assert len({got[i][:5] for i, x in enumerate(numbers) if x.startswith("+4930 ")}) > 50
+
+
 # --- mixing
 
 
