@@ -12,11 +12,12 @@ from tessera.llm.decontaminate import matches
 from tessera.llm.html_text import main_text
 from tessera.llm.licences import licence_scan
 from tessera.llm.line_dedup import line_dedup
-from tessera.llm.mixing import taken
+from tessera.llm.mixing import taken, targets
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pii import replace_pii
 from tessera.llm.quality import quality_rules
 from tessera.llm.secrets import secret_scan
+from tessera.llm.sql import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +56,12 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+#: Makes the registered query repeatable. It is public, so it hides nothing: callers of replace_pii bring a secret of their own.
+DEMONSTRATION_KEY = b"key of the registered query"
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return replace_pii(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY).select("doc_id", "text", "n_entities")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +79,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the mix follows from the sizes alone."""
+    return targets(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans alone."""
+    return op9_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_near_dedup, op4_decontaminate, op5_licence_scans, op6_html_extraction, op7_pii, op8_mixing, op9_secret_scans, op10_quality_rules)}
+    ops = (op1_line_dedup, op2_chat_formatting, op3_near_dedup, op4_decontaminate, op5_licence_scans, op6_html_extraction, op7_pii, op8_mixing, op9_secret_scans, op10_quality_rules)
+    return {f.__name__: f for f in (*ops, mix_targets, secret_base_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
