@@ -8,7 +8,8 @@ them all. What is found is confirmed by the exact weighted similarity of word sh
 Two texts that share no shingle have similarity 0, and a similar window shares PERCENT of its
 item's weight. So shingles of items are looked up in the documents first, and every window
 whose shared shingles can weigh as much is laid, at whatever offset; no window that passes is
-missed for want of an alignment, and the rest of the corpus is not fingerprinted.
+missed for want of an alignment, and the rest of the corpus is not fingerprinted. The
+multi-index is asked for the items a window was laid for, not for all of its size.
 """
 
 from __future__ import annotations
@@ -135,23 +136,24 @@ def matches(
         high = F.least(x["p"], F.greatest(F.col("words") - F.col("n"), F.lit(0)))
         return F.when(grown.isNotNull() & (low <= high), F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
 
-    laid = hits.select("id", "text_hash", "k", "n", F.explode(F.flatten(F.transform("at", starts))).alias("start"))
+    laid = hits.select("id", "text_hash", "item", "k", "n", F.explode(F.flatten(F.transform("at", starts))).alias("start"))
+    laid = cut(laid.select("id", "text_hash", "item", "k", "n", "start", F.xxhash64("id", "text_hash", "k", "n", "start").alias("win")), "laid")
     # the windows of a text together, so that it is split once; they are at most its words times the sizes of items
-    laid = cut(laid.groupBy("id", "text_hash").agg(F.collect_set(F.struct("k", "n", "start")).alias("at")), "laid")
+    of_text = cut(laid.groupBy("id", "text_hash").agg(F.collect_set(F.struct("k", "n", "start", "win")).alias("at")), "laid_by_text")
 
     # windows: their shingles with weights; shingles that no item has weigh as much as the rarest
     texts = rows.select("id", F.xxhash64("text").alias("text_hash"), "text")
-    found = laid.hint("merge").join(texts, ["id", "text_hash"]).select("id", "text_hash", "at", words(F.lower(F.col("text"))).alias("w"))
+    found = of_text.hint("merge").join(texts, ["id", "text_hash"]).select("id", "text_hash", "at", words(F.lower(F.col("text"))).alias("w"))
     for k in sizes:
         found = found.withColumn(f"h{k}", shingle_hashes(F.col("w"), k))
 
     def window(x: Column) -> Column:
         hashes = F.coalesce(*[F.when(x["k"] == j, F.slice(f"h{j}", x["start"] + 1, x["n"] - j + 1)) for j in sizes])
-        return F.struct(x["k"].alias("k"), x["n"].alias("n"), x["start"].alias("start"), F.least(x["n"], F.size("w") - x["start"]).alias("n_words"), hashes.alias("hashes"))
+        return F.struct(x["k"].alias("k"), x["n"].alias("n"), x["start"].alias("start"), x["win"].alias("win"), F.least(x["n"], F.size("w") - x["start"]).alias("n_words"), hashes.alias("hashes"))
 
     windows = found.select("id", "text_hash", F.explode(F.transform("at", window)).alias("x")).select("id", "text_hash", "x.*")
     # repeated rows of a document give the same windows
-    windows = cut(windows.withColumn("win", F.xxhash64("id", "text_hash", "k", "n", "start")).dropDuplicates(["win"]), "windows")
+    windows = cut(windows.dropDuplicates(["win"]), "windows")
     flat = windows.select("win", "k", F.explode("hashes").alias("h"))
     of_window = (
         flat.join(weighted, ["k", "h"], "left")
@@ -174,11 +176,11 @@ def matches(
     of_it = cut(printed(of_item, "item", "n", "k"), "item_prints")
     near = F.array(*[F.lit(m) for m in masks()])
     index = (
-        of_it.select("item", "n", "k", F.explode(blocks(F.col("fp"))).alias("b"))
-        .select("item", "n", "k", F.col("b.no").alias("no"), F.explode(F.transform(near, lambda m: F.col("b.value").bitwiseXOR(m))).alias("value"))
+        of_it.select("item", F.explode(blocks(F.col("fp"))).alias("b"))
+        .select("item", F.col("b.no").alias("no"), F.explode(F.transform(near, lambda m: F.col("b.value").bitwiseXOR(m))).alias("value"))
     )
-    asked = of_win.select("win", "n", "k", F.explode(blocks(F.col("fp"))).alias("b")).select("win", "n", "k", "b.no", "b.value")
-    found = asked.join(index, ["n", "k", "no", "value"]).select("win", "item").distinct()
+    asked = laid.select("win", "item").distinct().join(of_win.select("win", F.explode(blocks(F.col("fp"))).alias("b")), "win").select("win", "item", "b.no", "b.value")
+    found = asked.join(index, ["item", "no", "value"]).select("win", "item").distinct()
     a, b = of_win.alias("a"), of_it.alias("b")
     found = (
         found.join(a, "win").join(b, "item")
