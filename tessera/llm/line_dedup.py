@@ -1,12 +1,15 @@
 """Line dedup by pairwise alignment.
 
-A line is rare when it has BLOCK_WORDS words; a shorter one is taken together with the lines
-after it, and with those before it, until they have as many. Documents that share such a hash
-are paired with the first document that holds it; each pair is aligned by patience diff on
-line hashes, and common blocks of BLOCK_WORDS words leave the later document, also where they
-cross the alignment. Every line of a block that long lies in a rare run of the block, so none
-is without a pair; and pairing with the first holder keeps the work in proportion to the
-lines, however many documents share one.
+What is hashed is a line of BLOCK_WORDS words; a shorter one is taken together with the lines
+after it, and with those before it, until they have as many. A hash is rare when RARE_DOCS
+documents or fewer hold it. Documents that share a rare hash are paired with the first
+document that holds it; each pair is aligned by patience diff on line hashes, and common
+blocks of BLOCK_WORDS words leave the later document, also where they cross the alignment.
+
+A hash that more documents hold pairs nobody, since it tells little about any two of them;
+its run of lines stands in its first holder as it does in the others, so it leaves all the
+others directly. Every line of a block of BLOCK_WORDS words lies in such a run of the block,
+so no block is missed, whatever its frequency, and the work is in proportion to the lines.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from tessera.llm.shingles import GOLDEN, mix64
 
 #: An aligned block leaves the later document if it has so many words.
 BLOCK_WORDS = 20
+#: Documents that hold a rare hash, at most.
+RARE_DOCS = 50
 TRIMMED = " \t\n\x0b\x0c\r"
 
 
@@ -123,37 +128,36 @@ def shared_lines(a: np.ndarray, b: list[int], weight: list[int], least: int) ->
     known = dict(zip(b, weight, strict=True))
     # a line that b lacks may end a run, but no run with it is in b
     _, _, there = rare_runs(a, np.array([known.get(x, least) for x in a.tolist()], np.int64), least)
-    start, stop, runs = rare_runs(np.array(b, np.int64), np.array(weight, np.int64), least)
-    hit = np.isin(runs, there)
-    depth = np.zeros(len(b) + 1, np.int64)
+    return covered(np.array(b, np.int64), np.array(weight, np.int64), there, least)
+
+
+def covered(seq: np.ndarray, words: np.ndarray, hashes: np.ndarray, least: int) -> set[int]:
+    """Positions of the lines in runs whose hash is among ``hashes``."""
+    start, stop, runs = rare_runs(seq, words, least)
+    hit = np.isin(runs, hashes)
+    depth = np.zeros(len(seq) + 1, np.int64)
     np.add.at(depth, start[hit], 1)
     np.add.at(depth, stop[hit], -1)
     return set(np.flatnonzero(np.cumsum(depth)).tolist())
 
 
 def common_lines(a: list[int], b: list[int], weight: list[int], least: int) -> list[int]:
-    """Positions in b of common blocks of ``least`` words or more; looks again at what is left until nothing is found.
+    """Positions in b of common blocks of ``least`` words or more.
 
-    A round takes the aligned blocks, with the lines without words at their ends, and the
-    blocks that cross the alignment. Later rounds find blocks that have come together.
+    These are the aligned blocks, with the lines without words at their ends, and the blocks
+    that cross the alignment.
     """
-    left, gone, whole = list(range(len(b))), [], np.array(a, np.int64)
-    while left:
-        rest = [b[p] for p in left]
-        crossing = shared_lines(whole, rest, [weight[p] for p in left], least)
-        if not crossing:  # then no aligned block is long enough either
-            break
-        blocks: list[list[tuple[int, int]]] = []
-        for i, j in patience(a, rest):
-            if blocks and blocks[-1][-1] == (i - 1, j - 1):
-                blocks[-1].append((i, j))
-            else:
-                blocks.append([(i, j)])
-        found = {left[j] for block in blocks if sum(weight[left[j]] for _, j in block) >= least for _, j in block}
-        found |= {left[j] for j in crossing}
-        gone += found
-        left = [p for p in left if p not in found]
-    return sorted(gone)
+    crossing = shared_lines(np.array(a, np.int64), b, weight, least)
+    if not crossing:  # then no aligned block is long enough either
+        return []
+    blocks: list[list[tuple[int, int]]] = []
+    for i, j in patience(a, b):
+        if blocks and blocks[-1][-1] == (i - 1, j - 1):
+            blocks[-1].append((i, j))
+        else:
+            blocks.append([(i, j)])
+    aligned = {j for block in blocks if sum(weight[j] for _, j in block) >= least for _, j in block}
+    return sorted(aligned | crossing)
 
 
 def _rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,6 +176,15 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "text_hash": pdf["text_hash"], "gone": gone})
 
 
+def _often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        gone = [
+            sorted(covered(np.asarray(s, np.int64), np.asarray(w, np.int64), np.asarray(often, np.int64), BLOCK_WORDS))
+            for s, w, often in zip(pdf["b"], pdf["words"], pdf["often"], strict=True)
+        ]
+        yield pd.DataFrame({"id": pdf["id"], "text_hash": pdf["text_hash"], "gone": gone})
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -197,13 +210,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     seqs = cut(rows.select("id", F.xxhash64("text").alias("text_hash"), line_hash.alias("seq"), n_words.alias("words")), "lines")
     rare = seqs.select("id", "seq", "words").mapInPandas(_rare, "id long, rare long")
     rare = cut(rare.groupBy("rare", "id").agg(F.lit(1).alias("one")).select("rare", "id"), "rare")
-    anchors = rare.groupBy("rare").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where("docs > 1").select("rare", "first")
-    pairs = cut(rare.join(cut(anchors, "anchors"), "rare").where("id <> first").select("first", "id").distinct(), "pairs")
+    anchors = rare.groupBy("rare").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where("docs > 1")
+    held = cut(rare.join(cut(anchors, "anchors"), "rare").where("id <> first"), "held")
+    pairs = cut(held.where(F.col("docs") <= RARE_DOCS).select("first", "id").distinct(), "pairs")
+    # one document's own hashes
+    often = cut(held.where(F.col("docs") > RARE_DOCS).groupBy("id").agg(F.collect_list("rare").alias("often")), "often")
     earlier = seqs.select(F.col("id").alias("first"), F.col("seq").alias("a"))
     later = seqs.select("id", "text_hash", F.col("seq").alias("b"), "words")
     both = pairs.join(earlier, "first").join(later, "id").select("id", "text_hash", "a", "b", "words")
+    positions = "id long, text_hash long, gone array<int>"
     gone = (
-        both.mapInPandas(_aligned, "id long, text_hash long, gone array<int>")
+        both.mapInPandas(_aligned, positions)
+        .union(often.join(later, "id").mapInPandas(_often, positions))
         .select("id", "text_hash", F.explode("gone").alias("at"))
         .groupBy("id", "text_hash")
         .agg(F.collect_set("at").alias("gone"))
@@ -225,7 +243,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def drop_emptied(deduped: DataFrame, text_col: str = "text") -> DataFrame:
-    """Without the documents all of whose text was deleted, and without the two added columns."""
-    emptied = (F.col("n_removed") > 0) & ~F.col(text_col).rlike("[^ \\t-\\r]")
+def drop_emptied(deduped: DataFrame, text_col: str = "text", least: int = 1) -> DataFrame:
+    """Without the documents that deletion left with fewer than ``least`` words, and without the two added columns.
+
+    A document that has lost nothing stays, however short.
+    """
+    emptied = (F.col("n_removed") > 0) & (F.regexp_count(text_col, F.lit("[^ \\t-\\r]+")) < least)
     return deduped.where(F.coalesce(~emptied, F.lit(True))).drop("n_lines", "n_removed")
