@@ -9,7 +9,6 @@ join their slots by (source, index).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,8 +26,8 @@ BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
 TASK_SHARDS = 32
 SEED = 20240229
-#: One row per source goes to every task; more sources than this are refused rather than broadcast.
-MOST_SOURCES = 100_000
+#: Sources are drawn in two steps, groups of so many first; a group's list is fetched for so many shards at a time.
+GROUP, SHARD_PACK = 4096, 256
 ROUND_KEYS = mix64(np.arange(SEED, SEED + 4, dtype=np.uint64))
 
 
@@ -66,12 +65,12 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def offsets(rows: DataFrame, key: str, order: list[str], value: str, total_rows: int) -> DataFrame:
     """``rows`` with column off: the sum of ``value`` over the rows of the same key before it.
 
-    Rows fall into about sqrt(total_rows) chunks by a hash of the first order column; chunk
+    Rows fall into about sqrt(total_rows) chunks by a hash of the order columns; chunk
     sums give each chunk's start, and a window inside (key, chunk) gives the rest, so a key
     that holds most rows is still summed by many tasks.
     """
     chunks = max(1, int(total_rows**0.5))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.col(order[0])), F.lit(chunks)))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
     sums = dealt.groupBy(key, "chunk").agg(F.sum(value).alias("s"))
     before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut(sums.select(key, "chunk", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start")), "starts")
@@ -80,35 +79,34 @@ def offsets(rows: DataFrame, key: str, order: list[str], value: str, total_rows:
     return within.join(starts, [key, "chunk"]).withColumn("off", F.col("start") + F.col("part")).drop("chunk", "start", "part")
 
 
-@dataclass(frozen=True)
-class Plan:
-    """What tasks need of each source, in order of ``no``: blocks there are, blocks to draw, blocks drawn."""
-
-    blocks: np.ndarray
-    wanted: np.ndarray
-    drawn: np.ndarray | None = None
-
-    @property
-    def shards(self) -> int:
-        return -(-int(self.wanted.sum()) // SHARD_SLOTS)
-
-
-def _draw(plan: Plan):
-    """Slots of each source in each shard: one multinomial a shard, seeded by the shard."""
-    p = plan.wanted / max(1, plan.wanted.sum())
-    total = int(plan.wanted.sum())
+def _draw(wanted: np.ndarray):
+    """Slots of each group of sources in each shard: one multinomial a shard, seeded by the shard."""
+    total = int(wanted.sum())
+    p = wanted / max(1, total)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for shard in pdf["id"]:
                 slots = min(SHARD_SLOTS, total - int(shard) * SHARD_SLOTS)
                 got = np.random.default_rng([SEED, int(shard)]).multinomial(slots, p)
-                no = np.flatnonzero(got)
-                yield pd.DataFrame({"shard": shard, "no": no.astype(np.int32) + 1, "n": got[no]})
+                grp = np.flatnonzero(got)
+                yield pd.DataFrame({"shard": shard, "grp": grp, "n": got[grp]})
 
     return run
 
 
+def _deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A group's slots of some shards to its sources: one multinomial a shard and group. Of a multinomial, that is one again."""
+    for pdf in batches:
+        for grp, shards, sources in zip(pdf["grp"], pdf["shards"], pdf["sources"], strict=True):
+            no, wanted = np.array([x["no"] for x in sources]), np.array([x["wanted"] for x in sources], float)
+            p = wanted / wanted.sum()
+            for x in shards:
+                got = np.random.default_rng([SEED, int(x["shard"]), int(grp)]).multinomial(int(x["n"]), p)
+                hit = np.flatnonzero(got)
+                yield pd.DataFrame({"shard": x["shard"], "no": no[hit], "n": got[hit]})
+
+
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Where each index of [0, n) goes under the permutation of [0, n) named by key: a Feistel network, walked until inside."""
     half = np.maximum(1, -(-np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) // 2)).astype(np.uint64)
@@ -126,74 +124,92 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _fill(plan: Plan):
-    """Slot rows: (shard, no, slot, block); a slot is numbered among those of its source.
-
-    Multinomial draws miss the wanted counts by chance. The draws of a source beyond its
-    count pass, in order, to the sources that fell short, so every count comes out whole.
-    """
-    over = np.maximum(plan.drawn - plan.wanted, 0)
-    short = np.maximum(plan.wanted - plan.drawn, 0)
-    over_from, short_to = np.cumsum(over) - over, np.cumsum(short)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for shard, no, n, off in zip(pdf["shard"], pdf["no"], pdf["n"], pdf["off"], strict=True):
-                i = np.full(int(n), int(no) - 1)
-                k = np.arange(int(off), int(off) + int(n))
-                extra = k >= plan.wanted[i]
-                if extra.any():
-                    at = over_from[i[extra]] + k[extra] - plan.wanted[i[extra]]
-                    to = np.searchsorted(short_to, at, side="right")
-                    k[extra] = plan.drawn[to] + at - (short_to[to] - short[to])
-                    i[extra] = to
-                size = plan.blocks[i]
-                key = mix64((i + 1).astype(np.uint64) * np.uint64(1_000_003) + (k // size).astype(np.uint64) + np.uint64(SEED))
-                yield pd.DataFrame({"shard": shard, "no": i.astype(np.int32) + 1, "slot": k, "block": permuted(k % size, size, key)})
-
-    return run
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of slots (shard, no, first, n, blocks) to slots with their blocks, about SHARD_SLOTS at a time."""
+    for pdf in batches:
+        for _, part in pdf.groupby(pdf["n"].cumsum() // SHARD_SLOTS, sort=True):
+            n = part["n"].to_numpy()
+            at = np.repeat(np.arange(len(part)), n)
+            k = part["first"].to_numpy()[at] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            no, size = part["no"].to_numpy()[at], part["blocks"].to_numpy()[at]
+            key = mix64(no.astype(np.uint64) * np.uint64(1_000_003) + (k // size).astype(np.uint64) + np.uint64(SEED))
+            yield pd.DataFrame({"shard": part["shard"].to_numpy()[at], "no": no, "slot": k, "block": permuted(k % size, size, key)})
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The mix of all ``docs``: (documents, slots).
+def _filled(drawn: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+    """Runs of slots (shard, no, first, n, blocks) in which every source has as many as wanted.
 
-    documents: one row per input row: id_col, source, no, size, source_size, target, off; a
-    source's words run from 0 on, and a document's from off on.
+    Multinomial draws miss the wanted counts by chance, by about their square roots. The
+    draws of a source beyond its count pass, one by one, to the sources that fell short.
+    """
+    got = drawn.groupBy("no").agg(F.sum("n").alias("drawn"))
+    ledger = plan.join(got, "no", "left").select("no", "blocks", "wanted", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.lit(0).alias("all"))
+    ledger = ledger.withColumns({"over": F.greatest(F.col("drawn") - F.col("wanted"), F.lit(0)), "short": F.greatest(F.col("wanted") - F.col("drawn"), F.lit(0))})
+    ledger = offsets(cut(ledger, "ledger"), "all", ["no"], "over", n_sources).withColumnRenamed("off", "over_from")
+    ledger = cut(offsets(ledger, "all", ["no"], "short", n_sources).withColumnRenamed("off", "short_from").drop("all"), "ledger")
+    runs = drawn.join(ledger, "no")
+    kept = runs.select("shard", "no", F.col("off").alias("first"), F.least("n", F.col("wanted") - F.col("off")).alias("n"), "blocks").where("n > 0")
+    beyond = runs.where("off + n > wanted").select("shard", "over_from", "wanted", F.explode(F.sequence(F.greatest("off", "wanted"), F.col("off") + F.col("n") - 1)).alias("k"))
+    beyond = beyond.select("shard", (F.col("over_from") + F.col("k") - F.col("wanted")).alias("at"))
+    lacking = ledger.where("short > 0").select("no", "blocks", "drawn", "short_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("short") - 1)).alias("u"))
+    lacking = lacking.select((F.col("short_from") + F.col("u")).alias("at"), "no", (F.col("drawn") + F.col("u")).alias("first"), "blocks")
+    passed = beyond.join(lacking, "at").select("shard", "no", "first", F.lit(1).cast("long").alias("n"), "blocks")
+    return kept.union(passed)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mix of all ``docs``: (documents, slots, sources).
+
+    documents: one row per input row: id_col, text_hash, source, no, size, source_size, target,
+    off; a source's words run from 0 on, and a document's from off on.
     slots: shard, slot, no, block: slot of the shard holds that block of the source's words.
+    sources: source, source_size, no, weight, target, blocks, wanted.
 
     Null or blank text: size 0, never taken. Null source: a source of its own, last. Null
     ids and repeated rows are rows like others. Empty table, or no words at all: no slots.
-    The result depends on ids, sources, sizes and SEED alone, not on partitions.
+    The result depends on ids, texts, sources and SEED alone, not on partitions. The driver
+    sees one number per GROUP sources.
     """
     spark = docs.sparkSession
-    sized = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
-    sources = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
-    rows = sources.select("no", "source_size", "target").orderBy("no").limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    size = np.array([r["source_size"] for r in rows], float)
-    blocks = np.maximum(1, np.ceil(size / BLOCK_WORDS)).astype(np.int64)
-    wanted = np.rint(np.array([r["target"] or 0.0 for r in rows], float) * blocks / np.maximum(size, 1)).astype(np.int64)
-    plan = Plan(blocks, np.minimum(wanted, MOST_USES * blocks) * (size > 0))
+    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
+    sized = cut(sized, "sizes")
+    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    blocks = F.greatest(F.ceil(F.col("source_size") / BLOCK_WORDS), F.lit(1)).cast("long")
+    wanted = F.rint(F.coalesce("target", F.lit(0.0)) * F.col("blocks") / F.col("source_size")).cast("long")
+    sources = sources.withColumn("blocks", blocks).withColumn("wanted", F.when(F.col("source_size") > 0, F.least(wanted, MOST_USES * F.col("blocks"))).otherwise(F.lit(0)))
+    sources = cut(sources, "sources")
 
     s = sources.alias("s")
-    with_no = sized.join(s, sized["source"].eqNullSafe(F.col("s.source"))).select("id", sized["source"], "no", "size", "source_size", "target")
-    documents = cut(offsets(with_no, "no", ["id", "size"], "size", sized.count()), "offsets")
-
-    shards = spark.range(plan.shards).mapInPandas(_draw(plan), "shard long, no int, n long")
-    drawn = cut(offsets(shards, "no", ["shard"], "n", plan.shards), "draws")
-    got = np.zeros(len(rows), np.int64)
-    for r in drawn.groupBy("no").agg(F.sum("n").alias("n")).collect():  # a row a source
-        got[r["no"] - 1] = r["n"]
-    # a shard is one short row here and thousands of slots afterwards, which Spark can't know: so many tasks, and no broadcast
-    tasks = max(1, -(-plan.shards // TASK_SHARDS))
-    slots = drawn.repartition(tasks, "shard").mapInPandas(_fill(Plan(plan.blocks, plan.wanted, got)), "shard long, no int, slot long, block long")
-    return documents.withColumnRenamed("id", id_col), slots
+    with_no = sized.join(s, sized["source"].eqNullSafe(F.col("s.source"))).select("id", "text_hash", sized["source"], "no", "size", "source_size", "target")
+    documents = cut(offsets(with_no, "no", ["id", "size", "text_hash"], "size", sized.count()), "offsets")
+
+    plan = sources.select("no", "blocks", "wanted", F.floor((F.col("no") - 1) / GROUP).cast("long").alias("grp"))
+    by_group = {r["grp"]: r["wanted"] for r in plan.groupBy("grp").agg(F.sum("wanted").alias("wanted")).collect()}
+    in_group = np.array([by_group[g] for g in range(len(by_group))], np.int64)
+    shards = -(-int(in_group.sum()) // SHARD_SLOTS)
+    drawn = spark.range(shards).mapInPandas(_draw(in_group), "shard long, grp long, n long")
+    # a group's list of sources is fetched once for SHARD_PACK shards
+    packs = drawn.groupBy("grp", F.floor(F.col("shard") / SHARD_PACK).alias("pack")).agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("shards"))
+    lists = plan.where("wanted > 0").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("no", "wanted"))).alias("sources"))
+    dealt = packs.join(lists, "grp").select("grp", "shards", "sources").mapInPandas(_deal, "shard long, no int, n long")
+    dealt = cut(offsets(cut(dealt, "dealt"), "no", ["shard"], "n", shards), "draws")
+    runs = cut(_filled(dealt, plan, max(1, len(in_group)) * GROUP), "runs")
+    # a shard is a few short rows here and thousands of slots afterwards, which Spark can't know: so many tasks, and no broadcast
+    tasks = max(1, -(-shards // TASK_SHARDS))
+    slots = runs.repartition(tasks, "shard").mapInPandas(_placed, "shard long, no int, slot long, block long")
+    return documents.withColumnRenamed("id", id_col), slots, sources
+
+
+def targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per row of ``docs``: id_col, size, and its source's source_size and target. Nulls as in ``mix``."""
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    s = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).alias("s")
+    return sized.alias("d").join(s, F.col("d.source").eqNullSafe(F.col("s.source"))).select(F.col("id").alias(id_col), "size", "source_size", "target")
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of ``docs``: id_col, source, size, source_size, target, and the words the mix takes of it, repeats counted."""
-    documents, slots = mix(docs, id_col, text_col, source_col)
+    documents, slots, _ = mix(docs, id_col, text_col, source_col)
     b = F.lit(BLOCK_WORDS)
     first, last = F.floor(F.col("off") / b), F.floor((F.col("off") + F.col("size") - 1) / b)
     spans = documents.where("size > 0").select("no", "off", "size", F.explode(F.sequence(first, last)).alias("block"))
@@ -208,19 +224,19 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
 
 
-PIECES = "no int, block long, off long, id long, words long, t string"
+PIECES = "no int, block long, off long, id long, named boolean, words long, t string"
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What each document puts into each block; a document at a time, so that long ones do not add up."""
     for pdf in batches:
-        for no, off, i, text in zip(pdf["no"], pdf["off"], pdf["id"], pdf["text"], strict=True):
+        for no, off, i, named, text in zip(pdf["no"], pdf["off"], pdf["id"], pdf["named"], pdf["text"], strict=True):
             w = text.encode("utf-8", "surrogatepass").split()
             first, last = int(off) // BLOCK_WORDS, (int(off) + len(w) - 1) // BLOCK_WORDS
             ends = [max(0, b * BLOCK_WORDS - int(off)) for b in range(first, last + 1)] + [len(w)]
             parts = [w[x:y] for x, y in zip(ends, ends[1:])]
             yield pd.DataFrame({
-                "no": no, "block": range(first, last + 1), "off": off, "id": i, "words": [len(x) for x in parts],
+                "no": no, "block": range(first, last + 1), "off": off, "id": i, "named": named, "words": [len(x) for x in parts],
                 "t": [b" ".join(x).decode("utf-8", "surrogatepass") for x in parts],
             })
 
@@ -228,21 +244,23 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: shard, slot, source, doc_ids, n_words and text, a slot's words joined by one space.
 
-    Rows without an id are drawn but have no words here. Rows that repeat an id and a size
-    are taken to hold the same text. Texts move twice: to their offsets, then cut into pieces
-    to their blocks, where the slots come to fetch them; a block is at most BLOCK_WORDS pieces.
+    Rows are told apart by id and text, so rows that repeat an id, or have none, are mixed like
+    others; a missing id is null in doc_ids. Empty table, or no words: empty result. Texts move
+    twice: to their offsets, then cut into pieces to their blocks, where the slots come to fetch
+    them; a block is at most BLOCK_WORDS pieces.
     """
-    documents, slots = mix(docs, id_col, text_col, source_col)
-    keyed = documents.where("size > 0").select(F.col(id_col).alias("id"), "no", "off", "size")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), n_words(F.col(text_col)).alias("size"), F.col(text_col).alias("text"))
-    texts = texts.groupBy("id", "size").agg(F.min("text").alias("text"))
-    pieces = keyed.hint("merge").join(texts, ["id", "size"]).select("no", "off", "id", "text").mapInPandas(_pieces, PIECES)
-    blocks = pieces.groupBy("no", "block").agg(F.array_sort(F.collect_list(F.struct("off", "id", "words", "t"))).alias("p"))
+    documents, slots, sources = mix(docs, id_col, text_col, source_col)
+    keyed = documents.where("size > 0").select(F.col(id_col).alias("id"), "text_hash", "no", "off")
+    texts = docs.select(F.col(id_col).cast("long").alias("tid"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text"))
+    texts = texts.groupBy("tid", "thash").agg(F.min("text").alias("text"))
+    joined = keyed.hint("merge").join(texts, F.col("id").eqNullSafe(F.col("tid")) & (F.col("text_hash") == F.col("thash")))
+    joined = joined.select("no", "off", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("named"), "text")
+    pieces = joined.mapInPandas(_pieces, PIECES)
+    piece = F.struct("off", F.when(F.col("named"), F.col("id")).alias("id"), "words", "t")
+    blocks = pieces.groupBy("no", "block").agg(F.array_sort(F.collect_list(piece)).alias("p"))
     filled = blocks.select(
         "no", "block", F.col("p.id").alias("doc_ids"),
         F.aggregate("p.words", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_words"),
         F.array_join("p.t", " ").alias("text"),
     )
-    # at most MOST_SOURCES rows, as mix() has checked
-    names = F.broadcast(documents.groupBy("no").agg(F.first("source").alias("source")))
-    return slots.hint("merge").join(filled, ["no", "block"]).join(names, "no").select("shard", "slot", "source", "doc_ids", "n_words", "text")
+    return slots.hint("merge").join(filled, ["no", "block"]).join(sources.select("no", "source"), "no").select("shard", "slot", "source", "doc_ids", "n_words", "text")
