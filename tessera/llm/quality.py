@@ -14,6 +14,7 @@ from tessera.llm.scratch import cut, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+MAX_DUP_PERCENT = 30
 #: Symbols of the symbol rule; a fixed value.
 SYMBOLS = "#*$%&|<>"
 #: A host goes when its shrunk failure rate is above this.
@@ -28,6 +29,7 @@ def measures(text: Column) -> dict[str, Column]:
     return {
         "word_chars": F.length(F.translate(t, SPACE_CHARS, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     }
 
@@ -47,7 +49,7 @@ def repeated_words(windows: str) -> Column:
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to ``docs``."""
+    """Add n_words, word_chars, n_symbols, n_lines (those with a word), n_dup_lines and n_repeat_words to ``docs``."""
     out = docs.withColumns(measures(F.col(text_col))).withColumn("__w", words(F.col(text_col)))
     w = F.col("__w")
     n = F.size(w)
@@ -79,7 +81,7 @@ def rule_failures() -> dict[str, Column]:
         "fail_short": F.col("n_words") < MIN_WORDS,
         "fail_repeats": F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"),
         "fail_symbols": F.lit(10) * F.col("n_symbols") > F.col("n_words") * F.lit(3),
-        "fail_dup_lines": F.col("n_dup_lines") > 30,
+        "fail_dup_lines": F.lit(100) * F.col("n_dup_lines") > F.lit(MAX_DUP_PERCENT) * F.col("n_lines"),
     }
 
 
