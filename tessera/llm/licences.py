@@ -117,6 +117,8 @@ FEATURES, LEAST_ROWS = 1 << 14, 4
 VARIANTS, UNKNOWN_ROWS, HELD_OUT = 24, 1200, 5
 #: Share of unlicensed held-out rows that may pass the limit; share of a template's word pairs that a paragraph must hold.
 FALSE_SHARE, TEMPLATE_SHARE = 0.01, 0.6
+#: A licence must at least be likelier than none, however well the calibration rows are told apart.
+LEAST_LIMIT = 0.5
 SEED = 11
 
 
@@ -184,7 +186,7 @@ def fit(spark: SparkSession) -> tuple[CountVectorizerModel, LogisticRegressionMo
     model = LogisticRegression(family="multinomial", elasticNetParam=0.9, regParam=3e-4, maxIter=40).fit(rows.where("not held"))
     best = model.transform(rows.where("held and label = 0")).select(licensed(F.col("probability")).alias("p"))
     limit = best.agg(F.percentile("p", 1 - FALSE_SHARE)).first()[0]
-    return vocabulary, model, min(0.9, max(0.5, limit))
+    return vocabulary, model, max(LEAST_LIMIT, limit)
 
 
 def licensed(probability: Column) -> Column:
