@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 #: Tags whose text flows on in the block around them; fixed values of HTML.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr "
+    "span strike strong sub sup time tt u var wbr object canvas audio video "
     "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup "
     "msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page; without a closing tag, that of the first ones goes on to the end.
 RAW_TEXT = frozenset("script style textarea title iframe".split())
-RAW = RAW_TEXT | frozenset("template noscript svg object canvas audio video annotation annotation-xml".split())
+RAW = RAW_TEXT | frozenset("template svg annotation annotation-xml".split())
 #: An element that begins closes an open one of these, if that is the innermost block.
 CLOSES = {
     "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"),
@@ -38,15 +38,19 @@ CLOSES = {
 }
 TAGS = frozenset(
     "html head body article main section div p h1 h2 h3 h4 h5 h6 nav header footer aside form fieldset button select option label input ul ol li "
-    "dl dt dd table tr td th blockquote pre figure figcaption details summary address dialog menu".split()
+    "dl dt dd table tr td th blockquote pre figure figcaption details summary address dialog menu noscript".split()
 )
 #: Words in class, id and role that tell what an element is for.
 HINTS = frozenset(
     "ad ads advert advertisement banner sponsor sponsored promo nav navigation menu navbar breadcrumb breadcrumbs sidebar side widget footer header "
     "masthead copyright cookie consent gdpr notice alert popup modal overlay subscribe newsletter signup login search form comment comments reply "
-    "respond discussion disqus share sharing social related recommended more pagination pager tags toolbar skip hidden article content main post "
+    "replies responses respond discussion disqus share sharing social related recommended more pagination pager tags toolbar skip hidden article content main post "
     "entry story body text page article-body prose complementary contentinfo".split()
 )
+#: Those of readers' comments, which also count together.
+TALK = frozenset("comment comments reply replies responses respond discussion disqus".split())
+#: Features of elements that frame an article.
+FRAMES = frozenset("tag:article tag:main hint:article hint:content hint:main hint:post hint:entry hint:story hint:prose hint:article-body".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S
 )
@@ -81,7 +85,10 @@ def element_features(tag: str, attrs: str) -> tuple[str, ...]:
         for name, a, b, c in ATTR.findall(attrs):
             value = (a or b or c).lower()
             if name.lower() in ("class", "id", "role"):
-                out |= {"hint:" + w for w in SPLIT.split(value) if w in HINTS}
+                words = SPLIT.split(value)
+                out |= {"hint:" + w for w in words if w in HINTS}
+                if not TALK.isdisjoint(words):
+                    out.add("talk")
             elif name.lower() == "style" and "none" in value or name.lower() == "aria-hidden" and value == "true":
                 out.add("hint:hidden")
         if len(_element_memo) > 20_000:
@@ -170,6 +177,11 @@ def parse(source: str) -> list[Node]:
         if tag not in VOID and not m["attrs"].endswith("/"):
             stack.append((tag, len(nodes) - 1))
     flush()
+    if not any(f in FRAMES for x in nodes for f in x.features):
+        # no element says that it is the article: where its blocks lie tells more
+        tags = [next((f for f in x.features if f.startswith("tag:")), "") + "+" * (len(x.features) > 1) for x in nodes]
+        for i, x in enumerate(nodes):
+            x.features = (*x.features, f"free:{tags[i] if x.text is None else 'run'}<{tags[x.parent]}")
     return nodes
 
 
@@ -205,7 +217,7 @@ def extract(source: str | None, w: Weights) -> str:
     return " ".join(x.text for x, b in zip(nodes, belief, strict=True) if x.text is not None and b >= 0)
 
 
-def train(pages: list[str], rounds: int = 12, rate: float = 0.15, decay: float = 1e-4) -> Weights:
+def train(pages: list[str], rounds: int = 24, rate: float = 0.15, decay: float = 1e-5) -> Weights:
     """Weights by stochastic ascent on the log likelihood, whose gradient is labels minus marginals."""
     w = Weights()
     trees = [parse(p) for p in pages]
@@ -250,14 +262,23 @@ def training_pages(n: int, seed: int = 7) -> list[str]:
         body = _words(r, least, most)
         return r.choice([f"<p>{body}</p>", f"<p>{body}</p>", f"<p>{body}", f"<p><b>{body}<br><p>{_words(r, 1, 50)}</p>", f"<p>{body} <a href=x>{_words(r, 1, 3)}</a> {body}</p>"])
 
-    def article_body() -> str:
+    def article_parts() -> list[str]:
         kinds = [lambda: f"<ul><li>{_words(r, 2, 20)}</li><li>{_words(r, 1, 20)}</li></ul>", lambda: f"<blockquote>{p()}</blockquote>",
                  lambda: f"<pre>{_words(r, 2, 20)}</pre>", lambda: f"<h2>{_words(r, 1, 6)}</h2>", lambda: f"<table><tr><td>{_words(r, 1, 5)}</td><td>{_words(r, 1, 5)}</td></tr></table>",
                  lambda: f"<figure><figcaption>{_words(r, 2, 9)}</figcaption></figure>", lambda: f"<div>{_words(r, 3, 40)}</div>", lambda: f"<section>{p()}{p()}</section>",
                  lambda: f'<div data-keep="0" class="{r.choice(["ad", "ads", "advert", "sponsored", "promo"])}">{_words(r, 1, 30)}</div>',
                  lambda: f'<aside data-keep="0">{_words(r, 2, 30)}</aside>', lambda: f'<form data-keep="0"><label>{_words(r, 1, 3)}</label><input name=q><button>{_words(r, 1, 2)}</button></form>',
-                 lambda: f'<div data-keep="0" class="{r.choice(["share", "social", "related", "tags", "newsletter"])}">{links(4)}</div>']
-        return "".join(p() if r.random() < 0.75 else r.choice(kinds)() for _ in range(r.randint(1, 9)))
+                 lambda: f'<div data-keep="0" class="{r.choice(["share", "social", "related", "tags", "newsletter"])}">{links(4)}</div>', replies]
+        return [p() if r.random() < 0.75 else r.choice(kinds)() for _ in range(r.randint(1, 9))]
+
+    def replies() -> str:
+        outer, inner = r.choice([("ul", "li"), ("ol", "li"), ("div", "div"), ("section", "p")])
+        said = "".join(f"<{inner}>{r.choice(['{}', '<p>{}</p>', '<b>Ann</b> {}']).format(_words(r, 2, 40))}</{inner}>" for _ in range(r.randint(1, 4)))
+        return f'<{outer} data-keep="0" class="{r.choice(["replies", "comments", "responses", "comment-list", "discussion", "reader-comments"])}">{said}</{outer}>'
+
+    def bare(parts: list[str]) -> str:
+        """Parts of an article with nothing around them; each is labelled by itself."""
+        return "".join(x if "data-keep" in x else re.sub(r"<(p|h[1-6]|ul|blockquote|pre|table|figure|div|section)(?=[ >])", r'<\1 data-keep="1"', x) for x in parts)
 
     def junk() -> str:
         cls = lambda *xs: r.choice(["class", "id"]) + f'="{r.choice(xs)}"'
@@ -272,15 +293,19 @@ def training_pages(n: int, seed: int = 7) -> list[str]:
                  f'<div role="{r.choice(["navigation", "complementary", "contentinfo", "search", "banner"])}">{inner}</div>',
                  f'<section {cls("comments", "comment", "discussion", "respond", "disqus", "comment-list")}><h2>{_words(r, 1, 3)}</h2>' + "".join(f'<{t} class="comment"><p>{_words(r, 2, 50)}</p></{t}>' for t in [r.choice(["div", "li", "article"])] * r.randint(1, 4)) + "</section>",
                  f'<form {cls("search", "login", "signup", "subscribe", "newsletter", "form")}><label>{_words(r, 1, 4)}</label><input name=q><select><option>{_words(r, 1, 2)}<option>{_words(r, 1, 2)}</select><button>{_words(r, 1, 2)}</button><p>{_words(r, 1, 20)}</p></form>',
-                 f'<div style="display:none">{inner}</div>', f"<menu>{links(4)}</menu>", f"<dialog>{inner}</dialog>"]
+                 f'<div style="display:none">{inner}</div>', f"<noscript>{r.choice([text, f'<p>{text}</p>'])}</noscript>", f"<menu>{links(4)}</menu>", f"<dialog>{inner}</dialog>"]
         return r.choice(kinds)
 
     out = []
     for _ in range(n):
-        head = r.choice([f"<h1>{_words(r, 1, 12)}</h1>", f"<header><h1>{_words(r, 1, 12)}</h1></header>", ""]) + article_body()
+        parts = [f"<p>{_words(r, 1, 4)}</p>" for _ in range(r.randint(10, 60))] if r.random() < 0.1 else article_parts()
+        if r.random() < 0.25:
+            parts.append(replies())
+        head = r.choice([f"<h1>{_words(r, 1, 12)}</h1>", f"<header><h1>{_words(r, 1, 12)}</h1></header>", ""]) + "".join(parts)
         cls = f'{r.choice(["class", "id"])}="{r.choice(["content", "article", "post", "entry", "main", "story", "article-body", "text", "post-body", "prose", "main-content"])}"'
-        body = r.choice([f'<article data-keep="1">{head}</article>', f'<article data-keep="1">{head}</article>', f'<main><article data-keep="1">{head}</article></main>', f'<main data-keep="1">{head}</main>',
-                         f'<div data-keep="1" {cls}>{head}</div>', f'<div><div data-keep="1" {cls}>{head}</div></div>', f'<main><div {cls} data-keep="1">{head}</div></main>'])
+        body = r.choice([f'<article data-keep="1">{head}</article>', f'<article data-keep="1">{head}</article>', f'<main data-keep="1"><article>{head}</article></main>', f'<main data-keep="1">{head}</main>',
+                         f'<div data-keep="1" {cls}>{head}</div>', f'<div><div data-keep="1" {cls}>{head}</div></div>', f'<main data-keep="1"><div {cls}>{head}</div></main>',
+                         bare([f"<h1>{_words(r, 1, 12)}</h1>", *parts]), f"<div>{bare(parts)}</div>"])
         before, after = ("".join(junk() for _ in range(r.randint(0, 4))) for _ in range(2))
         title = f"<head><meta charset=utf-8><title>{_words(r, 1, 5)}</title><style>p{{}}</style></head>"
         out.append(f"<!DOCTYPE html><html>{title}<body>{before}<!-- x -->{r.choice([body, body, f'<div id=wrap>{body}{junk()}</div>'])}{after}{r.choice(['</body></html>', ''])}")
@@ -288,7 +313,7 @@ def training_pages(n: int, seed: int = 7) -> list[str]:
 
 
 #: Labelled pages that the model is fitted to.
-TRAINING_PAGES = 240
+TRAINING_PAGES = 400
 _fitted: list[Weights] = []
 
 
