@@ -12,7 +12,7 @@ from tessera.llm.decontaminate import clean_of
 from tessera.llm.line_dedup import drop_emptied, line_dedup
 from tessera.llm.mixing import mixed_texts
 from tessera.llm.near_dedup import one_of_each
-from tessera.llm.quality import keep_good
+from tessera.llm.quality import MIN_WORDS, keep_good
 from tessera.llm.scratch import cut
 
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document holds go from the later; a document left empty goes."""
-    return drop_emptied(line_dedup(docs))
+    """Blocks of lines that an earlier document holds go from the later; a document that this leaves shorter than the rules allow goes."""
+    return drop_emptied(line_dedup(docs), least=MIN_WORDS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
