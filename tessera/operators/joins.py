@@ -8,54 +8,77 @@ from pyspark.sql import functions as F
 from tessera.functions.windows import Series
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, values: list[str], strict: bool = False) -> DataFrame:
+def asof(
+    left: DataFrame, right: DataFrame, on: str | list[str], left_time: str, right_time: str, values: list[str], strict: bool = False, span: str | None = "quarter"
+) -> DataFrame:
     """``left`` with the values of the last row of ``right`` of the same key not after it (before it, if strict).
 
-    Both sides are tagged, united and sorted once by (key, time, tag); the last value that is
-    not null is carried forward. One shuffle by key, and no pair of rows is ever formed.
+    Both sides are tagged, united and sorted by (key, time, tag) within spans of time; the last
+    value that is not null is carried forward. What a span begins with comes from one row a key
+    and span, carried forward the same way, so the rows of a hot key are dealt over its spans.
+    No pair of rows is ever formed. span None: times that are not dates, in one piece a key.
     """
-    payload = F.struct(*values)
-    r = right.select(F.col(on).alias("__k"), F.col(right_time).alias("__t"), F.lit(1 if strict else 0).alias("__tag"), payload.alias("__v"))
-    row = F.struct(*left.columns)
-    le = left.select(F.col(on).alias("__k"), F.col(left_time).alias("__t"), F.lit(0 if strict else 1).alias("__tag"), row.alias("__row"))
+    keys = [on] if isinstance(on, str) else on
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    by = [f"__k{i}" for i in range(len(keys))]
+    payload, row = F.struct(*values), F.struct(*left.columns)
+    piece = lambda t: F.date_trunc(span, t) if span else F.lit(0)
+    r = right.select(*named, F.col(right_time).alias("__t"), piece(right_time).alias("__s"), F.lit(1 if strict else 0).alias("__tag"), payload.alias("__v"))
+    le = left.select(*named, F.col(left_time).alias("__t"), piece(left_time).alias("__s"), F.lit(0 if strict else 1).alias("__tag"), row.alias("__row"))
     both = le.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy("__k").orderBy("__t", "__tag").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "__s").orderBy("__t", "__tag").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__row is not null")
+    if span:
+        ends = both.groupBy(*by, "__s").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__t"))).alias("__end"))
+        before = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+        begins = ends.select(*[F.col(k).alias(f"{k}b") for k in by], F.col("__s").alias("__sb"), F.last("__end", ignorenulls=True).over(before).alias("__begin"))
+        same = F.col("__s").eqNullSafe(F.col("__sb"))
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}b"))
+        found = found.join(begins, same).withColumn("__v", F.coalesce("__v", "__begin"))
     return found.select("__row.*", *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
-def in_interval(left: DataFrame, intervals: DataFrame, on: str, time: str, start: str, end: str, values: list[str]) -> DataFrame:
-    """``left`` with the values of the interval [start, end) of its key; of several, the one that began last. A null end is open."""
-    i = intervals.select(F.col(on).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"), *values)
-    match = (left[on] == i["__k"]) & (left[time] >= i["__s"]) & (i["__e"].isNull() | (left[time] < i["__e"]))
-    joined = left.join(i, match, "left")
-    w = Window.partitionBy(*[joined[c] for c in left.columns]).orderBy(F.col("__s").desc_nulls_last(), *values)
-    return joined.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__k", "__s", "__e", "__n")
+def in_interval(left: DataFrame, intervals: DataFrame, on: str, time: str, start: str, end: str, values: list[str], span: str = "year") -> DataFrame:
+    """``left`` with the values of the interval [start, end) of its key; of several, the one that began last. A null end is open.
 
+    Rows that repeat stay. Keys with times are matched once each; an interval stands once a
+    span that it touches, so a row meets only the intervals around it.
+    """
+    asked = left.select(F.col(on).alias("__k"), F.col(time).alias("__t")).distinct().withColumn("__p", F.trunc("__t", span))
+    ends = asked.agg(F.max("__p").alias("__last"))
+    i = intervals.select(F.col(on).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"), *values).crossJoin(F.broadcast(ends))  # one row on the right
+    first, last = F.trunc("__s", span), F.least(F.trunc("__e", span), F.col("__last"))
+    step = F.expr(f"interval 1 {span}")
+    i = i.where(first <= last).withColumn("__p", F.explode(F.sequence(first, last, step)))
+    met = asked.join(i, ["__k", "__p"]).where("__t >= __s and (__e is null or __t < __e)")
+    best = met.groupBy("__k", "__t").agg(F.max_by(F.struct(*values), F.struct("__s", *values)).alias("__v"))
+    joined = left.join(best, left[on].eqNullSafe(best["__k"]) & left[time].eqNullSafe(best["__t"]), "left")
+    return joined.select(*[left[c] for c in left.columns], *[F.col(f"__v.{v}").alias(v) for v in values])
+
+
+def numbered(dates: DataFrame) -> DataFrame:
+    """Distinct dates with n, their place in the calendar from 1. A row a date."""
+    return dates.select("date").distinct().withColumn("n", F.row_number().over(Window.orderBy("date")))
 
-def forward_return(bars: DataFrame, horizons: list[int]) -> DataFrame:
+
+def forward_return(bars: DataFrame, horizons: list[int], lag: int = 0) -> DataFrame:
     """Return of each bar to the bar at the date h places later in the market's calendar; null where there is none.
 
-    The calendar has a row a date, so its window and its join are small.
+    With lag, from the bar ``lag`` places later to h places after that. One sort by symbol
+    serves all horizons: a frame reaches by calendar number, not by row.
     """
-    dates = bars.select("date").distinct()
-    w = Window.orderBy("date")
-    ahead = dates.select("date", *[F.lead("date", h).over(w).alias(f"to{h}") for h in horizons])
-    out = bars.join(ahead, "date")
-    for h in horizons:
-        later = bars.select(F.col("symbol"), F.col("date").alias(f"to{h}"), F.col("close").alias(f"later{h}"))
-        out = out.join(later, ["symbol", f"to{h}"], "left").withColumn(f"fwd_{h}", F.when(F.col("close") != 0, F.col(f"later{h}") / F.col("close") - 1))
-    return out.drop(*[f"to{h}" for h in horizons], *[f"later{h}" for h in horizons])
+    placed = bars.join(numbered(bars).withColumnRenamed("n", "__n"), "date")
+    at = lambda k: F.first("close").over(Window.partitionBy("symbol").orderBy("__n").rangeBetween(k, k))
+    base = at(lag) if lag else F.col("close")
+    return placed.withColumns({f"fwd_{h}": F.when(base != 0, at(lag + h) / base - 1) for h in horizons}).drop("__n")
 
 
 def filled_grid(bars: DataFrame, value: str) -> DataFrame:
-    """Every symbol on every date from its first on, the value carried forward.
-
-    The grid is as large as its answer; dates are one row each.
-    """
+    """Every symbol on every date from its first on, the value carried forward. The grid is as large as its answer."""
     first = bars.groupBy("symbol").agg(F.min("date").alias("since"))
-    dates = bars.select("date").distinct()
-    grid = first.join(dates, F.col("date") >= F.col("since")).select("symbol", "date")
+    calendar = bars.agg(F.sort_array(F.collect_set("date")).alias("dates"))  # one row, a date each day of the market
+    grid = first.crossJoin(F.broadcast(calendar)).select("symbol", F.explode(F.filter("dates", lambda d: d >= F.col("since"))).alias("date"))
     return grid.join(bars.select("symbol", "date", value), ["symbol", "date"], "left").withColumn(value, Series().fill(value))
 
 

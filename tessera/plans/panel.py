@@ -1,4 +1,4 @@
-"""Panels (one row per symbol and time) derived from the source tables, and their calendar and dimensions."""
+"""Panels (one row per symbol and time) derived from the source tables, and their dimensions. A symbol is a supplier, so panels grow with the tables."""
 
 from __future__ import annotations
 
@@ -11,23 +11,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, grain: str = "week") -> DataFrame:
-    """Bars per brand: symbol, date, open, high, low, close, volume, amount.
+    """Bars per supplier: symbol, date, open, high, low, close, volume, amount.
 
     Aggregation before anything else: the panel that later windows sort is smaller than the
-    trades by the trades per bar. Part is joined by key; Spark broadcasts it where its size allows.
+    trades by the trades per bar.
     """
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    trades = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.col("p_brand").alias("symbol"),
-            F.date_trunc(grain, "l_shipdate").cast("date").alias("date"),
-            price.alias("price"),
-            "l_quantity",
-            "l_extendedprice",
-            F.struct("l_shipdate", "l_orderkey", "l_linenumber", price.alias("p")).alias("at"),
-        )
+    trades = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("symbol"),
+        F.date_trunc(grain, "l_shipdate").cast("date").alias("date"),
+        price.alias("price"),
+        "l_quantity",
+        "l_extendedprice",
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", price.alias("p")).alias("at"),
     )
     return trades.groupBy("symbol", "date").agg(
         F.min_by("price", "at").alias("open"),
@@ -39,16 +35,16 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "week") -> DataFrame:
     )
 
 
-def calendar(panel: DataFrame) -> DataFrame:
-    """Distinct dates with their number, from 1. One row a date: small whatever the panel."""
-    from pyspark.sql import Window
-
-    return panel.select("date").distinct().withColumn("n", F.row_number().over(Window.orderBy("date")))
+def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol to its nation and to its region: many to many, without repeats."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    placed = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return placed.select(F.col("s_suppkey").alias("symbol"), F.explode(F.array("n_name", "r_name")).alias("member")).distinct()
 
 
-def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbol to category, many to many, without repeats."""
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol"), F.col("p_type").alias("member")).distinct()
+def float_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = F.floor(F.abs("s_acctbal")) + 1000
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), shares.alias("float_shares"))
 
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +52,8 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = F.date_trunc("quarter", "o_orderdate").cast("date")
     return (
         table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("p_brand").alias("symbol"), quarter.alias("quarter"))
+        .groupBy(F.col("l_suppkey").alias("symbol"), quarter.alias("quarter"))
         .agg(F.sum("l_extendedprice").alias("revenue"))
         .withColumn("announced", F.date_add(F.add_months("quarter", 3), 29))
     )

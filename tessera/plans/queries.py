@@ -12,7 +12,7 @@ from tessera.functions import factors
 from tessera.functions.windows import Cross, Series, clamp, log, safe_div, sqrt
 from tessera.operators import factor_test, indicators, joins, market, screen, text
 from tessera.operators.recursive import with_recursive
-from tessera.plans.panel import bars, fundamentals, membership, table, ticks
+from tessera.plans.panel import bars, float_shares, fundamentals, membership, table, ticks
 from tessera.sources import files
 from tessera.streaming import events
 
@@ -23,8 +23,8 @@ S, X = Series(), Cross()
 DIGITS = 6
 
 BARS = """
-trades AS (SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice / l_quantity AS price,
-  l_quantity, l_extendedprice, l_shipdate, l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey),
+trades AS (SELECT l_suppkey AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice / l_quantity AS price,
+  l_quantity, l_extendedprice, l_shipdate, l_orderkey, l_linenumber FROM lineitem),
 bars AS (SELECT symbol, date, first(price ORDER BY l_shipdate, l_orderkey, l_linenumber, price) AS open, max(price) AS high, min(price) AS low,
   last(price ORDER BY l_shipdate, l_orderkey, l_linenumber, price) AS close, CAST(sum(l_quantity) AS DOUBLE) AS volume, sum(l_extendedprice) AS amount
   FROM trades GROUP BY ALL)"""
@@ -65,7 +65,7 @@ ROLL = f"""{BARS}, {ROLL1}, rolled AS (SELECT *, ma20 + 2 * std20 AS boll_upper,
   CASE WHEN ma60 IS NOT NULL THEN CAST(ma5 < ma10 AND ma10 < ma20 AND ma20 < ma60 AS INTEGER) END AS ma_bear_align FROM one)"""
 
 
-def shifted(sql: str) -> str:
+def snapped(sql: str) -> str:
     """The SQL with round(x, digits) written as ``rnd`` writes it."""
     m = re.search(r"(?<![\w.])round\(", sql)
     if not m:
@@ -75,7 +75,7 @@ def shifted(sql: str) -> str:
         depth += {"(": 1, ")": -1}.get(sql[end], 0)
         end += 1
     x, digits = sql[m.end() : end - 1].rsplit(",", 1)
-    return sql[: m.start()] + rnd(shifted(x), int(digits)) + shifted(sql[end:])
+    return sql[: m.start()] + rnd(snapped(x), int(digits)) + snapped(sql[end:])
 
 
 def query(sql: str | None = None):
@@ -84,19 +84,20 @@ def query(sql: str | None = None):
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = shifted(sql)
+            SQL[f.__name__] = snapped(sql)
         return f
 
     return register
 
 
-#: Values are moved by this share of the last digit before they are rounded, in both engines: exact halves, common among
-#: prices, would otherwise be decided by the last bit of a sum, which depends on its order.
-SHIFT = 0.1237
+#: Values are rounded to so many digits more before they are rounded: that takes away the last bits of a sum, which depend on
+#: its order and would otherwise decide exact halves, and leaves the value where it is.
+SNAP = 4
 
 
 def even(x: str | Column, digits: int = DIGITS) -> Column:
-    return F.rint((F.col(x) if isinstance(x, str) else x) * float(10**digits) + SHIFT) / float(10**digits)
+    """Rounded half to even."""
+    return F.rint(F.rint((F.col(x) if isinstance(x, str) else x) * float(10 ** (digits + SNAP))) / float(10**SNAP)) / float(10**digits)
 
 
 def rounded(df: DataFrame, *keys: str, digits: int = DIGITS) -> DataFrame:
@@ -105,7 +106,7 @@ def rounded(df: DataFrame, *keys: str, digits: int = DIGITS) -> DataFrame:
 
 
 def rnd(x: str, digits: int = DIGITS) -> str:
-    return f"round_even(({x}) * CAST({10**digits} AS DOUBLE) + CAST({SHIFT} AS DOUBLE), 0) / CAST({10**digits} AS DOUBLE)"
+    return f"round_even(round_even(({x}) * CAST({10 ** (digits + SNAP)} AS DOUBLE), 0) / CAST({10**SNAP} AS DOUBLE), 0) / CAST({10**digits} AS DOUBLE)"
 
 
 def r(*columns: str, digits: int = DIGITS) -> str:
@@ -317,20 +318,19 @@ def factor_return_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(staged.select("symbol", "date", *[v.alias(k) for k, v in factors.second().items()]))
 
 
-@query(f"""WITH {BARS}, s AS (SELECT p_brand AS symbol, sum(p_size) AS float_shares FROM part GROUP BY 1), b AS (SELECT bars.*, volume * 10000 / nullif(float_shares, 0) AS tr FROM bars JOIN s USING (symbol))
+@query(f"""WITH {BARS}, s AS (SELECT s_suppkey AS symbol, CAST(floor(abs(s_acctbal)) AS BIGINT) + 1000 AS float_shares FROM supplier), b AS (SELECT bars.*, volume * 10000 / nullif(float_shares, 0) AS tr FROM bars JOIN s USING (symbol))
   SELECT symbol, date, round(tr, 4) AS turnover_rate, round({_ratio("tr", roll("avg", "tr", 5, -1))} - 1, 6) AS turnover_ratio_5d, round({_ratio(f"tr - {roll('avg', 'tr', 60, -1)}", roll("stddev_samp", "tr", 60, -1))}, 6) AS turnover_z_60d,
     round({roll("avg", "tr", 20)}, 4) AS turnover_mean_20d, round({_ratio(roll("stddev_samp", "tr", 20), roll("avg", "tr", 20))}, 6) AS turnover_std_20d, round(CASE WHEN close * volume / nullif(tr, 0) > 0 THEN ln(close * volume / tr) END, 6) AS log_float_mv FROM b""")
 def factor_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.sum("p_size").alias("float_shares"))
-    out = factors.turnover(week(spark, sf_dir), shares)
+    out = factors.turnover(week(spark, sf_dir), float_shares(spark, sf_dir))
     return out.select("symbol", "date", even("turnover_rate", 4).alias("turnover_rate"), even("turnover_ratio_5d", 6).alias("turnover_ratio_5d"), even("turnover_z_60d", 6).alias("turnover_z_60d"),
                       even("turnover_mean_20d", 4).alias("turnover_mean_20d"), even("turnover_std_20d", 6).alias("turnover_std_20d"), even("log_float_mv", 6).alias("log_float_mv"))
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------------------
 
-FUNDAMENTALS = """fund AS (SELECT p_brand AS symbol, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, sum(l_extendedprice) AS revenue,
-  CAST(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 3 MONTH + INTERVAL 29 DAY AS DATE) AS announced FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
+FUNDAMENTALS = """fund AS (SELECT l_suppkey AS symbol, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, sum(l_extendedprice) AS revenue,
+  CAST(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 3 MONTH + INTERVAL 29 DAY AS DATE) AS announced FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
 
 
 @query(f"""WITH {BARS}, {FUNDAMENTALS} SELECT b.symbol, b.date, f.quarter, round(f.revenue, 2) AS revenue FROM bars b ASOF LEFT JOIN fund f ON b.symbol = f.symbol AND b.date > f.announced""")
@@ -490,7 +490,8 @@ def market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.regime(market.breadth(rolled(spark, sf_dir)))
 
 
-MEMBERS = "mem AS (SELECT DISTINCT p_brand AS symbol, p_type AS member FROM part)"
+MEMBERS = """mem AS (SELECT s_suppkey AS symbol, n_name AS member FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION SELECT s_suppkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
 @query(f"""WITH {ROLL}, {MEMBERS} SELECT date, member, count(*) AS symbols, CAST(count(CASE WHEN change_pct >= 0.05 THEN 1 END) AS BIGINT) AS hot, round(sum(amount), 2) AS amount, round(avg(change_pct), 6) AS mean_change,
