@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.windows import Cross, Series
+from tessera.functions.windows import Cross, Series, safe_div
+from tessera.operators import indicators
 
 S, X = Series(), Cross()
 
@@ -76,6 +77,70 @@ RECURSIVE_STRATEGIES: dict[str, Strategy] = {
 }
 
 
+def _band() -> tuple[Column, Column]:
+    return F.greatest("ma5", "ma10", "ma20"), F.least("ma5", "ma10", "ma20")
+
+
+def _squeezed(days: int = 5, widest: float = 0.025) -> Column:
+    """The means have lain together on each of the ``days`` bars before this one."""
+    top, bottom = _band()
+    tight = ((top - bottom) / c("ma20") <= widest).cast("int")
+    return F.sum(tight).over(S.frame(days, -1)) == days
+
+
+#: Strategies on columns of ``limits.flags`` and of turnover, shadows and places in the bar as well (see ``limit_panel``).
+LIMIT_STRATEGIES: dict[str, Strategy] = {
+    "active_limit_gene": Strategy(
+        lambda: (c("limit_up_count_60d") >= 3) & (c("change_pct") < 0.07) & (c("vol_ratio_5d") <= 1.2), lambda: c("limit_up_count_60d") < 2
+    ),
+    "broken_board_recovery": Strategy(lambda: c("signal_limit_up") & (c("vol_ratio_5d") >= 1.5) & (c("change_pct") > 0.03), _below_ma20),
+    "consecutive_limit_ups": Strategy(lambda: c("signal_limit_up") & (c("consecutive_limit_ups") >= 2)),
+    "high_turnover_surge": Strategy(lambda: (c("turnover_rate") > 5) & (c("change_pct") > 0.03), _below_ma20),
+    "limit_up_momentum": Strategy(lambda: (c("change_pct") > 0.05) & (c("consecutive_limit_ups") >= 1)),
+    "long_lower_shadow_reversal": Strategy(
+        lambda: (c("lower_shadow") >= 0.03) & (c("momentum_5d") <= -0.05) & (c("vol_ratio_5d") >= 1.2) & (c("close_position") >= 0.5), lambda: c("close") < c("ma5")
+    ),
+    "ma_convergence_breakout": Strategy(
+        lambda: _squeezed() & (c("close") > _band()[0]) & (c("change_pct") >= 0.02) & (c("vol_ratio_5d") >= 1.2), lambda: c("close") < c("ma10")
+    ),
+    "near_limit_up": Strategy(lambda: (c("change_pct") > 0.07) & (c("change_pct") >= c("percent") / 100 - 0.03), _below_ma20),
+}
+
+
+def limit_panel(flagged: DataFrame, shares: DataFrame) -> DataFrame:
+    """``flagged`` bars with indicators and the further columns of LIMIT_STRATEGIES; shares: (symbol, float_shares)."""
+    rolled = indicators.rolling(flagged).join(shares, "symbol")
+    up = F.sum((c("consecutive_limit_ups") > 0).cast("int"))
+    return rolled.withColumns(
+        {
+            "turnover_rate": safe_div(c("volume") * 10000, "float_shares"),
+            "lower_shadow": safe_div(F.least("open", "close") - c("low"), "prev_close"),
+            "close_position": safe_div(c("close") - c("low"), c("high") - c("low")),
+            "limit_up_count_20d": S.guarded(c("consecutive_limit_ups"), 20, up.over(S.frame(20))),
+            "limit_up_count_60d": S.guarded(c("consecutive_limit_ups"), 60, up.over(S.frame(60))),
+        }
+    )
+
+
+def ranked_entries(scored: DataFrame, enter: float = 70.0, leave: float = 40.0, n: int = 20) -> DataFrame:
+    """``scored`` with entry (a score of ``enter``, among the n best of its date, ties by symbol) and exit (a score of ``leave`` or less)."""
+    enough = F.when(c("score") >= enter, c("score"))
+    placed = scored.withColumn("__place", F.row_number().over(Window.partitionBy("date").orderBy(enough.desc_nulls_last(), "symbol")))
+    return placed.withColumns({"entry": enough.isNotNull() & (c("__place") <= n), "exit": c("score") <= leave}).drop("__place")
+
+
+def held(panel: DataFrame, children: list[tuple[str, int]], least: int = 1) -> DataFrame:
+    """Several strategies as one: entry where ``least`` children enter, exit where a child whose entry stood within its last n bars leaves.
+
+    panel has entry_<name> and exit_<name> for each (name, n).
+    """
+    votes, leave = F.lit(0), F.lit(False)
+    for name, n in children:
+        votes = votes + c(f"entry_{name}").cast("int")
+        leave = leave | (c(f"exit_{name}") & (F.max(c(f"entry_{name}").cast("int")).over(S.frame(n)) > 0))
+    return panel.withColumns({"entry": votes >= least, "exit": leave, "votes": votes})
+
+
 def evaluated(panel: DataFrame, strategies: dict[str, Strategy]) -> DataFrame:
     """``panel`` with boolean columns entry_<name> and exit_<name>; undecided counts as false."""
     columns = {}
@@ -93,10 +158,10 @@ def basic_filter(
     if prefixes:
         match = F.lit(False)
         for p in prefixes:
-            match = match | c("symbol").startswith(p)
+            match = match | c("symbol").cast("string").startswith(p)
         out = out.where(match)
     if excluded:
-        out = out.where(~c("symbol").rlike(excluded))
+        out = out.where(~c("symbol").cast("string").rlike(excluded))
     if listed_after:
         out = out.withColumn("__age", F.row_number().over(S.spec)).where(c("__age") > listed_after).drop("__age")
     return out
