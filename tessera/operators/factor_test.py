@@ -93,3 +93,81 @@ def pair_correlations(panel: DataFrame, factors: list[str]) -> DataFrame:
             one = ic(panel, a, b, least=3).agg(F.avg("ic").alias("corr")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "corr")
             out = one if out is None else out.union(one)
     return out
+
+
+def ic_decay(panel: DataFrame, factor: str, horizons: dict[int, str]) -> DataFrame:
+    """Per horizon: mean of the daily rank correlation with the return over it, and the dates that have one. Horizons are ranked side by side."""
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("__y")) for h, c in horizons.items()])).alias("x")
+    rows = panel.where(F.col(factor).isNotNull()).select("date", factor, each).select("date", factor, "x.*").where("__y is not null")
+    by = Cross("__by")
+    ranked = rows.withColumn("__by", F.struct("date", "horizon")).select("__by", by.average_rank(factor).alias("a"), by.average_rank("__y").alias("b"))
+    daily = ranked.groupBy("__by").agg(F.covar_samp("a", "b").alias("c"), (F.stddev_samp("a") * F.stddev_samp("b")).alias("s"))
+    daily = daily.select("__by.horizon", safe_div("c", "s").alias("ic"))
+    return daily.groupBy("horizon").agg(F.avg("ic").alias("ic_mean"), F.count("ic").alias("n_dates"))
+
+
+#: Regime states put together to three; fixed values.
+THREE_LEVELS = {"strong": "strong", "lean_strong": "strong", "range": "range", "lean_weak": "weak", "weak": "weak"}
+
+
+def regime_ic(daily: DataFrame, regimes: DataFrame) -> DataFrame:
+    """Per state of the day before: mean, information ratio and share of positive daily correlations; regimes: (date, state_before)."""
+    level = F.coalesce(*[F.when(F.col("state_before") == k, v) for k, v in THREE_LEVELS.items()])
+    joined = daily.where("ic is not null").join(regimes.where("state_before is not null").select("date", level.alias("level")), "date")
+    return joined.groupBy("level").agg(F.avg("ic").alias("ic_mean"), safe_div(F.avg("ic"), F.stddev_pop("ic")).alias("ic_ir"), F.avg((F.col("ic") > ZERO).cast("double")).alias("win_rate"), F.count("*").alias("days"))
+
+
+def proxy_ic(panel: DataFrame, weights: dict[str, float], ret: str) -> DataFrame:
+    """Daily rank correlation of a weighted sum of ranks with the return, on rows that have all."""
+    rows = panel
+    for c in (*weights, ret):
+        rows = rows.where(F.col(c).isNotNull())
+    total = F.lit(0.0)
+    for name, w in weights.items():
+        total = total + X.rank(name) * w
+    # ranks are shares of small whole numbers; twelve places take the noise of their sum away, so that ties are ties
+    blended = rows.select("date", ret, F.round(total, 12).alias("__x"))
+    return ic(blended, "__x", ret, least=2)
+
+
+def pruned(correlations: DataFrame, order: list[str], most: float) -> list[str]:
+    """Factors kept in order: one goes when it is correlated beyond ``most`` with one kept before it. The matrix of factors is small."""
+    known = {frozenset((r["a"], r["b"])): r["corr"] for r in correlations.collect()}
+    kept: list[str] = []
+    for name in order:
+        if all(abs(known.get(frozenset((name, k))) or 0.0) <= most for k in kept):
+            kept.append(name)
+    return kept
+
+
+def rebalanced(bars: DataFrame, grain: str) -> DataFrame:
+    """Bars of the first date of each week, month or quarter, with ret, the return to the first date of the next; null for the last or where the symbol is missing then."""
+    dates = bars.select("date").distinct()
+    firsts = dates.groupBy(F.date_trunc(grain, "date").alias("p")).agg(F.min("date").alias("date"))
+    step = firsts.select("date", F.lead("date").over(Window.orderBy("date")).alias("next"))  # a row a period
+    at = bars.join(step, "date")
+    later = bars.select("symbol", F.col("date").alias("next"), F.col("close").alias("__later"))
+    return at.join(later, ["symbol", "next"], "left").withColumn("ret", safe_div("__later", "close") - 1).drop("__later", "next")
+
+
+def folds(dates: DataFrame, n: int, purge: int, embargo: int) -> DataFrame:
+    """(fold, date, part): n blocks of dates in order, each the test of one fold; dates up to ``purge`` before it and ``embargo`` after it are in neither part."""
+    placed = dates.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)  # a row a date
+    total = placed.agg(F.count("*").alias("total"))
+    each = placed.crossJoin(F.broadcast(total)).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))  # one row on the right
+    start, stop = F.floor(F.col("fold") * F.col("total") / n), F.floor((F.col("fold") + 1) * F.col("total") / n)
+    part = F.when((F.col("i") >= start) & (F.col("i") < stop), "test").when((F.col("i") < start - purge) | (F.col("i") >= stop + embargo), "train")
+    return each.withColumn("part", part).where("part is not null").select("fold", "date", "part")
+
+
+def attribution(rows: DataFrame, outcome: str, factors: list[str]) -> DataFrame:
+    """Per outcome (won or not): number and mean of each factor at entry; rows without an outcome are left out."""
+    won = F.when(F.col(outcome).isNotNull(), F.col(outcome) > 0)
+    return rows.where(F.col(outcome).isNotNull()).groupBy(won.alias("won")).agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in factors])
+
+
+def cost_table(returns: DataFrame, by: str, ret: str, turnover: float, tiers: dict[str, float]) -> DataFrame:
+    """Per group and tier of cost: mean return and share of gains after ``turnover`` times the cost of a side."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("tier"), F.lit(v).alias("cost")) for k, v in tiers.items()])).alias("t")
+    net = F.col(ret) - F.col("cost") * 2 * turnover
+    return returns.select(by, ret, each).select(by, ret, "t.*").groupBy(by, "tier").agg(F.avg(net).alias("mean_net"), F.avg((net > 0).cast("double")).alias("win_rate"))
