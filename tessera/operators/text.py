@@ -66,3 +66,14 @@ def similar_headlines(docs: DataFrame, key: str, text: str, least: float, block:
     on = [*block, "band"]
     pairs = a.alias("a").join(b.alias("b"), on).where("a.key <> b.key").where(gram_similarity(F.col("a.g"), F.col("b.g")) >= least)
     return pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"), F.round(gram_similarity(F.col("a.g"), F.col("b.g")), 6).alias("similarity")).distinct()
+
+
+def layered(docs: DataFrame, key: str, text: str, layers: dict[str, list[str]]) -> DataFrame:
+    """(key, layer, term): of each layer of terms the longest that the text holds, letters in any case. The layers are a short list in the plan."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = []
+    for layer, terms in layers.items():
+        ordered = sorted((t.lower() for t in terms), key=lambda t: (-len(t), [-ord(c) for c in t]))
+        term = F.coalesce(*[F.when(low.contains(t), F.lit(t)) for t in ordered])
+        found.append(F.struct(F.lit(layer).alias("layer"), term.alias("term")))
+    return docs.select(key, F.explode(F.array(*found)).alias("x")).select(key, "x.*").where("term is not null")
