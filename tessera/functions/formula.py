@@ -98,10 +98,11 @@ class Compiler:
             raise Refused("E007", f"{len(parts)} parts")
         if (deep := _depth(tree)) > DEPTH:
             raise Refused("E006", f"depth {deep}")
+        made = self.part(tree)
         called = {id(x.func) for x in parts if isinstance(x, ast.Call)}
         if not any(isinstance(x, ast.Name) and id(x) not in called for x in parts):
             raise Refused("E016", "no column")
-        return self.part(tree)
+        return made
 
     def part(self, node: ast.expr) -> Part:
         match node:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.windows import Cross, safe_div
+from tessera.operators.statistics import NOTHING
 
 X = Cross()
 
@@ -60,7 +61,7 @@ def group_stats(nav: DataFrame, periods: int) -> DataFrame:
         (F.pow(last, periods / n) - 1).alias("annual"),
         F.min("dd").alias("max_drawdown"),
         (safe_div(F.avg("ret"), F.stddev_samp("ret")) * periods**0.5).alias("sharpe"),
-        F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"),
+        F.avg((F.col("ret") > NOTHING).cast("double")).alias("win_rate"),
     )
 
 

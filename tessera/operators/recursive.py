@@ -8,13 +8,22 @@ decades of daily bars are some thousand rows.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions.windows import Series, safe_div
 
 EWM_COLUMNS = (
     "ema5", "ema10", "ema20", "ema30", "ema60", "macd_dif", "macd_dea", "macd_hist", "atr_14", "rsi_6", "rsi_14", "rsi_24", "kdj_k", "kdj_d", "kdj_j",
 )
 
 
+#: What the recursions remember besides EWM_COLUMNS.
+HIDDEN = ("e12", "e26", *[f"{side}{n}" for n in (6, 14, 24) for side in ("gain", "loss")])
+SPANS = (5, 10, 20, 30, 60)
+SMOOTHED = (6, 14, 24)
+
+
 def _mean(x: pd.Series, alpha: float) -> pd.Series:
     """x[0] first, then alpha * x + (1 - alpha) * before; nulls are skipped."""
     return x.ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
@@ -26,7 +35,8 @@ def _kernel(pdf: pd.DataFrame) -> pd.DataFrame:
     prev = close.shift(1)
     for n in (5, 10, 20, 30, 60):
         pdf[f"ema{n}"] = _mean(close, 2 / (n + 1))
-    dif = _mean(close, 2 / 13) - _mean(close, 2 / 27)
+    pdf["e12"], pdf["e26"] = _mean(close, 2 / 13), _mean(close, 2 / 27)
+    dif = pdf["e12"] - pdf["e26"]
     dea = _mean(dif, 2 / 10)
     pdf["macd_dif"], pdf["macd_dea"], pdf["macd_hist"] = dif, dea, 2 * (dif - dea)
     true_range = pd.concat([high - low, (high - prev).abs(), (low - prev).abs()], axis=1).max(axis=1)
@@ -34,6 +44,7 @@ def _kernel(pdf: pd.DataFrame) -> pd.DataFrame:
     move = (close - prev).fillna(0.0)
     for n in (6, 14, 24):
         gain, loss = _mean(move.clip(lower=0), 1 / n), _mean((-move).clip(lower=0), 1 / n)
+        pdf[f"gain{n}"], pdf[f"loss{n}"] = gain, loss
         pdf[f"rsi_{n}"] = 100 - 100 / (1 + gain / loss.where(loss != 0, 1e-12))
     top, bottom = high.rolling(9).max(), low.rolling(9).min()
     span = top - bottom
@@ -44,7 +55,64 @@ def _kernel(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-def with_recursive(bars: DataFrame) -> DataFrame:
-    """``bars`` (symbol, date, open, high, low, close, volume, amount) with EWM_COLUMNS."""
-    fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in bars.schema] + [f"{c} double" for c in EWM_COLUMNS])
-    return bars.groupBy("symbol").applyInPandas(_kernel, fields)
+def with_recursive(bars: DataFrame, hidden: bool = False) -> DataFrame:
+    """``bars`` (symbol, date, open, high, low, close, volume, amount) with EWM_COLUMNS, and with HIDDEN if asked for."""
+    columns = [*bars.columns, *EWM_COLUMNS, *(HIDDEN if hidden else ())]
+    fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in bars.schema] + [f"{c} double" for c in columns[len(bars.columns) :]])
+    return bars.groupBy("symbol").applyInPandas(lambda pdf: _kernel(pdf)[columns], fields)
+
+
+#: Closes and ranges that a state remembers: one less than the longest windows.
+CLOSES, RANGES = 59, 8
+
+
+def state_of(bars: DataFrame) -> DataFrame:
+    """One row a symbol: what the next bar needs of all bars so far."""
+    whole = with_recursive(bars, hidden=True)
+    s = Series()
+    last = lambda c, n: F.collect_list(c).over(s.spec.rowsBetween(-(n - 1), 0))
+    # k and d go on from their last values where a bar had none
+    kept = {c: F.last(c, ignorenulls=True).over(s.spec.rowsBetween(Window.unboundedPreceding, 0)) for c in ("kdj_k", "kdj_d")}
+    made = whole.withColumns({**kept, "closes": last("close", CLOSES), "highs": last("high", RANGES), "lows": last("low", RANGES), "volumes": last("volume", 9)})
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date").desc()))
+    carried = ["symbol", "date", "close", *[f"ema{n}" for n in SPANS], "macd_dea", "atr_14", "kdj_k", "kdj_d", *HIDDEN, "closes", "highs", "lows", "volumes"]
+    return made.withColumn("__n", place).where("__n = 1").select(*carried)
+
+
+def next_bars(state: DataFrame, today: DataFrame) -> DataFrame:
+    """``today`` (one bar a symbol) with EWM_COLUMNS, moving means and volume ratio, from the state alone: no history is read.
+
+    Arithmetic on one row a symbol; a symbol without a state is left out, as its first bar needs a full start.
+    """
+    names = [c for c in state.columns if c != "symbol"]
+    joined = today.join(state.select("symbol", *[F.col(c).alias(f"s_{c}") for c in names]), "symbol")
+    c = F.col
+
+    def step(x: Column, before: str, alpha: float) -> Column:
+        return alpha * x + (1 - alpha) * c(before)
+
+    move = c("close") - c("s_close")
+    out = joined.withColumns({f"ema{n}": step(c("close"), f"s_ema{n}", 2 / (n + 1)) for n in SPANS})
+    out = out.withColumn("macd_dif", step(c("close"), "s_e12", 2 / 13) - step(c("close"), "s_e26", 2 / 27))
+    out = out.withColumn("macd_dea", step(c("macd_dif"), "s_macd_dea", 0.2)).withColumn("macd_hist", 2 * (c("macd_dif") - c("macd_dea")))
+    true_range = F.greatest(c("high") - c("low"), F.abs(c("high") - c("s_close")), F.abs(c("low") - c("s_close")))
+    out = out.withColumn("atr_14", step(true_range, "s_atr_14", 1 / 14))
+    for n in SMOOTHED:
+        gain, loss = step(F.greatest(move, F.lit(0.0)), f"s_gain{n}", 1 / n), step(F.greatest(-move, F.lit(0.0)), f"s_loss{n}", 1 / n)
+        out = out.withColumn(f"rsi_{n}", 100 - 100 / (1 + gain / F.when(loss != 0, loss).otherwise(1e-12)))
+    full = F.size("s_highs") == RANGES
+    top, bottom = F.greatest(F.array_max("s_highs"), c("high")), F.least(F.array_min("s_lows"), c("low"))
+    out = out.withColumn("__rsv", F.when(full, safe_div(c("close") - bottom, top - bottom) * 100))
+    k = F.when(c("__rsv").isNotNull(), F.coalesce(c("__rsv") / 3 + c("s_kdj_k") * 2 / 3, c("__rsv")))
+    out = out.withColumn("kdj_k", k).withColumn("kdj_d", F.when(k.isNotNull(), F.coalesce(c("kdj_k") / 3 + c("s_kdj_d") * 2 / 3, c("kdj_k")))).withColumn("kdj_j", 3 * c("kdj_k") - 2 * c("kdj_d"))
+
+    def mean(values: str, n: int, x: Column | None) -> Column:
+        """Of the last n values, the bar's own among them unless x is None."""
+        m = n - (x is not None)
+        tail = F.slice(values, F.greatest(F.size(values) - m + 1, F.lit(1)), m)
+        total = F.aggregate(tail, F.lit(0.0), lambda a, v: a + v) + (x if x is not None else F.lit(0.0))
+        return F.when(F.size(tail) == m, total / n)
+
+    out = out.withColumns({f"ma{n}": mean("s_closes", n, c("close")) for n in (5, 10, 20, 30, 60)})
+    out = out.withColumns({"vol_ma5": mean("s_volumes", 5, c("volume")), "vol_ratio_5d": safe_div("volume", mean("s_volumes", 5, None)), "change_pct": safe_div("close", "s_close") - 1})
+    return out.drop("__rsv", *[f"s_{x}" for x in names])

@@ -17,6 +17,8 @@ from tessera.functions.windows import safe_div
 YEAR = 252
 #: Fewer values than this give no tail mean. A fixed value.
 LEAST_TAIL = 20
+#: Returns closer to 0 than this are 0: a mean that is 0 comes out as a few units of the last bit, of either sign.
+NOTHING = 1e-12
 
 
 def newey_west(series: DataFrame, by: str, order: str, x: str, lag: int) -> DataFrame:
@@ -93,13 +95,13 @@ def risk(returns: DataFrame, by: str, order: str, x: str, periods: int = YEAR) -
     down = F.col("__nav") / F.greatest(F.max("__nav").over(upto), F.lit(1.0)) - 1
     worst = F.percentile(x, 0.05).over(Window.partitionBy(by))
     valued = valued.withColumns({"__dd": down, "__tail": F.when(F.col(x) <= worst + 1e-15, F.col(x))})
-    gain, loss = F.when(F.col(x) > 0, F.col(x)), F.when(F.col(x) < 0, -F.col(x))
+    gain, loss = F.when(F.col(x) > NOTHING, F.col(x)), F.when(F.col(x) < -NOTHING, -F.col(x))
     n, total = F.count("*"), F.max_by("__nav", order)
     out = valued.groupBy(by).agg(
         n.alias("n"), (total - 1).alias("total"), (F.pow(total, F.lit(periods) / n) - 1).alias("annual"), (F.stddev_samp(x) * periods**0.5).alias("volatility"),
         (safe_div(F.avg(x), F.stddev_samp(x)) * periods**0.5).alias("sharpe"), (safe_div(F.avg(x), F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), F.lit(2))))) * periods**0.5).alias("sortino"),
         F.min("__dd").alias("max_drawdown"), F.sqrt(F.avg(F.col("__dd") * F.col("__dd"))).alias("ulcer"), (safe_div(F.avg(x), F.stddev_samp(x)) * F.sqrt(n)).alias("quality"),
-        F.avg((F.col(x) > 0).cast("double")).alias("win_rate"), safe_div(F.sum(gain), F.sum(loss)).alias("profit_factor"), safe_div(F.avg(gain), F.avg(loss)).alias("payoff"),
+        F.avg((F.col(x) > NOTHING).cast("double")).alias("win_rate"), safe_div(F.sum(gain), F.sum(loss)).alias("profit_factor"), safe_div(F.avg(gain), F.avg(loss)).alias("payoff"),
         F.when(n >= LEAST_TAIL, F.avg("__tail")).alias("cvar_95"),
     )
     kelly = F.when(F.col("payoff") != 0, F.col("win_rate") - (1 - F.col("win_rate")) / F.col("payoff"))

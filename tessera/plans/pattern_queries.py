@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import factors
-from tessera.operators import candles, indicators, limits, screen
-from tessera.operators.recursive import with_recursive
+from tessera.operators import candles, chips, indicators, limits, screen
+from tessera.operators.recursive import next_bars, state_of, with_recursive
 from tessera.plans.panel import float_shares, table
 from tessera.plans.queries import BARS, EWM_SQL, ROLL, ROLL1, down, even, lagged, over, query, r, rnd, roll, rolled, rounded, up, week
 
@@ -200,3 +200,52 @@ def monthly_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     monthly = indicators.resample(week(spark, sf_dir), "month")
     return rounded(with_recursive(monthly).select("symbol", "date", *EWM_COLUMNS), digits=4)
+
+
+# --- chips and levels -----------------------------------------------------------------------------------------------------------
+
+_CHIPS = f"""{BARS}, sh AS (SELECT s_suppkey AS symbol, CAST(floor(abs(s_acctbal)) AS BIGINT) + 1000 AS float_shares FROM supplier),
+c0 AS (SELECT b.*, least(greatest(volume / float_shares, 0), 1) AS rate, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM bars b JOIN sh USING (symbol) WHERE high >= low AND low > 0),
+c1 AS (SELECT *, coalesce(exp(sum(CASE WHEN rate < 1 THEN ln(1 - rate) END) OVER w), 1) * CASE WHEN coalesce(max(CAST(rate = 1 AS INTEGER)) OVER w, 0) = 1 THEN 0 ELSE 1 END AS remain, min(low) OVER s AS lo, max(high) OVER s AS hi, first(close) OVER (PARTITION BY symbol ORDER BY n) AS latest, (open + high + low + close) / 4 AS peak
+  FROM (SELECT * FROM c0 WHERE n <= 210) WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (PARTITION BY symbol)),
+c2 AS (SELECT *, greatest((hi - lo) / 149, 0.01) AS width FROM c1 WHERE rate > 0 AND remain > 0),
+c3 AS (SELECT c2.*, k.bin, lo + width * k.bin AS price FROM c2 JOIN (SELECT unnest(range(150)) AS bin) k ON CASE WHEN high = low THEN k.bin = floor((peak - lo) / width) ELSE k.bin BETWEEN ceil((low - lo) / width) AND floor((high - lo) / width) END),
+c4 AS (SELECT symbol, bin, sum(rate * remain * CASE WHEN high = low THEN 74.5 WHEN price <= peak THEN CASE WHEN abs(peak - low) < 1e-8 THEN 2 / (high - low) ELSE (price - low) / (peak - low) * 2 / (high - low) END ELSE CASE WHEN abs(high - peak) < 1e-8 THEN 2 / (high - low) ELSE (high - price) / (high - peak) * 2 / (high - low) END END) AS chips,
+  any_value(latest) AS close, any_value(lo + width * bin) AS price FROM c3 GROUP BY 1, 2),
+c5 AS (SELECT *, sum(chips) OVER (PARTITION BY symbol) AS total, sum(chips) OVER (PARTITION BY symbol ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto FROM c4),
+c6 AS (SELECT symbol, any_value(close) AS close, sum(CASE WHEN price <= close THEN chips ELSE 0 END) / any_value(total) AS benefit, {", ".join(f"min(CASE WHEN upto > total * {q} THEN price END) AS {k}" for k, q in (("avg_cost", 0.5), ("cost_90_low", 0.05), ("cost_90_high", 0.95), ("cost_70_low", 0.15), ("cost_70_high", 0.85)))} FROM c5 WHERE total > 0 GROUP BY 1)"""
+_COSTS = ["close", "benefit", "avg_cost", "cost_90_low", "cost_90_high", "cost_70_low", "cost_70_high", "concentration_90", "concentration_70", "avg_cost_bias"]
+
+
+@query(f"""WITH {_CHIPS}, c7 AS (SELECT *, {", ".join(f"(cost_{n}_high - cost_{n}_low) / nullif(cost_{n}_high + cost_{n}_low, 0) AS concentration_{n}" for n in (90, 70))}, close / nullif(avg_cost, 0) - 1 AS avg_cost_bias FROM c6) SELECT symbol, {", ".join(f"{rnd(k, 4)} AS {k}" for k in _COSTS)} FROM c7""")
+def chip_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = week(spark, sf_dir).join(float_shares(spark, sf_dir), "symbol").withColumn("turnover", F.col("volume") / F.col("float_shares"))
+    return rounded(chips.costs(chips.deposits(bars)), digits=4)
+
+
+_LEVELS = ["pivot_price", "r1", "s1", "r2", "s2", "boll_upper", "boll_lower", "atr", "high_60", "low_60", "fib_382", "fib_500", "fib_618", "gap_up", "gap_down", "swing_high", "swing_low", "round_below", "keltner_upper", "keltner_lower"]
+_NEAR = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
+
+
+@query(f"""WITH {BARS}, a AS (SELECT *, {lagged("high")} AS h1, {lagged("low")} AS l1, {lagged("close")} AS c1, {roll("avg", "close", 20)} AS ma20, {roll("stddev_samp", "close", 20)} AS sd, {roll("max", "high", 60)} AS high_60, {roll("min", "low", 60)} AS low_60, max(high) {_NEAR} AS hn, min(low) {_NEAR} AS ln FROM bars),
+  b AS (SELECT *, (h1 + l1 + c1) / 3 AS pivot_price, CASE WHEN c1 IS NOT NULL THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS tr FROM a),
+  c AS (SELECT *, 2 * pivot_price - l1 AS r1, 2 * pivot_price - h1 AS s1, pivot_price + h1 - l1 AS r2, pivot_price - h1 + l1 AS s2, ma20 + 2 * sd AS boll_upper, ma20 - 2 * sd AS boll_lower, {roll("avg", "tr", 14)} AS atr, high_60 - (high_60 - low_60) * 0.382 AS fib_382, high_60 - (high_60 - low_60) * 0.5 AS fib_500, high_60 - (high_60 - low_60) * 0.618 AS fib_618,
+    CASE WHEN low > h1 THEN h1 END AS gap_up, CASE WHEN high < l1 THEN l1 END AS gap_down, CASE WHEN high = hn THEN high END AS swing_high, CASE WHEN low = ln THEN low END AS swing_low, floor(close / 50) * 50 AS round_below FROM b),
+  d AS (SELECT *, ma20 + 2 * atr AS keltner_upper, ma20 - 2 * atr AS keltner_lower FROM c) SELECT symbol, date, {", ".join(f"{rnd(k, 3)} AS {k}" for k in _LEVELS)} FROM d""")
+def price_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(chips.levels(week(spark, sf_dir)).select("symbol", "date", *_LEVELS), digits=3)
+
+
+# --- from the state of yesterday ------------------------------------------------------------------------------------------------
+
+_LAST = f"""{_EWM_CTE}, {ROLL1}, fin AS (SELECT one.symbol, one.date, ema5, ema60, e12 - e26 AS macd_dif, dea AS macd_dea, atr_14, {", ".join(f"100 - 100 / (1 + g{n} / CASE WHEN l{n} = 0 THEN 1e-12 ELSE l{n} END) AS rsi_{n}" for n in (6, 14, 24))},
+  CASE WHEN kk IS NOT NULL THEN k END AS kdj_k, CASE WHEN kk IS NOT NULL THEN d END AS kdj_d, ma5, ma20, ma60, vol_ma5, volume / nullif(vol_prev5, 0) AS vol_ratio_5d, change_pct, row_number() OVER (PARTITION BY one.symbol ORDER BY one.date DESC) AS n, count(*) OVER (PARTITION BY one.symbol) AS many FROM one JOIN e USING (symbol, date))"""
+_NEXT = ["ema5", "ema60", "macd_dif", "macd_dea", "atr_14", "rsi_6", "rsi_14", "rsi_24", "kdj_k", "kdj_d", "ma5", "ma20", "ma60", "vol_ma5", "vol_ratio_5d", "change_pct"]
+
+
+@query(f"{_LAST} SELECT symbol, date, {', '.join(f'{rnd(k, 4)} AS {k}' for k in _NEXT)} FROM fin WHERE n = 1 AND many > 1")
+def incremental_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last bar of each symbol from the state that the bars before it left; the SQL computes it from the whole history."""
+    placed = week(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date").desc())))
+    state = state_of(placed.where("n > 1").drop("n"))
+    return rounded(next_bars(state, placed.where("n = 1").drop("n")).select("symbol", "date", *_NEXT), digits=4)

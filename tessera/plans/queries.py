@@ -429,7 +429,7 @@ def factor_group_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {NAV}, dd AS (SELECT *, nav / greatest(max(nav) OVER (PARTITION BY grp ORDER BY date ROWS UNBOUNDED PRECEDING), 1.0) - 1 AS dd FROM nav)
-  SELECT grp, round(last(nav ORDER BY date) - 1, 4) AS total, round(pow(last(nav ORDER BY date), 52.0 / count(*)) - 1, 6) AS annual, round(min(dd), 6) AS max_drawdown, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(52), 6) AS sharpe, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM dd GROUP BY 1""")
+  SELECT grp, round(last(nav ORDER BY date) - 1, 4) AS total, round(pow(last(nav ORDER BY date), 52.0 / count(*)) - 1, 6) AS annual, round(min(dd), 6) AS max_drawdown, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(52), 6) AS sharpe, round(avg(CASE WHEN ret > 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM dd GROUP BY 1""")
 def factor_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(factor_test.group_stats(nav(spark, sf_dir), 52), "total").withColumn("total", even("total", 4))
 

@@ -109,7 +109,7 @@ def formula_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {NAV}, s AS (SELECT *, exp(sum(ln(1 + ret)) OVER w) AS v, quantile_cont(ret, 0.05) OVER (PARTITION BY grp) AS worst FROM gm WINDOW w AS (PARTITION BY grp ORDER BY date ROWS UNBOUNDED PRECEDING)),
   d AS (SELECT *, v / greatest(max(v) OVER (PARTITION BY grp ORDER BY date ROWS UNBOUNDED PRECEDING), 1.0) - 1 AS dd FROM s),
   a AS (SELECT grp, count(*) AS n, last(v ORDER BY date) - 1 AS total, pow(last(v ORDER BY date), 52.0 / count(*)) - 1 AS annual, stddev_samp(ret) * sqrt(52) AS volatility, avg(ret) / stddev_samp(ret) * sqrt(52) AS sharpe, avg(ret) / sqrt(avg(pow(least(ret, 0), 2))) * sqrt(52) AS sortino, min(dd) AS max_drawdown, sqrt(avg(dd * dd)) AS ulcer,
-    avg(ret) / stddev_samp(ret) * sqrt(count(*)) AS quality, avg(CAST(ret > 0 AS DOUBLE)) AS win_rate, sum(CASE WHEN ret > 0 THEN ret END) / sum(CASE WHEN ret < 0 THEN -ret END) AS profit_factor, avg(CASE WHEN ret > 0 THEN ret END) / avg(CASE WHEN ret < 0 THEN -ret END) AS payoff, avg(CASE WHEN ret <= worst + 1e-15 THEN ret END) AS cvar_95 FROM d GROUP BY 1)
+    avg(ret) / stddev_samp(ret) * sqrt(count(*)) AS quality, avg(CAST(ret > 1e-12 AS DOUBLE)) AS win_rate, sum(CASE WHEN ret > 1e-12 THEN ret END) / sum(CASE WHEN ret < -1e-12 THEN -ret END) AS profit_factor, avg(CASE WHEN ret > 1e-12 THEN ret END) / avg(CASE WHEN ret < -1e-12 THEN -ret END) AS payoff, avg(CASE WHEN ret <= worst + 1e-15 THEN ret END) AS cvar_95 FROM d GROUP BY 1)
   SELECT grp, n, {", ".join(f"{rnd(k, 4)} AS {k}" for k in ("total", "annual", "volatility", "sharpe", "sortino", "max_drawdown", "ulcer", "quality", "win_rate", "profit_factor", "payoff", "cvar_95"))}, {rnd("CASE WHEN max_drawdown < 0 THEN annual / -max_drawdown END", 4)} AS calmar, {rnd("win_rate - (1 - win_rate) / payoff", 4)} AS kelly FROM a""")
 def group_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.risk(nav(spark, sf_dir), "grp", "date", "ret", 52), digits=4)

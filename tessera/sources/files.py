@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -21,7 +24,30 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BARS).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, encoding: str = "UTF-8") -> DataFrame:
+#: Encodings that Spark reads without being told that others are allowed, and those that are tried on a file, in this order.
+OWN_ENCODINGS = ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32")
+TRIED = ("utf-8", "gb18030", "iso-8859-1")
+SAMPLE = 65_536
+
+
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """The first of TRIED in which the first bytes of the first file make sense."""
+    head = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, SAMPLE).alias("head")).agg(F.min_by("head", "path").alias("head")).first()["head"]
+    for name in TRIED:
+        try:
+            bytes(head or b"").decode(name)
+        except UnicodeDecodeError as e:
+            if e.start < len(head) - 4:  # not just a character that the sample cut
+                continue
+        return name.upper()
+    return TRIED[-1].upper()
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType, encoding: str | None = None) -> DataFrame:
+    """A CSV with a header; without an encoding given, it is guessed from the first file."""
+    encoding = encoding or encoding_of(spark, path)
+    if encoding.upper() not in OWN_ENCODINGS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
 
 
@@ -43,24 +69,95 @@ def unified(frames: dict[str, DataFrame], kind: str = "asset_type") -> DataFrame
     return out
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], partition: str, order: str) -> None:
-    """Merge ``rows`` into a partitioned table, the last by ``order`` of each key staying; only their partitions are written again.
-
-    The merged partitions are written beside the table first, since Spark can't overwrite what it reads.
-    """
-    touched = rows.select(partition).distinct()
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path; None where there is none yet."""
     try:
-        old = spark.read.parquet(path).join(F.broadcast(touched) if touched.limit(10_001).count() <= 10_000 else touched, partition, "left_semi")
-        merged = keep_last(old.unionByName(rows, allowMissingColumns=True), key, [order])
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        merged = keep_last(rows, key, [order])
-    aside = f"{path.rstrip('/')}-merging"
-    merged.write.mode("overwrite").parquet(aside)
+        return None
+
+
+def rewritten(spark: SparkSession, path: str, rows: DataFrame, partition: str) -> None:
+    """Replace the partitions of a table that ``rows`` has.
+
+    Rows are written beside the table first, under a name of this run, since Spark can't
+    overwrite what it reads; then one job overwrites the partitions.
+    """
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
     spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], partition: str, order: str) -> None:
+    """Merge ``rows`` into a partitioned table, the last by ``order`` of each key staying; only their partitions are written again."""
+    old = existing(spark, path)
+    if old is not None:
+        rows = old.join(rows.select(partition).distinct(), partition, "left_semi").unionByName(rows, allowMissingColumns=True)
+    rewritten(spark, path, keep_last(rows, key, [order]), partition)
+
+
+def replace_days(spark: SparkSession, path: str, rows: DataFrame, key: list[str], partition: str) -> None:
+    """Whole (partition, kind, ...) days give way to ``rows``; what the partition holds of other kinds stays."""
+    old = existing(spark, path)
+    if old is not None:
+        kept = old.join(rows.select(partition).distinct(), partition, "left_semi").join(rows.select(*key).distinct(), key, "left_anti")
+        rows = kept.unionByName(rows, allowMissingColumns=True)
+    rewritten(spark, path, rows, partition)
+
+
+def append_new(spark: SparkSession, path: str, rows: DataFrame, key: list[str], order: str) -> None:
+    """Append the rows whose key the table lacks, the first of each by ``order``; nothing that is there is written again."""
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    old = existing(spark, path)
+    (first if old is None else first.join(old.select(*key).distinct(), key, "left_anti")).write.mode("append").parquet(path)
+
+
+def export(spark: SparkSession, rows: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """Write ``rows`` as Parquet and as compressed CSV under a path; returns the manifest (format, rows, digest).
+
+    The digest is a sum of hashes of rows, so it does not depend on their order or their files.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/parquet")
+    back = spark.read.parquet(f"{path}/parquet")
+    back.sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(f"{path}/csv")
+    csv = spark.read.schema(back.schema).option("header", True).csv(f"{path}/csv")
+    digest = F.sum(F.xxhash64(*[F.col(c).cast("string") for c in rows.columns]).cast("decimal(38,0)")).cast("string")
+    out = None
+    for name, df in (("parquet", back), ("csv", csv)):
+        one = df.agg(F.lit(name).alias("format"), F.count("*").alias("rows"), digest.alias("digest"))
+        out = one if out is None else out.union(one)
+    out.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.json(f"{path}/manifest")
+
+
+#: Conversions that a stored mapping of fields may name; a fixed list, so that no text becomes code.
+CONVERSIONS = {
+    "text": lambda x: x.cast("string"),
+    "number": lambda x: F.regexp_replace(x, ",", "").try_cast("double"),
+    "whole": lambda x: F.regexp_replace(x, ",", "").try_cast("bigint"),
+    "percent": lambda x: F.regexp_replace(x, "[%,]", "").try_cast("double") / 100,
+    "date": lambda x: F.coalesce(F.try_to_timestamp(x, F.lit("yyyy-MM-dd")), F.try_to_timestamp(x, F.lit("yyyyMMdd"))).cast("date"),
+    "upper": F.upper,
+    "trim": F.trim,
+}
+
+
+def mapped(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Columns by name from (source column, conversion); what can't be converted is null, an unknown conversion an error."""
+    unknown = {how for _, how in fields.values()} - set(CONVERSIONS)
+    if unknown:
+        raise ValueError(f"unknown conversions {sorted(unknown)}")
+    made: list[Column] = [CONVERSIONS[how](F.col(source)).alias(name) for name, (source, how) in fields.items()]
+    return rows.select(*made)
+
+
+def view(spark: SparkSession, name: str, paths: list[str]) -> None:
+    """A temporary view over files whose columns may differ: columns that one lacks are null."""
+    spark.read.option("mergeSchema", True).parquet(*paths).createOrReplaceTempView(name)
+
+
 def coverage(rows: DataFrame, time: str, key: str) -> DataFrame:
     """First and last time, rows and keys."""
     return rows.agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("rows"), F.countDistinct(key).alias("keys"))

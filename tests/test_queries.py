@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tessera.plans import queries
+from tessera.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = sorted(p.stem for p in Path(SF).glob("*.parquet"))
@@ -34,13 +34,14 @@ def rows_of(names: list[str], rows) -> list[tuple]:
 
 
 def test_every_query_has_sql():
-    assert set(queries.SQL) == set(queries.QUERIES)
+    # resampling draws from hashes that SQL doesn't have
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"drawdown_bootstrap"}
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query(spark, duck, name):
-    got = queries.QUERIES[name](spark, SF)
-    want = duck.execute(queries.SQL[name])
+    got = catalogue.QUERIES[name](spark, SF)
+    want = duck.execute(catalogue.SQL[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())
