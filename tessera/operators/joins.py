@@ -111,3 +111,44 @@ def merged(sources: list[DataFrame], key: list[str], columns: list[str], seen: s
     for s in sources[1:]:
         rows = rows.unionByName(s, allowMissingColumns=True)
     return rows.groupBy(*key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seen))).alias(c) for c in columns])
+
+
+def with_extension(panel: DataFrame, extension: DataFrame, values: list[str], dated: bool) -> DataFrame:
+    """``panel`` with columns of an extension table: of a snapshot by symbol, of a time series the last row not after the date, so that nothing is seen early."""
+    if dated:
+        renamed = extension.select("symbol", F.col("date").alias("__since"), *values)
+        return asof(panel, renamed, "symbol", "date", "__since", values)
+    return panel.join(extension.select("symbol", *values), "symbol", "left")
+
+
+def shares_then(bars: DataFrame, history: DataFrame, current: DataFrame) -> DataFrame:
+    """``bars`` with float_shares as of each date, and on the last date of all the current ones; before the first report the current ones too.
+
+    history: (symbol, since, float_shares); current: (symbol, float_shares).
+    """
+    known = asof(bars, history.select("symbol", "since", F.col("float_shares").alias("__then")), "symbol", "date", "since", ["__then"])
+    last = bars.agg(F.max("date").alias("__last"))
+    both = known.join(current.withColumnRenamed("float_shares", "__now"), "symbol", "left").crossJoin(F.broadcast(last))  # one row on the right
+    then = F.when(F.col("date") == F.col("__last"), F.col("__now")).otherwise(F.coalesce("__then", "__now"))
+    return both.withColumn("float_shares", then).drop("__then", "__now", "__last")
+
+
+def adjusted_ticks(ticks: DataFrame, factors: DataFrame) -> DataFrame:
+    """``ticks`` (symbol, ts, value) with adjusted, the value times the cumulative factor of its day; looked up once a symbol and day.
+
+    factors: (symbol, date, factor).
+    """
+    upto = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    cumulative = factors.select("symbol", F.col("date").alias("since"), F.exp(F.sum(F.ln("factor")).over(upto)).alias("cum"))
+    days = ticks.select("symbol", F.to_date("ts").alias("date")).distinct()
+    found = asof(days, cumulative, "symbol", "date", "since", ["cum"]).withColumnRenamed("date", "__day").withColumnRenamed("symbol", "__symbol")
+    joined = ticks.join(found, (ticks["symbol"] == found["__symbol"]) & (F.to_date(ticks["ts"]) == found["__day"]))
+    return joined.withColumn("adjusted", F.col("value") * F.coalesce("cum", F.lit(1.0))).drop("__day", "__symbol", "cum")
+
+
+def by_code(left: DataFrame, right: DataFrame, left_code: str, right_code: str) -> DataFrame:
+    """Rows of ``left`` with those of ``right`` whose codes have the same six digits, however they write the exchange."""
+    digits = lambda c: F.regexp_extract(c, "([0-9]{6})", 1)
+    r = right.withColumn("__digits", digits(right_code)).drop(right_code)
+    joined = left.withColumn("__code", digits(left_code)).join(r, F.col("__code") == F.col("__digits"), "left")
+    return joined.drop("__code", "__digits")

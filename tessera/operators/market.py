@@ -227,3 +227,72 @@ def top_and_bottom(rows: DataFrame, by: str, n: int) -> DataFrame:
         placed = rows.where(F.col(by).isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(order, "symbol"))).withColumn("side", F.lit(side))
         out = placed if out is None else out.unionByName(placed)
     return out.where(F.col("place") <= n)
+
+
+#: Bounds of the phases of a ladder market, in order of precedence; fixed values.
+PHASES = (
+    ("climax", "ge2 >= 50 or first >= 220"),
+    ("rally", "height >= 7 and ge2 >= 15 and promotion >= 0.23 or promotion >= 0.30 and ge2 >= 12 and height >= 5"),
+    ("ice", "height <= 4 and ge2 <= 6 and first <= 24"),
+    ("ebb", "(ge2_5 >= 12 or height_5 >= 6) and promotion <= 0.15 and ge2 < ge2_5 or promotion <= 0.13 and seal <= 0.57"),
+    ("ignite", "ge2 - ge2_5 >= 3 and ge2 >= 8 and promotion >= 0.20 or height - height_5 >= 1 and height >= 5 and promotion >= 0.19"),
+)
+#: Phases that a weak market vetoes, and the states that do.
+RISING, WEAK = ("climax", "rally", "ignite"), ("weak", "lean_weak")
+#: Fewest of yesterday's limit-ups that give a rate of promotion, weight of the newest day, days that confirm a new phase. Fixed values.
+LEAST_POOL, NEWEST, CONFIRM = 10, 1 / 3, 2
+
+
+def phases(daily: DataFrame) -> DataFrame:
+    """date and phase: climax, rally, ice, ebb, ignite or repair; a phase changes when a new one has stood for CONFIRM days.
+
+    daily: date, max_boards, first_board, ge2_count, promo_pool, promo_ok, seal (share of touched limits that held), state.
+    A market has one row a date, so the smoothing and the confirmation run over one sorted array of days.
+    """
+    promotion = F.when(F.col("promo_pool") >= LEAST_POOL, safe_div("promo_ok", "promo_pool"))
+    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    fields = {"height": F.col("max_boards"), "first": F.col("first_board"), "ge2": F.col("ge2_count"), "promotion": F.last(promotion, ignorenulls=True).over(w), "seal": F.col("seal")}
+    rows = daily.select("date", "state", *[v.cast("double").alias(k) for k, v in fields.items()])
+    days = rows.agg(F.array_sort(F.collect_list(F.struct("date", "state", *fields))).alias("days"))
+
+    def smooth(a, x):
+        """A field goes on from its last value by the newest day's weight; a missing one changes nothing."""
+        before = F.get(a, F.size(a) - 1)
+        new = [F.when(before.isNull() | before[k].isNull(), x[k]).otherwise(F.coalesce(x[k] * NEWEST + before[k] * (1 - NEWEST), before[k])).alias(k) for k in fields]
+        return F.concat(a, F.array(F.struct(x["date"].alias("date"), x["state"].alias("state"), *new)))
+
+    kind = f"array<struct<date:date,state:string,{','.join(f'{k}:double' for k in fields)}>>"
+    smoothed = days.select(F.aggregate("days", F.array().cast(kind), smooth).alias("days"))
+    each = smoothed.select(F.posexplode("days").alias("i", "d")).select("i", "d.*")
+    back = Window.orderBy("i")
+    each = each.withColumns({f"{k}_5": F.coalesce(F.lag(k, 5).over(back), F.first(k).over(back)) for k in ("ge2", "height")})
+    raw = F.lit("repair")
+    for name, condition in reversed(PHASES):
+        raw = F.when(F.coalesce(F.expr(condition), F.lit(False)), name).otherwise(raw)
+    raw = F.when(raw.isin(*RISING) & F.coalesce(F.col("state").isin(*WEAK), F.lit(False)), "repair").otherwise(raw)
+    labelled = each.select("date", raw.alias("raw")).agg(F.array_sort(F.collect_list(F.struct("date", "raw"))).alias("days"))
+    start = F.struct(F.lit(None).cast("string").alias("now"), F.lit(None).cast("string").alias("next"), F.lit(0).alias("run"), F.array().cast("array<struct<date:date,phase:string>>").alias("out"))
+
+    def confirm(a, x):
+        run = F.when(x["raw"] == a["next"], a["run"] + 1).otherwise(1)
+        changed = a["now"].isNull() | ((x["raw"] != a["now"]) & (run >= CONFIRM))
+        now = F.when(changed, x["raw"]).otherwise(a["now"])
+        waiting = ~changed & (x["raw"] != a["now"])
+        done = F.concat(a["out"], F.array(F.struct(x["date"].alias("date"), now.alias("phase"))))
+        return F.struct(now.alias("now"), F.when(waiting, x["raw"]).alias("next"), F.when(waiting, run).otherwise(0).alias("run"), done.alias("out"))
+
+    return labelled.select(F.explode(F.aggregate("days", start, confirm, lambda a: a["out"])).alias("x")).select("x.*")
+
+
+def confirming_days(banded: DataFrame, need: int = 3) -> DataFrame:
+    """One row: for how many days a new band has stood without being confirmed by ``need``; null if none is waiting. banded: date, band; a row a date."""
+    days = banded.where("band is not null").agg(F.array_sort(F.collect_list(F.struct("date", "band"))).alias("days"))
+    start = F.struct(F.lit(None).cast("string").alias("held"), F.lit(None).cast("string").alias("next"), F.lit(0).alias("run"))
+
+    def step(a, x):
+        new = x["band"]
+        run = F.when(new == a["next"], a["run"] + 1).otherwise(1)
+        same = a["held"].isNull() | (new == a["held"]) | (run >= need)
+        return F.struct(F.when(same, new).otherwise(a["held"]).alias("held"), F.when(~same, new).alias("next"), F.when(~same, run).otherwise(0).alias("run"))
+
+    return days.select(F.aggregate("days", start, step, lambda a: F.when(a["run"] > 0, a["run"])).alias("days"))

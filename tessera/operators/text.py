@@ -77,3 +77,73 @@ def layered(docs: DataFrame, key: str, text: str, layers: dict[str, list[str]])
         term = F.coalesce(*[F.when(low.contains(t), F.lit(t)) for t in ordered])
         found.append(F.struct(F.lit(layer).alias("layer"), term.alias("term")))
     return docs.select(key, F.explode(F.array(*found)).alias("x")).select(key, "x.*").where("term is not null")
+
+
+def named(docs: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
+    """(key, name, n): names found from left to right, none inside another; of those that begin at one place the first in the list.
+
+    A name that ends in a digit is not found before another digit. The list is part of the plan, so it holds hundreds, not millions.
+    """
+    quoted = ["\\Q" + n + "\\E" + ("(?![0-9])" if n[-1].isdigit() else "") for n in names]
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("|".join(quoted)), F.lit(0))
+    return docs.select(key, F.explode(found).alias("name")).groupBy(key, "name").agg(F.count("*").alias("n"))
+
+
+def source_fingerprint(text: Column, media: Column, least: int = 20) -> Column:
+    """Fingerprint of a text; a text shorter than ``least`` characters is known by its media instead, if it has any."""
+    short = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", "")) < least
+    return F.when(short & (F.coalesce(media, F.lit("")) != ""), F.sha2(media, 256)).otherwise(fingerprint(text))
+
+
+def growth(mentions_: DataFrame, since: str, until: str) -> DataFrame:
+    """Per name: damped score of the window against that of the time before it; mentions_: (name, source, at, n).
+
+    A source counts 1 + ln n in each of the two, so that none outshouts the others.
+    """
+    window = F.when(F.col("at").between(since, until), "now").when(F.col("at") < since, "before")
+    by = mentions_.withColumn("w", window).where("w is not null").groupBy("name", "source", "w").agg((1 + F.ln(F.sum("n"))).alias("s"))
+    side = lambda k: F.coalesce(F.sum(F.when(F.col("w") == k, F.col("s"))), F.lit(0.0))
+    both = by.groupBy("name").agg(side("now").alias("score"), side("before").alias("baseline"))
+    return both.withColumn("growth", F.col("score") / (F.col("baseline") + 1))
+
+
+def pairs_in_time(docs: DataFrame, key: str, text: str, ts: str, seconds: int, least: float, block: list[str]) -> DataFrame:
+    """Pairs (a, b) of one block whose texts' bigrams are similar and whose times lie within ``seconds``.
+
+    A row meets those of its own stretch of time and of the one before, so a block is cut by time.
+    Equal texts of one stretch meet others once, through the earliest, to which they are paired.
+    """
+    stretch = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
+    rows = docs.select(*block, F.col(key).alias("key"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("at"), stretch.alias("stretch"), grams(F.lower(clean(F.col(text)))).alias("g"))
+    a = rows.alias("a")
+    b = rows.withColumn("stretch", F.explode(F.array("stretch", F.col("stretch") - 1))).alias("b")
+    near = (F.abs(F.col("a.at") - F.col("b.at")) <= seconds) & (F.struct("a.at", "a.key") < F.struct("b.at", "b.key"))
+    joined = a.join(b, [*block, "stretch"]).where(near & (gram_similarity(F.col("a.g"), F.col("b.g")) >= least))
+    return joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+
+
+def clusters(keys: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """(key, cluster): the smallest key that pairs lead to; a key without a pair is its own cluster.
+
+    Each round passes on the smallest label of the neighbours and follows it once, so long
+    chains take few rounds; a round ends in a checkpoint, which cuts its lineage.
+    """
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
+    labels = keys.select(F.col("key"), F.col("key").alias("cluster")).distinct().checkpoint()
+    for _ in range(most_rounds):
+        passed = both.join(labels.withColumnsRenamed({"key": "b", "cluster": "c"}), "b").groupBy(F.col("a").alias("key")).agg(F.min("c").alias("c"))
+        least = labels.join(passed, "key", "left").select("key", F.least("cluster", "c").alias("cluster"))
+        up = least.select(F.col("key").alias("cluster"), F.col("cluster").alias("up"))
+        new = least.join(up, "cluster").select("key", F.col("up").alias("cluster")).checkpoint()
+        if new.exceptAll(labels).isEmpty():
+            return new
+        labels = new
+    raise RuntimeError(f"clusters are not settled after {most_rounds} rounds")
+
+
+def search(docs: DataFrame, columns: list[str], query: str) -> DataFrame:
+    """Rows any of whose columns holds the text as it is written: no character of it is a wildcard."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.lower(F.col(c)).contains(query.lower()), F.lit(False))
+    return docs.where(hit)
