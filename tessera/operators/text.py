@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import ensure_checkpoints
+
 
 def clean(text: Column) -> Column:
     """Without tags, with white space collapsed."""
@@ -128,6 +130,7 @@ def clusters(keys: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFr
     Each round passes on the smallest label of the neighbours and follows it once, so long
     chains take few rounds; a round ends in a checkpoint, which cuts its lineage.
     """
+    ensure_checkpoints(keys.sparkSession)
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
     labels = keys.select(F.col("key"), F.col("key").alias("cluster")).distinct().checkpoint()
     for _ in range(most_rounds):
