@@ -22,11 +22,14 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", "")), 256)
 
 
-def dedupe(docs: DataFrame, text: str, order: str) -> DataFrame:
-    """The earliest row of each fingerprint. A minimum is taken before rows move, so a text that everyone copies is no hot group."""
-    marked = docs.withColumn("fp", fingerprint(F.col(text)))
-    first = marked.groupBy("fp").agg(F.min(order).alias("__first"))
-    return marked.join(first, (marked["fp"] == first["fp"]) & (marked[order] == first["__first"]), "left_semi")
+def dedupe(docs: DataFrame, text: str, order: str, keep: list[str] | None = None) -> DataFrame:
+    """The earliest row of each fingerprint, with fp; of its columns only ``keep``, if given.
+
+    One pass: a text is hashed once, and a minimum is taken before rows move, so a text that
+    everyone copies is no hot group.
+    """
+    row = F.struct(*(keep or docs.columns))
+    return docs.groupBy(fingerprint(F.col(text)).alias("fp")).agg(F.min_by(row, order).alias("r")).select("r.*", "fp")
 
 
 def mentions(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
@@ -53,21 +56,32 @@ def gram_similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union)
 
 
-def similar_headlines(docs: DataFrame, key: str, text: str, least: float, block: list[str]) -> DataFrame:
-    """Pairs (a, b) in one block whose headlines' n-grams are similar.
+def _candidates(rows: DataFrame, on: list[str], least: float) -> DataFrame:
+    """Pairs (a, b) of keys that may have a similarity of ``least``; rows: on..., key, g (distinct grams).
 
-    Rows with equal headlines are one; pairs are made of different headlines that share the
-    block and a length within the bound that the similarity allows.
+    With grams sorted by how many rows have them, rarest first, two sets as alike as that
+    share one of the first |g| - ceil(least * |g|) + 1 of each. So rows meet through rare grams
+    of their own, not because they share a block.
     """
+    flat = rows.select(*on, "key", F.size("g").alias("size"), F.explode("g").alias("gram"))
+    common = flat.groupBy(*on, "gram").agg(F.count("*").alias("held")).where("held > 1")
+    ranked = flat.join(common, [*on, "gram"]).groupBy(*on, "key", "size").agg(F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("s"))
+    # grams that one row alone has come first, and meet nobody
+    alone = F.col("size") - F.size("s")
+    reach = F.greatest(F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - alone, F.lit(0))
+    placed = ranked.select(*on, "key", F.explode(F.slice("s", 1, reach.cast("int"))).alias("x")).select(*on, "key", "x.gram")
+    a, b = placed.withColumnRenamed("key", "a"), placed.withColumnRenamed("key", "b")
+    return a.join(b, [*on, "gram"]).where("a < b").select(*on, "a", "b").distinct()
+
+
+def similar_headlines(docs: DataFrame, key: str, text: str, least: float, block: list[str]) -> DataFrame:
+    """Pairs (a, b) in one block whose headlines' n-grams are similar; rows with equal headlines are one, known by the smallest key."""
     heads = docs.select(*block, F.lower(F.substring(clean(F.col(text)), 1, 60)).alias("head"), F.col(key).alias("key")).groupBy(*block, "head").agg(F.min("key").alias("key"))
-    g = heads.withColumn("g", grams(F.col("head"))).withColumn("k", F.size("g"))
-    # equal-length bands: similar sets differ in size by less than the bound
-    band = F.floor(F.log(F.col("k").cast("double")) / F.log(F.lit(1 / least)))
-    a = g.withColumn("band", F.explode(F.array(band, band + 1)))
-    b = g.withColumn("band", band)
-    on = [*block, "band"]
-    pairs = a.alias("a").join(b.alias("b"), on).where("a.key <> b.key").where(gram_similarity(F.col("a.g"), F.col("b.g")) >= least)
-    return pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"), F.round(gram_similarity(F.col("a.g"), F.col("b.g")), 6).alias("similarity")).distinct()
+    g = heads.select(*block, "key", grams(F.col("head")).alias("g"))
+    found = _candidates(g, block, least)
+    x, y = g.select(F.col("key").alias("a"), F.col("g").alias("x"), *block), g.select(F.col("key").alias("b"), F.col("g").alias("y"), *block)
+    pairs = found.join(x, [*block, "a"]).join(y, [*block, "b"]).withColumn("similarity", gram_similarity(F.col("x"), F.col("y")))
+    return pairs.where(F.col("similarity") >= least).select("a", "b", F.round("similarity", 6).alias("similarity")).distinct()
 
 
 def layered(docs: DataFrame, key: str, text: str, layers: dict[str, list[str]]) -> DataFrame:
@@ -110,18 +124,19 @@ def growth(mentions_: DataFrame, since: str, until: str) -> DataFrame:
 
 
 def pairs_in_time(docs: DataFrame, key: str, text: str, ts: str, seconds: int, least: float, block: list[str]) -> DataFrame:
-    """Pairs (a, b) of one block whose texts' bigrams are similar and whose times lie within ``seconds``.
+    """Pairs (a, b) of one block whose texts' bigrams are similar and whose times lie within ``seconds``. Keys name one row each.
 
-    A row meets those of its own stretch of time and of the one before, so a block is cut by time.
-    Equal texts of one stretch meet others once, through the earliest, to which they are paired.
+    A row stands in its stretch of time and in the next one, so that near rows share one;
+    within a stretch rows meet through rare grams of their own.
     """
-    stretch = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
-    rows = docs.select(*block, F.col(key).alias("key"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("at"), stretch.alias("stretch"), grams(F.lower(clean(F.col(text)))).alias("g"))
-    a = rows.alias("a")
-    b = rows.withColumn("stretch", F.explode(F.array("stretch", F.col("stretch") - 1))).alias("b")
-    near = (F.abs(F.col("a.at") - F.col("b.at")) <= seconds) & (F.struct("a.at", "a.key") < F.struct("b.at", "b.key"))
-    joined = a.join(b, [*block, "stretch"]).where(near & (gram_similarity(F.col("a.g"), F.col("b.g")) >= least))
-    return joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    rows = docs.select(*block, F.col(key).alias("key"), at.alias("at"), grams(F.lower(clean(F.col(text)))).alias("g"))
+    stretch = F.floor(F.col("at") / seconds)
+    placed = rows.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
+    found = _candidates(placed.select(*block, "stretch", "key", "g"), [*block, "stretch"], least).select("a", "b").distinct()
+    x, y = rows.select(F.col("key").alias("a"), F.col("at").alias("at_a"), F.col("g").alias("x")), rows.select(F.col("key").alias("b"), F.col("at").alias("at_b"), F.col("g").alias("y"))
+    pairs = found.join(x, "a").join(y, "b").where(F.abs(F.col("at_a") - F.col("at_b")) <= seconds)
+    return pairs.where(gram_similarity(F.col("x"), F.col("y")) >= least).select("a", "b")
 
 
 def clusters(keys: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:

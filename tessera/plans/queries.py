@@ -566,7 +566,7 @@ def rising_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id, sha256(lower(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g'))) AS fp FROM documents GROUP BY 2")
 def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.dedupe(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "fp")
+    return text.dedupe(table(spark, sf_dir, "documents"), "text", "doc_id", keep=["doc_id"])
 
 
 MENTIONS = """names AS (SELECT name FROM (VALUES ('the'), ('and'), ('que'), ('und'), ('der'), ('les')) AS t(name)),
