@@ -140,7 +140,7 @@ def _filled(drawn: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     """Runs of slots (shard, no, first, n, blocks) in which every source has as many as wanted.
 
     Multinomial draws miss the wanted counts by chance, by about their square roots. The
-    draws of a source beyond its count pass, one by one, to the sources that fell short.
+    draws of a source beyond its count pass, in order, to the sources that fell short.
     """
     got = drawn.groupBy("no").agg(F.sum("n").alias("drawn"))
     ledger = plan.join(got, "no", "left").select("no", "blocks", "wanted", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.lit(0).alias("all"))
@@ -149,12 +149,13 @@ def _filled(drawn: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     ledger = cut(offsets(ledger, "all", ["no"], "short", n_sources).withColumnRenamed("off", "short_from").drop("all"), "ledger")
     runs = drawn.join(ledger, "no")
     kept = runs.select("shard", "no", F.col("off").alias("first"), F.least("n", F.col("wanted") - F.col("off")).alias("n"), "blocks").where("n > 0")
-    beyond = runs.where("off + n > wanted").select("shard", "over_from", "wanted", F.explode(F.sequence(F.greatest("off", "wanted"), F.col("off") + F.col("n") - 1)).alias("k"))
-    beyond = beyond.select("shard", (F.col("over_from") + F.col("k") - F.col("wanted")).alias("at"))
+    beyond = runs.where("off + n > wanted").select("shard", F.col("no").alias("of"), "over_from", "wanted", F.explode(F.sequence(F.greatest("off", "wanted"), F.col("off") + F.col("n") - 1)).alias("k"))
+    beyond = beyond.select("shard", "of", (F.col("over_from") + F.col("k") - F.col("wanted")).alias("at"))
     lacking = ledger.where("short > 0").select("no", "blocks", "drawn", "short_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("short") - 1)).alias("u"))
     lacking = lacking.select((F.col("short_from") + F.col("u")).alias("at"), "no", (F.col("drawn") + F.col("u")).alias("first"), "blocks")
-    passed = beyond.join(lacking, "at").select("shard", "no", "first", F.lit(1).cast("long").alias("n"), "blocks")
-    return kept.union(passed)
+    # draws of one source in one shard that pass to one other follow each other there too
+    passed = beyond.join(lacking, "at").groupBy("shard", "of", "no", "blocks").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    return kept.union(passed.select("shard", "no", "first", "n", "blocks"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -250,11 +251,12 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them; a block is at most BLOCK_WORDS pieces.
     """
     documents, slots, sources = mix(docs, id_col, text_col, source_col)
-    keyed = documents.where("size > 0").select(F.col(id_col).alias("id"), "text_hash", "no", "off")
-    texts = docs.select(F.col(id_col).cast("long").alias("tid"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text"))
-    texts = texts.groupBy("tid", "thash").agg(F.min("text").alias("text"))
-    joined = keyed.hint("merge").join(texts, F.col("id").eqNullSafe(F.col("tid")) & (F.col("text_hash") == F.col("thash")))
-    joined = joined.select("no", "off", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("named"), "text")
+    # no key is null, so texts are joined where their grouping has put them
+    key = lambda c: (F.coalesce(c, F.lit(0)).alias("id"), c.isNotNull().alias("named"))
+    keyed = documents.where("size > 0").select(*key(F.col(id_col)), "text_hash", "no", "off")
+    texts = docs.select(*key(F.col(id_col).cast("long")), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = texts.groupBy("id", "named", "text_hash").agg(F.min("text").alias("text"))
+    joined = keyed.hint("merge").join(texts, ["id", "named", "text_hash"]).select("no", "off", "id", "named", "text")
     pieces = joined.mapInPandas(_pieces, PIECES)
     piece = F.struct("off", F.when(F.col("named"), F.col("id")).alias("id"), "words", "t")
     blocks = pieces.groupBy("no", "block").agg(F.array_sort(F.collect_list(piece)).alias("p"))
