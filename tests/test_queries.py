@@ -23,8 +23,8 @@ def duck():
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and not math.isfinite(v):
-        return None
+    if isinstance(v, float) and math.isnan(v):
+        return "NaN"  # is not null
     return v + 0.0 if isinstance(v, float) else v
 
 
