@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.centroids import centroid_clusters
 from tessera.llm.chat import digests, format_chats
 from tessera.llm.decontaminate import matches
 from tessera.llm.html_text import main_text
@@ -79,6 +80,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))[0]
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the mix follows from the sizes alone."""
     return targets(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
@@ -90,7 +95,7 @@ def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_line_dedup, op2_chat_formatting, op3_near_dedup, op4_decontaminate, op5_licence_scans, op6_html_extraction, op7_pii, op8_mixing, op9_secret_scans, op10_quality_rules)
+    ops = (op1_line_dedup, op2_chat_formatting, op3_near_dedup, op4_decontaminate, op5_licence_scans, op6_html_extraction, op7_pii, op8_mixing, op9_secret_scans, op10_quality_rules, op12_centroid_clustering)
     return {f.__name__: f for f in (*ops, mix_targets, secret_base_spans)}
 
 

@@ -76,4 +76,25 @@ r AS (SELECT source, (failed + m * n) / (docs + n) AS rate FROM h CROSS JOIN q)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND rate <= {MAX_HOST_RATE} AS kept, round(rate, 6) AS host_rate FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""
 
-SQL = {"op2_chat_formatting": CHATS, "op3_near_dedup": NEAR, "op10_quality_rules": QUALITY, "mix_targets": MIX_TARGETS, "secret_base_spans": SECRETS}
+
+
+def _clusters(rounds: int = 3, k: int = 16) -> str:
+    """Every round is a step of its own: assign all vectors to all centroids, then average by component."""
+    finite = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {finite})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS w FROM kept ORDER BY sha256('1:' || vec_id), v LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        d = "CAST(list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT k, vec_id, v, min(struct_pack(d := d, c := c)) AS best FROM (SELECT k, vec_id, v, c, {d} AS d FROM kept CROSS JOIN c{i}) GROUP BY ALL)")
+        if i < rounds:
+            mean = "(s - (s % n + n) % n) // n"
+            steps.append(f"m{i} AS (SELECT c, list({mean} ORDER BY j) AS w FROM (SELECT best.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM a{i} CROSS JOIN range(1, 65) AS r(j) GROUP BY 1, 2) GROUP BY 1)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.w, c{i}.w) AS w FROM c{i} LEFT JOIN m{i} USING (c))")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c = best.c"""
+
+
+SQL = {"op2_chat_formatting": CHATS, "op3_near_dedup": NEAR, "op10_quality_rules": QUALITY, "mix_targets": MIX_TARGETS, "secret_base_spans": SECRETS, "op12_centroid_clustering": _clusters()}
