@@ -19,6 +19,7 @@ from tessera.llm.pii import replace_pii
 from tessera.llm.quality import quality_rules
 from tessera.llm.secrets import secret_scan
 from tessera.llm.sql import SQL
+from tessera.llm.variants import spelling_variants, word_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +85,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))[0]
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), misspelt=97))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the mix follows from the sizes alone."""
     return targets(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
@@ -95,7 +100,7 @@ def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_line_dedup, op2_chat_formatting, op3_near_dedup, op4_decontaminate, op5_licence_scans, op6_html_extraction, op7_pii, op8_mixing, op9_secret_scans, op10_quality_rules, op12_centroid_clustering)
+    ops = (op1_line_dedup, op2_chat_formatting, op3_near_dedup, op4_decontaminate, op5_licence_scans, op6_html_extraction, op7_pii, op8_mixing, op9_secret_scans, op10_quality_rules, op12_centroid_clustering, op13_spelling_variants)
     return {f.__name__: f for f in (*ops, mix_targets, secret_base_spans)}
 
 

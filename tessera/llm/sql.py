@@ -97,4 +97,26 @@ SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(
   sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c = best.c"""
 
 
-SQL = {"op2_chat_formatting": CHATS, "op3_near_dedup": NEAR, "op10_quality_rules": QUALITY, "mix_targets": MIX_TARGETS, "secret_base_spans": SECRETS, "op12_centroid_clustering": _clusters()}
+def _nibble(i: int) -> int:
+    """CRC-32 (reflected polynomial EDB88320) of four bits."""
+    for _ in range(4):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+NIBBLES = "[" + ", ".join(str(_nibble(i)) for i in range(16)) + "]"
+VARIANTS = f"""WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY 1, 2),
+b AS (SELECT run, n, list_concat([4294967295], flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END))) AS bytes FROM d),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda c, x: xor(xor(xor(c, x) >> 4, {NIBBLES}[(xor(c, x) & 15) + 1]) >> 4, {NIBBLES}[(xor(xor(c, x) >> 4, {NIBBLES}[(xor(c, x) & 15) + 1]) & 15) + 1])), 4294967295) AS h FROM b),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+x AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM x WHERE rest IN (SELECT word FROM w) UNION SELECT rest, word FROM x WHERE rest IN (SELECT word FROM w)),
+g AS (SELECT a AS word, count(*) AS n_near, min(struct_pack(n := -w.n, other := b)) AS best FROM p JOIN w ON w.word = b GROUP BY 1),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 2 * n THEN best.other END AS form, CASE WHEN -best.n >= 2 * n THEN -best.n END AS form_n FROM w LEFT JOIN g USING (word)),
+r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word WHERE root IN (SELECT word FROM f WHERE form IS NULL)"""
+
+SQL = {"op2_chat_formatting": CHATS, "op3_near_dedup": NEAR, "op10_quality_rules": QUALITY, "mix_targets": MIX_TARGETS, "secret_base_spans": SECRETS, "op12_centroid_clustering": _clusters(), "op13_spelling_variants": VARIANTS}
