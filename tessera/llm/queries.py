@@ -19,6 +19,7 @@ from tessera.llm.pii import replace_pii
 from tessera.llm.quality import quality_rules
 from tessera.llm.secrets import secret_scan
 from tessera.llm.sql import SQL
+from tessera.llm.toxicity import fit as fit_toxicity, toxicity
 from tessera.llm.variants import spelling_variants, word_counts
 
 
@@ -81,6 +82,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))[0]
 
@@ -100,7 +106,7 @@ def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_line_dedup, op2_chat_formatting, op3_near_dedup, op4_decontaminate, op5_licence_scans, op6_html_extraction, op7_pii, op8_mixing, op9_secret_scans, op10_quality_rules, op12_centroid_clustering, op13_spelling_variants)
+    ops = (op1_line_dedup, op2_chat_formatting, op3_near_dedup, op4_decontaminate, op5_licence_scans, op6_html_extraction, op7_pii, op8_mixing, op9_secret_scans, op10_quality_rules, op11_toxicity, op12_centroid_clustering, op13_spelling_variants)
     return {f.__name__: f for f in (*ops, mix_targets, secret_base_spans)}
 
 
