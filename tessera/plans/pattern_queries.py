@@ -1,4 +1,4 @@
-"""Queries of candlestick patterns, price limits, strategies' exits and recursive signals, each beside its SQL."""
+"""Queries of price limits, strategies' exits and recursive signals, each beside its SQL."""
 
 from __future__ import annotations
 
@@ -6,37 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import factors
-from tessera.operators import candles, chips, indicators, limits, screen
+from tessera.operators import chips, indicators, limits, screen
 from tessera.operators.recursive import next_bars, state_of, with_recursive
 from tessera.plans.panel import float_shares, table
 from tessera.plans.queries import BARS, EWM_SQL, ROLL, ROLL1, down, even, lagged, over, query, r, rnd, roll, rolled, rounded, up, week
 
-# --- candlestick patterns -------------------------------------------------------------------------------------------------------
-
-
-def _columns(made: dict[str, str]) -> str:
-    return ", ".join(f"{v} AS {k}" for k, v in made.items())
-
-
-CANDLES = f"""{BARS}, one AS (SELECT *, {_columns(candles.BAR)} FROM bars), wicks AS (SELECT *, {_columns(candles.WICKS)} FROM one),
-before AS (SELECT *, {_columns({k: roll("avg", x, n, -1) for k, (x, n) in candles.BEFORE.items()})} FROM wicks), shapes AS (SELECT *, {_columns(candles.SHAPES)} FROM before),
-earlier AS (SELECT *, {_columns({f"{x}{n}": lagged(x, n) for n, xs in candles.EARLIER.items() for x in xs})} FROM shapes),
-flags AS (SELECT *, {_columns({f"cdl_{k}": candles.sign(*v) for k, v in candles.PATTERNS.items()})} FROM earlier),
-going AS (SELECT *, {_columns({on: lagged(f"cdl_{on}") for _, _, on in candles.FOLLOWING.values()})} FROM flags),
-cdl AS (SELECT *, {_columns({f"cdl_{k}": candles.sign(a, b) for k, (a, b, _) in candles.FOLLOWING.items()})} FROM going)"""
-ALL_PATTERNS = [f"cdl_{k}" for k in (*candles.PATTERNS, *candles.FOLLOWING)]
-
-
-@query(f"WITH {CANDLES} SELECT symbol, date, {', '.join(f'CAST({k} AS INTEGER) AS {k}' for k in ALL_PATTERNS)} FROM cdl")
-def candle_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candles.patterns(week(spark, sf_dir)).select("symbol", "date", *[F.col(k).cast("int").alias(k) for k in ALL_PATTERNS])
-
-
-@query(f"WITH {CANDLES} SELECT symbol, date FROM (SELECT symbol, date, max(abs(cdl_engulfing)) {over(3)} AS hit FROM cdl) WHERE hit > 0")
-def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candles.matched_within(candles.patterns(week(spark, sf_dir)), "engulfing", 3).select("symbol", "date")
-
-
 # --- price limits ---------------------------------------------------------------------------------------------------------------
 
 LIMITS = f"""{BARS}, listed AS (SELECT s_suppkey AS symbol, ['600', '300', '688', '830'][s_suppkey % 4 + 1] || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') || ['.SH', '.SZ', '.SH', '.BJ'][s_suppkey % 4 + 1] AS code, CASE WHEN s_suppkey % 5 = 0 THEN '*ST ' || s_name ELSE s_name END AS name FROM supplier),

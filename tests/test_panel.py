@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import families, formula
-from tessera.operators import candles, factor_test, joins, limits, recursive, rows, statistics
+from tessera.operators import candles, factor_test, joins, limits, recursive, row_patterns, rows, statistics
 from tessera.sources import files
 from tessera.streaming import events
 
@@ -64,8 +64,11 @@ def test_windows_stay_with_their_symbol(spark):
 # --- patterns, limits, state ----------------------------------------------------------------------------------------------------
 
 
+#: Ten plain bars (bodies of 0.5, ranges of 2) that any pattern may follow.
+CALM = [(10, 11, 9, 10.5), (10.5, 11, 9.5, 10)] * 6
+
+
 def test_candles(spark):
-    calm = [(10, 11, 9, 10.5), (10.5, 11, 9.5, 10)] * 6
     cases = {
         "engulfing": ([(10.2, 10.4, 9.7, 9.8), (9.7, 10.6, 9.6, 10.5)], 100),
         "marubozu": ([(10, 12, 10, 12)], 100),
@@ -73,10 +76,43 @@ def test_candles(spark):
         "doji": ([(10, 10.5, 9.5, 10.01)], 100),
         "dark_cloud_cover": ([(9, 11, 8.9, 10.9), (11.2, 11.3, 9.4, 9.6)], -100),
         "three_outside": ([(10.2, 10.4, 9.7, 9.8), (9.7, 10.6, 9.6, 10.5), (10.5, 11, 10.4, 10.9)], 100),
+        # those that the tables hold none or few of
+        "upside_gap_two_crows": ([(9, 11, 9, 11), (11.6, 11.7, 11.3, 11.4), (11.7, 11.8, 11.1, 11.2)], -100),
+        "three_stars_south": ([(12, 12.2, 8, 10.5), (11.5, 11.6, 8.5, 10.4), (10.3, 10.35, 10.05, 10.1)], 100),
+        "concealing_baby": ([(13, 13, 12, 12), (12, 12, 11, 11), (10.8, 11.5, 10, 10.2), (11.6, 11.7, 9.8, 9.9)], 100),
+        "breakaway": ([(12, 12.1, 10, 10.1), (9.9, 10, 9.4, 9.5), (9.4, 9.6, 9, 9.2), (9.2, 9.3, 8.7, 8.8), (8.8, 10.1, 8.7, 10.05)], 100),
+        "ladder_bottom": ([(12, 12.1, 11, 11.1), (11.8, 11.9, 10.7, 10.8), (11.5, 11.6, 10.2, 10.3), (10.8, 11.3, 9.9, 10), (11, 12, 10.9, 11.9)], 100),
+        "mat_hold": ([(9, 11, 9, 11), (11.4, 11.5, 11.2, 11.2), (11.2, 11.3, 10.9, 10.9), (11, 11.1, 10.6, 10.7), (10.8, 12, 10.7, 11.9)], 100),
+        "rising_falling_three": ([(9, 11, 9, 11), (10.8, 10.9, 10.6, 10.6), (10.5, 10.6, 10.3, 10.3), (10.2, 10.3, 9.9, 10), (10.1, 12, 10.1, 11.9)], 100),
+        "advance_block": ([(10, 11.2, 9.9, 11.1), (10.8, 11.7, 10.7, 11.5), (11.4, 12.5, 11.3, 11.7)], -100),
     }
-    got = candles.patterns(panel(spark, {k: calm + bars for k, (bars, _) in cases.items()}))
-    last = {r["symbol"]: r for r in got.collect() if r["date"] == day(len(calm) + len(cases[r["symbol"]][0]) - 1)}
+    got = candles.patterns(panel(spark, {k: CALM + bars for k, (bars, _) in cases.items()}))
+    last = {r["symbol"]: r for r in got.collect() if r["date"] == day(len(CALM) + len(cases[r["symbol"]][0]) - 1)}
     assert {k: last[k][f"cdl_{k}"] for k in cases} == {k: v for k, (_, v) in cases.items()}
+    assert len(candles.PATTERNS) == 61
+
+
+def test_open_patterns_are_confirmed_once(spark):
+    """A hikkake stays open for three bars; the first that turns back beyond the inner bar confirms it, and another takes its place."""
+    outer, inner, out = (10, 14, 6, 11), (10, 12, 8, 11), (10, 11, 7, 9)
+    quiet, beyond = (9, 11.5, 7.5, 9), (9, 13, 7.5, 12.5)
+    cases = {
+        "next": ([outer, inner, out, beyond, beyond], [0, 0, 100, 200, 0]),
+        "third": ([outer, inner, out, quiet, (9, 11.6, 7.4, 9), beyond], [0, 0, 100, 0, 0, 200]),
+        "late": ([outer, inner, out, quiet, (9, 11.6, 7.4, 9), (9, 11.7, 7.3, 9), beyond], [0, 0, 100, 0, 0, 0, 0]),
+        "taken": ([outer, inner, out, (9, 10.5, 7.5, 9), (9, 11.5, 7.6, 9), (9, 13, 7.5, 12.5)], [0, 0, 100, 0, -100, 0]),
+    }
+    got = candles.patterns(panel(spark, {k: bars for k, (bars, _) in cases.items()})).orderBy("date").collect()
+    for k, (_, want) in cases.items():
+        assert [r["cdl_hikkake"] for r in got if r["symbol"] == k] == want, k
+
+
+def test_patterns_need_their_past(spark):
+    bars = [(10, 12, 10, 12)] * 3
+    got = candles.patterns(panel(spark, {"a": bars})).collect()
+    assert all(r[f"cdl_{k}"] == 0 for r in got for k in ("marubozu", "doji", "long_line", "hammer"))
+    with pytest.raises(ValueError, match="beyond"):
+        row_patterns.pattern(2, "c.close > a.close").fields()
 
 
 def test_limit_percent(spark):
