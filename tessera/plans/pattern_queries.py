@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from tessera.operators import chips, indicators, limits, screen
 from tessera.operators.recursive import next_bars, state_of, with_recursive
 from tessera.plans.panel import float_shares, table
 from tessera.plans.queries import BARS, EWM_SQL, ROLL, ROLL1, down, even, lagged, over, query, r, rnd, roll, rolled, rounded, up, week
+from tessera.sources.shared import shared_folder
+from tessera.streaming import bar_state
 
 # --- price limits ---------------------------------------------------------------------------------------------------------------
 
@@ -223,3 +228,28 @@ def incremental_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = week(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date").desc())))
     state = state_of(placed.where("n > 1").drop("n"))
     return rounded(next_bars(state, placed.where("n = 1").drop("n")).select("symbol", "date", *_NEXT), digits=4)
+
+
+_STORED = ["ema5", "ema60", "macd_dif", "macd_dea", "macd_hist", "atr_14", "rsi_6", "rsi_14", "rsi_24", "kdj_k", "kdj_d", "kdj_j", "ma5", "ma20", "ma60", "vol_ma5", "vol_ratio_5d", "change_pct"]
+
+
+@query(f"""{_LAST} SELECT symbol, date, {", ".join(f"{rnd(k, 4)} AS {k}" for k in _STORED)} FROM (SELECT *, 2 * (macd_dif - macd_dea) AS macd_hist, 3 * kdj_k - 2 * kdj_d AS kdj_j FROM fin)
+  WHERE date > (SELECT max(date) FROM bars) - INTERVAL 21 DAY""")
+def stored_state_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches into a stored state: the history, two weeks (the first with wrong bars of some symbols), and the last week with their corrections."""
+    bars = week(spark, sf_dir)
+    last = bars.agg(F.max("date")).first()[0]
+    path = f"{shared_folder(spark)}/bar-state-{uuid.uuid4().hex}"
+    ago = lambda n: last - dt.timedelta(days=7 * n)
+    wrong = F.col("symbol") % 7 == 0
+    first = bars.where(F.col("date") == ago(2))
+    batches = [
+        bars.where(F.col("date") < ago(2)),
+        first.withColumn("close", F.when(wrong, F.col("high") * 2).otherwise(F.col("close"))).withColumn("high", F.when(wrong, F.col("high") * 3).otherwise(F.col("high"))),
+        bars.where(F.col("date") == ago(1)),
+        bars.where(F.col("date") == last).unionByName(first.where(wrong)),
+    ]
+    for version, batch in enumerate(batches):
+        bar_state.apply_bars(spark, path, batch, version)
+    bar_state.apply_bars(spark, path, batches[1], 1)  # repeated: changes nothing
+    return rounded(bar_state.indicators(spark, path).where(F.col("date") >= F.lit(ago(2))).select("symbol", "date", *_STORED), digits=4)

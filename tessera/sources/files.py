@@ -83,11 +83,15 @@ def rewritten(spark: SparkSession, path: str, rows: DataFrame, partition: str) -
     """Replace the partitions of a table that ``rows`` has.
 
     Rows are written beside the table first, under a name of this run, since Spark can't
-    overwrite what it reads; then one job overwrites the partitions.
+    overwrite what it reads; then one job overwrites the partitions. Rows of a partition are
+    brought together first, and a large one split by its size, so that files are few. The
+    rows beside it are deleted once the table has them.
     """
     aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     rows.write.parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    spark.read.schema(rows.schema).parquet(aside).hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(aside)  # the store's own interface, as the path may be on any
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], partition: str, order: str) -> None:

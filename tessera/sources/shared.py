@@ -16,3 +16,14 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     if not named and not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, for tables; on one machine without one, a new temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        named = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named

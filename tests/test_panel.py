@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import families, formula
 from tessera.operators import candles, factor_test, joins, limits, recursive, row_patterns, rows, statistics
 from tessera.sources import files
-from tessera.streaming import events
+from tessera.streaming import bar_state, events
 
 D = dt.date(2024, 1, 1)
 
@@ -277,3 +277,76 @@ def test_streams(spark, tmp_path):
     cooled = run(events.cooled_stream(stream.select("symbol", "ts"), 60), "cooled", "append")
     times = sorted(r["ts"].timestamp() for r in cooled if r["symbol"] == "a")
     assert times and all(b - a >= 60 for a, b in zip(times, times[1:]) if b > a)
+
+
+# --- stored state ---------------------------------------------------------------------------------------------------------------
+
+
+def walk(symbols: str, n: int, seed: int = 7):
+    r = random.Random(seed)
+    rows = []
+    for s in symbols:
+        p = 50.0
+        for i in range(n):
+            o, p = p, max(1.0, p + r.uniform(-2, 2))
+            rows.append((s, day(i), o, max(o, p) + r.random(), min(o, p) - r.random(), p, 100.0 + r.randrange(50), 1000.0 + i))
+    return rows
+
+
+BAR_SCHEMA = "symbol string, date date, open double, high double, low double, close double, volume double, amount double"
+
+
+def stored(spark, path):
+    return {(r["symbol"], r["date"]): [None if v is None else round(v, 6) for v in (r[c] for c in bar_state.INDICATORS)] for r in bar_state.indicators(spark, path).collect()}
+
+
+def test_state_goes_on_without_history(spark, tmp_path):
+    """Day by day, with a new symbol, a day that one misses, corrections, late bars and repeated batches: always as if all had come at once."""
+    rows = walk("abc", 70)
+    late = [x for x in rows if x[0] == "b" and x[1] == day(40)]
+    missing = [x for x in rows if x[0] == "c" and x[1] < day(60)]
+    wrong = [(*x[:5], x[5] * 3, *x[6:7], 0.0) for x in rows if x[0] == "a" and x[1] == day(64)]
+    usual = [x for x in rows if x not in late and x not in missing]
+    days = lambda a, b: [x for x in usual if day(a) <= x[1] < day(b) and not (x[0] == "a" and x[1] == day(64))]
+    batches = [days(0, 50), days(50, 60), days(60, 65) + wrong, [], days(65, 68), [x for x in rows if x[0] == "a" and x[1] == day(64)] + late, days(68, 70) + missing + days(68, 69)]
+    path = f"file://{tmp_path}/state"
+    df = lambda xs: spark.createDataFrame(xs, BAR_SCHEMA)
+    for version, batch in enumerate(batches):
+        assert bar_state.apply_bars(spark, path, df(batch), version)
+        assert not bar_state.apply_bars(spark, path, df(wrong), version)
+    got = stored(spark, path)
+    bar_state.apply_bars(spark, f"file://{tmp_path}/whole", df(rows), 0)
+    want = stored(spark, f"file://{tmp_path}/whole")
+    assert len(got) == len(rows) and got == want
+    plain = recursive.with_recursive(df(rows))
+    for r in plain.collect():
+        state = dict(zip(bar_state.INDICATORS, want[(r["symbol"], r["date"])], strict=True))
+        for c in recursive.EWM_COLUMNS:
+            assert state[c] == pytest.approx(r[c], abs=1e-5) if r[c] is not None and not math.isnan(r[c]) else state[c] is None, c
+
+
+def test_new_bars_read_the_heads_alone(spark, tmp_path, monkeypatch):
+    """Without corrections, nothing but the last version of the heads is joined to a batch."""
+    path = f"file://{tmp_path}/state"
+    rows = walk("ab", 20)
+    df = lambda xs: spark.createDataFrame(xs, BAR_SCHEMA)
+    bar_state.apply_bars(spark, path, df([x for x in rows if x[1] < day(19)]), 0)
+    seen = []
+    plan = bar_state.replayed
+    monkeypatch.setattr(bar_state, "replayed", lambda rows, base: seen.append((rows, base)) or plan(rows, base))
+    bar_state.apply_bars(spark, path, df([x for x in rows if x[1] == day(19)]), 1)
+    (today, base), = seen
+    assert today.count() == 2 and all("/heads/" in f for f in base.inputFiles())
+
+
+def test_stream_of_bars_applies_each_batch_once(spark, tmp_path):
+    rows = walk("ab", 12)
+    for i in range(3):
+        spark.createDataFrame([x for x in rows if day(4 * i) <= x[1] < day(4 * i + 4)], BAR_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    read = lambda: spark.readStream.schema(BAR_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    path = f"file://{tmp_path}/state"
+    for _ in range(2):  # the second finds nothing new
+        bar_state.stream_bars(read(), path, f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    bar_state.apply_bars(spark, f"file://{tmp_path}/whole", spark.createDataFrame(rows, BAR_SCHEMA), 0)
+    assert stored(spark, path) == stored(spark, f"file://{tmp_path}/whole")
+    assert bar_state.heads(spark, path)[1] == 2
