@@ -86,16 +86,6 @@ def top_turnover(panel: DataFrame, factor: str, groups: int) -> DataFrame:
     return both.groupBy("date").agg((F.sum(F.abs(F.coalesce("w1", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))) / 2).alias("turnover"))
 
 
-def pair_correlations(panel: DataFrame, factors: list[str]) -> DataFrame:
-    """Mean over dates of the daily rank correlation of each pair of factors, on rows that have both."""
-    out = None
-    for i, a in enumerate(factors):
-        for b in factors[i + 1 :]:
-            one = ic(panel, a, b, least=3).agg(F.avg("ic").alias("corr")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "corr")
-            out = one if out is None else out.union(one)
-    return out
-
-
 def ic_decay(panel: DataFrame, factor: str, horizons: dict[int, str]) -> DataFrame:
     """Per horizon: mean of the daily rank correlation with the return over it, and the dates that have one. Horizons are ranked side by side."""
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("__y")) for h, c in horizons.items()])).alias("x")

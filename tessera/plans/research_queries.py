@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.formula import with_formulas
 from tessera.functions.windows import clamp, safe_div
-from tessera.operators import factor_test, fundamentals, joins, market, screen, statistics
+from tessera.operators import factor_test, fundamentals, joins, market, mining, screen, statistics
 from tessera.plans.market_queries import REGIME, regimes
 from tessera.plans.panel import float_shares, table
 from tessera.plans.pattern_queries import LIMITS, flagged
@@ -46,7 +48,73 @@ FACTORS = ["momentum_20d", "momentum_10d", "annual_vol_20d"]
 
 @query(f"WITH {ROLL}, c AS ({' UNION ALL '.join(_pair(a, b) for i, a in enumerate(FACTORS) for b in FACTORS[i + 1 :])}) SELECT a, b, round(corr, 6) AS corr FROM c")
 def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(factor_test.pair_correlations(rolled(spark, sf_dir), FACTORS))
+    return rounded(mining.pair_correlations(rolled(spark, sf_dir), FACTORS).select("a", "b", "corr"))
+
+
+MINED = ["momentum_5d", "momentum_10d", "momentum_20d", "momentum_30d", "momentum_60d", "annual_vol_20d", "vol_ratio_5d", "amplitude", "change_pct", "change_amount", "ma5", "ma20", "ma60", "boll_upper"]
+#: Values by name, pairs of them on the rows that have both, ranks within date and pair.
+_PAIRS = f"""l AS (UNPIVOT (SELECT symbol, date, {", ".join(MINED)} FROM rolled) ON {", ".join(MINED)} INTO NAME f VALUE x),
+p AS (SELECT a.date, a.f AS a, b.f AS b, a.x AS x, b.x AS y FROM l a JOIN l b ON a.symbol = b.symbol AND a.date = b.date AND list_position({MINED}, a.f) < list_position({MINED}, b.f)),
+pr AS (SELECT date, a, b, x, {_rank("x", "date", "a", "b")} AS p, {_rank("y", "date", "a", "b")} AS q FROM p),
+pd AS (SELECT date, a, b, count(*) AS n, CASE WHEN count(DISTINCT x) >= 3 THEN covar_samp(p, q) / nullif(stddev_samp(p) * stddev_samp(q), 0) END AS ic FROM pr GROUP BY ALL),
+pc AS MATERIALIZED (SELECT a, b, avg(ic) AS corr, count(ic) AS n_dates, CAST(coalesce(sum(n) FILTER (ic IS NOT NULL), 0) AS BIGINT) AS n FROM pd GROUP BY ALL)"""
+
+
+@query(f"WITH {ROLL}, {_PAIRS} SELECT a, b, round(corr, 6) AS corr, n_dates, n FROM pc")
+def all_pair_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(mining.pair_correlations(rolled(spark, sf_dir), MINED))
+
+
+_CLUSTER_OVER = 0.5
+
+
+@query(f"""WITH RECURSIVE {ROLL}, {_PAIRS}, w AS (SELECT a AS f, corr AS c FROM pc WHERE corr IS NOT NULL UNION ALL SELECT b, corr FROM pc WHERE corr IS NOT NULL),
+  o AS (SELECT f, row_number() OVER (ORDER BY {rnd("max(abs(c))")} DESC, f) AS i FROM w GROUP BY 1),
+  m AS (SELECT map(list(a || ' ' || b), list(corr)) AS m FROM (SELECT a, b, corr FROM pc UNION ALL SELECT b, a, corr FROM pc)),
+  g AS (SELECT 0 AS i, CAST(NULL AS VARCHAR) AS f, CAST([] AS VARCHAR[]) AS heads, CAST(NULL AS VARCHAR) AS head
+    UNION ALL SELECT o.i, o.f, CASE WHEN h IS NULL THEN list_append(heads, o.f) ELSE heads END, coalesce(h, o.f)
+    FROM (SELECT o.i, o.f, g.heads, list_filter(g.heads, lambda x: coalesce(abs(m[x || ' ' || o.f]) >= {_CLUSTER_OVER}, false))[1] AS h FROM g JOIN o ON o.i = g.i + 1 CROSS JOIN m) o)
+  SELECT i AS place, g.f AS factor, head AS representative, CASE WHEN g.f <> head THEN {rnd("m[head || ' ' || g.f]")} END AS rho FROM g CROSS JOIN m WHERE i > 0""")
+def factor_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors, the most related first, each put to the first representative that it is correlated with."""
+    pairs = mining.pair_correlations(rolled(spark, sf_dir), MINED).persist()
+    known = pairs.where("corr is not null")
+    most = known.select(F.col("a").alias("f"), "corr").union(known.select("b", "corr")).groupBy("f").agg(even(F.max(F.abs("corr"))).alias("most"))
+    order = [r["f"] for r in most.orderBy(F.desc("most"), "f").collect()]
+    placed = mining.greedy_clusters(pairs, order, _CLUSTER_OVER)
+    pairs.unpersist()
+    rows = [(i, p.factor, p.representative, p.rho) for i, p in enumerate(placed, 1)]
+    return rounded(spark.createDataFrame(rows, "place long, factor string, representative string, rho double"))
+
+
+_BEAM = ["annual_vol_20d", "momentum_20d", "vol_ratio_5d"]
+_TRIES = [(s, w) for k in (1, 2, 3) for s in combinations(_BEAM, k) for w in ([(1,)] if k == 1 else [(1,) * k, *[tuple(2 if i == j else 1 for i in range(k)) for j in range(k)]])]
+
+
+def _tried(names: tuple[str, ...], weights: tuple[int, ...], way: str) -> str:
+    """The blend of one combination on the rows that have all of it; ``way`` tells the sign of a factor."""
+    all_ = " AND ".join(f"{f} IS NOT NULL" for f in (*names, "fwd_1"))
+    blend = " + ".join(f"{w} * {way.format(f)} * {_rank(f, 'date')}" for f, w in zip(names, weights, strict=True))
+    return f"SELECT '{','.join(names)}' AS factors, '{','.join(map(str, weights))}' AS weights, date, {blend} AS x, fwd_1 AS y FROM fwd WHERE {all_}"
+
+
+def _measured(no: str, of: str) -> str:
+    return f"""k{no} AS (SELECT *, {_rank("x", "factors", "weights", "date")} AS a, {_rank("y", "factors", "weights", "date")} AS b FROM ({of})),
+  d{no} AS (SELECT factors, weights, date, count(*) AS n, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM k{no} GROUP BY ALL HAVING count(*) >= 3),
+  e{no} AS MATERIALIZED (SELECT factors, weights, avg(ic) AS ic, coalesce(avg(ic) / CASE WHEN stddev_pop(ic) > 1e-12 THEN stddev_pop(ic) END, 0) AS ir, CAST(sum(n) AS BIGINT) AS observations, count(*) AS dates FROM d{no} WHERE ic IS NOT NULL GROUP BY ALL)"""
+
+
+_WAY = "(SELECT CASE WHEN ic >= 0 THEN 1 ELSE -1 END FROM e1 WHERE factors = '{}')"
+
+
+@query(f"""WITH {FORWARD}, {_measured("1", " UNION ALL ".join(_tried(s, w, "1") for s, w in _TRIES if len(s) == 1))},
+  {_measured("2", " UNION ALL ".join(_tried(s, w, _WAY) for s, w in _TRIES if len(s) > 1))}
+  SELECT factors, weights, round(rank_ic, 6) AS rank_ic, round(ir, 6) AS ir, observations, dates FROM (SELECT factors, weights, abs(ic) AS rank_ic, abs(ir) AS ir, observations, dates FROM e1 UNION ALL SELECT * FROM e2)""")
+def factor_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every combination of three factors that the search may keep; the SQL tries them all."""
+    best = mining.beam_search(forward(spark, sf_dir), _BEAM, "fwd_1")
+    rows = [(",".join(c.factors), ",".join(map(str, c.weights)), c.rank_ic, c.ir, c.observations, c.dates) for c in best]
+    return rounded(spark.createDataFrame(rows, "factors string, weights string, rank_ic double, ir double, observations long, dates long"))
 
 
 @query(f"""WITH {FORWARD}, r AS (SELECT date, fwd_1 AS y, round({_rank("momentum_20d", "date")} / count(*) OVER (PARTITION BY date) * 0.6 + {_rank("vol_ratio_5d", "date")} / count(*) OVER (PARTITION BY date) * 0.4, 12) AS x FROM fwd WHERE momentum_20d IS NOT NULL AND vol_ratio_5d IS NOT NULL AND fwd_1 IS NOT NULL),
