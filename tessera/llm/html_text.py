@@ -44,13 +44,17 @@ TAGS = frozenset(
 HINTS = frozenset(
     "ad ads advert advertisement banner sponsor sponsored promo nav navigation menu navbar breadcrumb breadcrumbs sidebar side widget footer header "
     "masthead copyright cookie consent gdpr notice alert popup modal overlay subscribe newsletter signup login search form comment comments reply "
-    "replies responses respond discussion disqus share sharing social related recommended more pagination pager tags toolbar skip hidden article content main post "
+    "replies responses respond discussion discussions disqus thread threads reactions feedback talkback guestbook opinions share sharing social related recommended more pagination pager tags toolbar skip hidden article content main post "
     "entry story body text page article-body prose complementary contentinfo".split()
 )
 #: Those of readers' comments, which also count together.
-TALK = frozenset("comment comments reply replies responses respond discussion disqus".split())
+TALK = frozenset("comment comments reply replies responses respond discussion discussions disqus thread threads reactions feedback talkback guestbook opinions".split())
 #: Features of elements that frame an article.
 FRAMES = frozenset("tag:article tag:main hint:article hint:content hint:main hint:post hint:entry hint:story hint:prose hint:article-body".split())
+#: Features of elements that hold no article, whatever the model makes of a page.
+FURNITURE = frozenset(f"tag:{t}" for t in "nav header footer aside form fieldset button select option label input menu dialog noscript".split()) | {f"hint:{h}" for h in HINTS} - FRAMES - {"hint:text", "hint:body", "hint:page"}
+#: Features of runs that are no text of an article.
+FOREIGN = frozenset(("link:2", "free:link:2", "mark:copyright", "free:mark:copyright"))
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S
 )
@@ -65,13 +69,14 @@ class Node:
     features: tuple[str, ...]
     text: str | None = None  # of a run
     label: int = 0
+    kind: int = 0  # 1 for a run, 2 more on a page where no element says that it is the article
 
 
 @dataclass
 class Weights:
     unary: dict[str, float] = field(default_factory=dict)
-    #: log potentials [leaf or not][parent label][child label]
-    edge: list[list[list[float]]] = field(default_factory=lambda: [[[0.0, 0.0], [0.0, 0.0]], [[0.0, 0.0], [0.0, 0.0]]])
+    #: log potentials [kind of the child][parent label][child label]
+    edge: list[list[list[float]]] = field(default_factory=lambda: [[[0.0, 0.0], [0.0, 0.0]] for _ in range(4)])
 
 
 _element_memo: dict[tuple[str, str], tuple[str, ...]] = {}
@@ -109,13 +114,17 @@ def run_features(text: str, linked: int, tag: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def parse(source: str) -> list[Node]:
+#: In labelled pages alone: what stands between these is content, without an element of its own.
+KEEP, KEPT = "<!--keep-->", "<!--/keep-->"
+
+
+def parse(source: str, labelled: bool = False) -> list[Node]:
     """Nodes in page order, parents first; runs have their text with references decoded and white space collapsed."""
     nodes = [Node(-1, ("root",))]
     stack: list[tuple[str, int]] = [("", 0)]
     parts: list[str] = []
     linked, in_link = 0, False
-    labels: dict[int, int] = {}
+    kept = 0
     unclosed: set[str] = set()  # no closing tag follows
 
     def flush() -> None:
@@ -123,7 +132,7 @@ def parse(source: str) -> list[Node]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                nodes.append(Node(stack[-1][1], run_features(text, linked, stack[-1][0]), text, nodes[stack[-1][1]].label))
+                nodes.append(Node(stack[-1][1], run_features(text, linked, stack[-1][0]), text, kept or nodes[stack[-1][1]].label))
             parts.clear()
         linked = 0
 
@@ -140,6 +149,9 @@ def parse(source: str) -> list[Node]:
         at = m.end()
         tag = m["tag"]
         if tag is None:
+            if labelled and m[0] in (KEEP, KEPT):
+                flush()
+                kept = int(m[0] == KEEP)
             continue
         tag = tag.lower()
         if tag in RAW:
@@ -170,18 +182,24 @@ def parse(source: str) -> list[Node]:
             while stack[-1][0] in CLOSES.get(tag, ()):
                 stack.pop()
         up = stack[-1][1]
-        label = nodes[up].label
+        label = kept or nodes[up].label
         if (k := m["attrs"].find("data-keep=")) >= 0:  # of labelled pages alone
             label = int(m["attrs"][k + 11])
         nodes.append(Node(up, element_features(tag, m["attrs"]), None, label))
         if tag not in VOID and not m["attrs"].endswith("/"):
             stack.append((tag, len(nodes) - 1))
     flush()
+    for x in nodes:
+        x.kind = int(x.text is not None)
     if not any(f in FRAMES for x in nodes for f in x.features):
-        # no element says that it is the article: where its blocks lie tells more
+        # where blocks lie and how long their text is tells more here: runs have features of their own
         tags = [next((f for f in x.features if f.startswith("tag:")), "") + "+" * (len(x.features) > 1) for x in nodes]
         for i, x in enumerate(nodes):
-            x.features = (*x.features, f"free:{tags[i] if x.text is None else 'run'}<{tags[x.parent]}")
+            x.kind += 2
+            if x.text is None:
+                x.features = (*x.features, f"free:{tags[i]}<{tags[x.parent]}")
+            else:  # in order: run, size, link, in, ...
+                x.features = (*[f"free:{f}" for f in x.features], f"free:run<{tags[x.parent]}", f"free:{x.features[1]}|{x.features[2]}")
     return nodes
 
 
@@ -197,12 +215,12 @@ def marginals(nodes: list[Node], w: Weights) -> tuple[list[float], list[float],
     up, down = [0.0] * n, [0.0] * n
     tables = [[[exp(v) for v in row] for row in t] for t in w.edge]
     for i in range(n - 1, 0, -1):
-        (a00, a01), (a10, a11) = tables[nodes[i].text is not None]
+        (a00, a01), (a10, a11) = tables[nodes[i].kind]
         e = exp(_clip(belief[i]))
         up[i] = m = log((a10 + a11 * e) / (a00 + a01 * e))
         belief[nodes[i].parent] += m
     for i in range(1, n):
-        (a00, a01), (a10, a11) = tables[nodes[i].text is not None]
+        (a00, a01), (a10, a11) = tables[nodes[i].kind]
         e = exp(_clip(belief[nodes[i].parent] - up[i]))
         down[i] = m = log((a01 + a11 * e) / (a00 + a10 * e))
         belief[i] += m
@@ -214,13 +232,22 @@ def extract(source: str | None, w: Weights) -> str:
         return ""
     nodes = parse(source)
     belief, _, _ = marginals(nodes, w)
-    return " ".join(x.text for x, b in zip(nodes, belief, strict=True) if x.text is not None and b >= 0)
+    kept = [x.text for x, b in zip(nodes, belief, strict=True) if x.text is not None and b >= 0]
+    return " ".join(kept or unplaced(nodes))
+
+
+def unplaced(nodes: list[Node]) -> list[str]:
+    """Of a page that the model places nowhere: the runs outside page furniture that are not mostly links."""
+    inside = [False] * len(nodes)
+    for i, x in enumerate(nodes):
+        inside[i] = (x.parent >= 0 and inside[x.parent]) or (x.text is None and not FURNITURE.isdisjoint(x.features))
+    return [x.text for i, x in enumerate(nodes) if x.text is not None and not inside[i] and FOREIGN.isdisjoint(x.features)]
 
 
 def train(pages: list[str], rounds: int = 24, rate: float = 0.15, decay: float = 1e-5) -> Weights:
     """Weights by stochastic ascent on the log likelihood, whose gradient is labels minus marginals."""
     w = Weights()
-    trees = [parse(p) for p in pages]
+    trees = [parse(p, labelled=True) for p in pages]
     for step in range(rounds):
         pace = rate / (1 + step / 4)
         for nodes in trees:
@@ -230,22 +257,26 @@ def train(pages: list[str], rounds: int = 24, rate: float = 0.15, decay: float =
                 for f in x.features:
                     v = w.unary.get(f, 0.0)
                     w.unary[f] = v + d - pace * decay * v
-            grads = [[[0.0, 0.0], [0.0, 0.0]], [[0.0, 0.0], [0.0, 0.0]]]
+            grads = [[[0.0, 0.0], [0.0, 0.0]] for _ in w.edge]
             for i in range(1, len(nodes)):
-                x, leaf = nodes[i], nodes[i].text is not None
+                x, kind = nodes[i], nodes[i].kind
                 p, c = _clip(belief[x.parent] - up[i]), _clip(belief[i] - down[i])
-                t = [[math.exp(w.edge[leaf][a][b] + a * p + b * c) for b in (0, 1)] for a in (0, 1)]
+                t = [[math.exp(w.edge[kind][a][b] + a * p + b * c) for b in (0, 1)] for a in (0, 1)]
                 z = sum(map(sum, t))
                 for a in (0, 1):
                     for b in (0, 1):
-                        grads[leaf][a][b] += (nodes[x.parent].label == a and x.label == b) - t[a][b] / z
-            for leaf in (0, 1):
+                        grads[kind][a][b] += (nodes[x.parent].label == a and x.label == b) - t[a][b] / z
+            for kind in {x.kind for x in nodes}:
                 for a in (0, 1):
                     for b in (0, 1):
-                        w.edge[leaf][a][b] = max(-4.0, min(4.0, w.edge[leaf][a][b] + 0.3 * pace * grads[leaf][a][b]))
+                        w.edge[kind][a][b] = max(-4.0, min(4.0, w.edge[kind][a][b] + 0.3 * pace * grads[kind][a][b]))
     return w
 
 
+#: One labelled page in so many has no element that says that it is the article.
+LOOSE = 5
+
+
 def _words(r: random.Random, least: int, most: int) -> str:
     n = r.randint(least, most)
     return " ".join("".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(n)).capitalize() + r.choice([".", ".", "", "!"])
@@ -296,8 +327,29 @@ def training_pages(n: int, seed: int = 7) -> list[str]:
                  f'<div style="display:none">{inner}</div>', f"<noscript>{r.choice([text, f'<p>{text}</p>'])}</noscript>", f"<menu>{links(4)}</menu>", f"<dialog>{inner}</dialog>"]
         return r.choice(kinds)
 
+    def loose() -> str:
+        """An article with no element that says so: text between line breaks, in plain divs, in the cells of a layout table."""
+        text = lambda: _words(r, 8, 70)
+        runs = lambda: KEEP + r.choice(["<br><br>", "<br>", " "]).join(text() for _ in range(r.randint(1, 6))) + KEPT
+        title = r.choice(["", f'<h1 data-keep="1">{_words(r, 1, 8)}</h1>', f'<h2 data-keep="1">{_words(r, 1, 8)}</h2>'])
+        menu = " ".join(f"<a href=/{i}>{_words(r, 1, 2)}</a>" for i in range(r.randint(2, 7)))
+        ps = "".join(f'<p data-keep="1">{text()}</p>' for _ in range(r.randint(1, 5)))
+        cell = r.choice([runs(), ps, f'<div data-keep="1">{text()}</div>'])
+        kinds = [
+            title + runs(), f"<div>{title}{runs()}</div>", f'{title}<div data-keep="1">{text()}</div>', "".join(f'<div data-keep="1">{text()}</div>' for _ in range(r.randint(2, 5))),
+            f"<center>{title}<font size=2>{runs()}</font></center>", f"<div><div>{title}{runs()}</div></div>", f'<div data-keep="1">{text()}<p>{text()}</p>{text()}</div>',
+            f"<table><tr><td>{r.choice([menu, links(6)])}</td><td>{title}{cell}</td></tr></table>", f"<table><tr><td colspan=2>{menu}</td></tr><tr><td>{links(6)}</td><td>{title}{cell}</td></tr><tr><td>&copy; {_words(r, 1, 4)}</td></tr></table>",
+            f"<div>{menu}</div>{title}{cell}",
+        ]
+        return r.choice(kinds)
+
     out = []
-    for _ in range(n):
+    for i in range(n):
+        if i % LOOSE == 0:
+            around = lambda: "".join(junk() for _ in range(r.choice([0, 0, 1, 2])))
+            page = r.choice(["<html><body>{}{}{}</body></html>", "<body>{}{}{}", "{}{}{}"]).format(around(), loose(), around())
+            out.append(page)
+            continue
         parts = [f"<p>{_words(r, 1, 4)}</p>" for _ in range(r.randint(10, 60))] if r.random() < 0.1 else article_parts()
         if r.random() < 0.25:
             parts.append(replies())
@@ -313,7 +365,7 @@ def training_pages(n: int, seed: int = 7) -> list[str]:
 
 
 #: Labelled pages that the model is fitted to.
-TRAINING_PAGES = 400
+TRAINING_PAGES = 480
 _fitted: list[Weights] = []
 
 
