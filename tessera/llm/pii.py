@@ -33,24 +33,38 @@ FEMALE_GIVEN = (
     "Jessica Julia Karen Katharina Laura Linda Lisa Lucia Margaret Maria Marie Mary Michelle Monika Nancy Natalia Nathalie Olga Patricia Petra Pilar "
     "Rebecca Sabine Sandra Sarah Sophie Susan Svetlana Tatiana Ursula Анна Елена Мария Ольга Татьяна"
 ).split()
-TITLE = f"(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})\\.?"
+TITLE = f"(?:{'|'.join(x for t in (*MALE, *FEMALE, *NEUTRAL) for x in (t, t.upper()) if x not in ('DON', 'MS', 'SR', 'MX'))})\\.?"
 WORD = "\\p{Lu}[\\p{L}'’-]*\\p{L}"
+#: What may stand between the first and the last word of a name, and stays where it is but for an initial's letter; fixed values.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "la", "le", "bin", "ibn")
+INITIAL = "\\p{Lu}\\."
+BETWEEN = f"(?:{INITIAL}|{'|'.join(PARTICLES)})"
+#: In lower case, a word of a name that is no part to replace.
+NO_PART = f"^(?:\\p{{L}}\\.|{'|'.join(PARTICLES)})$"
 START, END = "(?<![\\p{L}\\p{N}])", "(?![\\p{L}\\p{N}])"
 HEX = "[0-9A-Fa-f]{1,4}"
 #: Patterns by type, in the order in which they are tried. Fixed values.
 PATTERNS = {
     "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]++@(?:[\\p{L}\\p{N}-]+\\.)+\\p{L}{2,}+",
     "iban": f"{START}[A-Z]{{2}}\\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{END}",
-    "phone": "(?<![\\p{L}\\p{N}+])(?:\\+\\d{1,3}[ .-]?)?(?:\\(\\d{2,4}\\)|\\d{2,4})[ .-]\\d{3,4}[ .-]\\d{3,4}(?![\\p{L}\\p{N}]|[ .-]\\d)",
+    "phone": "(?<![\\p{L}\\p{N}+])(?:(?:\\+\\d{1,3}[ .-]?)?(?:\\(\\d{2,4}\\)|\\d{2,4})[ .-]\\d{3,4}[ .-]\\d{3,4}|\\+\\d{1,3}[ .-]?(?:\\(\\d{1,4}\\)|\\d{1,4})(?:[ .-]?\\d{2,4}){2,4})(?![\\p{L}\\p{N}]|[ .-]\\d)",
     "card": f"{START}\\d{{4}}(?:(?: \\d{{4}}){{3}}|(?:-\\d{{4}}){{3}}|\\d{{12}}){END}",
     "ssn": "(?<![\\p{L}\\p{N}-])\\d{3}-\\d{2}-\\d{4}(?![\\p{L}\\p{N}-])",
     "ip": "(?<![\\p{L}\\p{N}.])(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)(?![\\p{L}\\p{N}]|\\.\\d)",
     "ip6": f"(?<![\\p{{L}}\\p{{N}}:.])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{2,6}}(?::{HEX}){{1,5}})(?![\\p{{L}}\\p{{N}}:])",
-    "name": f"{START}(?:{TITLE} {WORD}(?: {WORD})?|(?:{'|'.join((*MALE_GIVEN, *FEMALE_GIVEN))}) {WORD})",
+    "name": f"{START}(?:{TITLE} (?:{INITIAL} ?)*{WORD}(?:(?: {BETWEEN})* {WORD}){{0,2}}|(?:{'|'.join((*MALE_GIVEN, *FEMALE_GIVEN))})(?:-{WORD})?(?: {BETWEEN})* {WORD})",
 }
-ANY = "|".join(PATTERNS.values())
+#: Numbers that only a word before them tells: kind to (words, number). Fixed values.
+TOLD = {
+    "phone": ("(?:[Pp]hone|[Tt]el(?:efon|éfono|éphone|ephone)?|[Cc]all|[Mm]obile|[Ff]ax|[Aa]nrufen|[Ll]lamar)", "\\d{3}[ .-]\\d{4}"),
+    "ssn": ("(?:SSN|ssn|[Ss]ocial [Ss]ecurity(?: [Nn]umber)?)", "\\d{9}"),
+    "passport": ("(?:[Pp]assport|[Rr]eisepass|[Pp]asaporte|[Pp]asseport)(?: [Nn]umber| [Nn]o| [Nn]r)?", "[A-Z]{0,2}\\d{6,9}"),
+}
+ANY = "|".join((*PATTERNS.values(), *[f"(?<={words}\\.?[:#]? ?){number}(?![\\p{{L}}\\p{{N}}]|[.-]\\d)" for words, number in TOLD.values()]))
 #: Two capitalised words side by side, wherever they begin.
 PAIR = f"{START}(?=({WORD} {WORD}){END})"
+#: Three, of which the middle one may be an initial or a particle.
+TRIPLE = f"{START}(?=({WORD} (?:{BETWEEN}|{WORD}) {WORD}){END})"
 #: Country codes of telephone numbers; none begins another.
 COUNTRY = "^\\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:21|22|23|24|25|26|28|29|35|37|38|42|50|59|67|68|69|80|83|85|87|88|89|96|97|99)\\d)"
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
@@ -70,7 +84,7 @@ def hmac_hex(key: bytes, message: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    return F.coalesce(*[F.when(value.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()], F.lit("name"))
+    return F.coalesce(*[F.when(value.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()], *[F.when(value.rlike(f"^{p}$"), F.lit(k)) for k, (_, p) in TOLD.items()], F.lit("name"))
 
 
 def canonical(kind: Column, value: Column) -> Column:
@@ -86,7 +100,9 @@ def untitled(name: Column) -> Column:
 
 def gender(value: Column) -> Column:
     has = lambda words, end: value.rlike(f"^(?:{'|'.join(words)}){end} ")
-    return F.when(has(FEMALE, "\\.?"), "f").when(has(MALE, "\\.?"), "m").when(has(NEUTRAL, "\\.?"), "n").when(has(FEMALE_GIVEN, ""), "f").when(has(MALE_GIVEN, ""), "m").otherwise("n")
+    titled = lambda words: has([x for t in words for x in (t, t.upper())], "\\.?")
+    given = lambda words: has(words, "(?:-[^ ]+)?")
+    return F.when(titled(FEMALE), "f").when(titled(MALE), "m").when(titled(NEUTRAL), "n").when(given(FEMALE_GIVEN), "f").when(given(MALE_GIVEN), "m").otherwise("n")
 
 
 def numbers(key: bytes, seed: Column, n: Column) -> Column:
@@ -183,12 +199,13 @@ def parts_of(kind: Column, entity: Column, sex: Column) -> Column:
     part = lambda scope, k, p, s: F.struct(scope.alias("scope"), F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), p.alias("part"), s.alias("sex"))
     domain, none = F.substring_index(entity, "@", -1), F.lit("n")
     host = F.regexp_extract(domain, "^(.*)\\.[^.]*$", 1)
-    words = F.split(entity, " ")
+    words = F.filter(F.split(entity, " "), lambda w: ~w.rlike(NO_PART))
     family = part(F.lit("family"), "family", F.element_at(words, -1), none)
     given = part(F.lit("given"), "given", F.get(words, F.lit(0)), sex)
+    middle = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: part(F.lit("given"), "given", w, none))
     return (
         F.when(kind == "email", F.array(part(F.concat(F.lit("local|"), domain), "local", entity, none), part(F.lit("host"), "host", host, none)))
-        .when((kind == "name") & (F.size(words) > 1), F.array(given, family)).when(kind == "name", F.array(family)).otherwise(F.array(part(kind, kind, entity, none)))
+        .when((kind == "name") & (F.size(words) > 1), F.concat(F.array(given), middle, F.array(family))).when(kind == "name", F.array(family)).otherwise(F.array(part(kind, kind, entity, none)))
     )
 
 
@@ -206,7 +223,17 @@ def shaped(kind: Column, value: Column, entity: Column, new: Column) -> Column:
 
     number = F.aggregate(chars, state, step, lambda a: F.concat(a["out"], F.substring(signs, a["at"], F.length(signs))))
     title = F.regexp_extract(value, f"^{TITLE} ", 0)
-    written = F.zip_with(F.split(untitled(value), " "), new, lambda o, n: F.when((F.length(o) > 1) & (F.upper(o) == o), F.upper(n)).otherwise(F.initcap(n)))
+
+    def word(a: Column, o: Column) -> Column:
+        """A word by the next part; an initial by a letter of the last part; a particle stays."""
+        n = F.get(new, a["at"])
+        named = F.when((F.length(o) > 1) & (F.upper(o) == o), F.upper(n)).otherwise(F.initcap(n))
+        kept = F.lower(o).rlike(NO_PART)
+        put = F.when(~kept, named).when(o.endswith("."), F.concat(F.upper(F.substring(F.element_at(new, -1), 2, 1)), F.lit("."))).otherwise(o)
+        return F.struct(F.concat(a["out"], F.array(put)).alias("out"), (a["at"] + F.when(kept, 0).otherwise(1)).alias("at"))
+
+    nothing = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    written = F.aggregate(F.split(untitled(value), " "), nothing, word, lambda a: a["out"])
     email = F.concat(F.get(new, F.lit(0)), F.lit("@"), F.get(new, F.lit(1)), F.lit("."), F.regexp_extract(entity, "[^.]*$", 0))
     plain = F.when(kind == "email", email).otherwise(F.get(new, F.lit(0)))
     plain = F.when((F.upper(value) == value) & (F.lower(value) != value), F.upper(plain)).otherwise(plain)
@@ -240,6 +267,7 @@ def surrogates(parts: DataFrame, key: bytes) -> DataFrame:
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with entities of text_col replaced, and a column n_entities added last.
 
+    Names have up to three words, initials and particles (a particle stays, as it names nobody).
     key: a secret of the caller; whoever has it can repeat the replacements, and nobody else.
     Single family names without a title, and full names that nowhere stand with one and
     whose given name is none of the common ones, are not taken for names.
@@ -251,7 +279,7 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     docs = docs.drop(*({"n_entities"} & set(docs.columns)))
     text = F.col(text_col)
     of = lambda pattern, group: F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), of(ANY, 0).alias("found"), of(PAIR, 1).alias("pairs"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), of(ANY, 0).alias("found"), F.array_union(of(PAIR, 1), of(TRIPLE, 1)).alias("pairs"))
     rows = cut(rows.where("size(found) > 0 or size(pairs) > 0").dropDuplicates(["id", "text_hash"]), "found")
     flat = rows.select("id", "text_hash", F.explode("found").alias("value"))
     values = flat.select("value").distinct().select("value", kind_of(F.col("value")).alias("kind"))
@@ -274,7 +302,7 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     inside = inside.join(written, "value").groupBy("id", "text_hash").agg(F.collect_set(F.struct("value", "new")).alias("s"), F.array_sort(F.collect_set("name")).alias("names"))
     inside = cut(inside.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.map_from_entries("s").alias("__new"), F.col("names").alias("__names")), "replacements")
     joined = docs.join(inside.hint("merge"), docs[id_col].eqNullSafe(inside["__id"]) & (F.xxhash64(docs[text_col]) == inside["__hash"]), "left")
-    pattern = F.when(F.size("__names") > 0, F.concat(F.lit(f"{ANY}|{START}(?:"), F.array_join("__names", "|"), F.lit(f"){END}"))).otherwise(F.lit(ANY))
+    pattern = F.when(F.size("__names") > 0, F.concat(F.lit(f"{START}(?:"), F.array_join(F.reverse("__names"), "|"), F.lit(f"){END}|{ANY}"))).otherwise(F.lit(ANY))
     joined = joined.withColumn("__found", F.when(F.col("__new").isNotNull(), F.regexp_extract_all(docs[text_col], pattern, F.lit(0))))
     pieces = F.split(docs[text_col], pattern, -1)
     put = F.array_join(F.flatten(F.zip_with(pieces, F.col("__found"), lambda a, b: F.array(a, F.coalesce(F.try_element_at("__new", b), b, F.lit(""))))), "")
