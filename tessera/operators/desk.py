@@ -71,10 +71,10 @@ def momentum_within(means: DataFrame, steps: tuple[int, ...], least: int) -> Dat
     return marked.withColumns({f"mom_{k}": safe_div("__m", F.lag("__m", k).over(w)) - 1 for k in steps}).drop("__m")
 
 
-def unfinished(ticks: DataFrame, last_hour: int) -> DataFrame:
-    """Days whose last quote came before the hour of the close although there was activity: date, last, quotes."""
+def unfinished(ticks: DataFrame, close: str) -> DataFrame:
+    """Days whose last quote came before the close (HH:mm) although there was activity: date, last, quotes."""
     days = ticks.groupBy(F.to_date("ts").alias("date")).agg(F.max("ts").alias("last"), F.count(F.when(F.col("value") > 0, 1)).alias("quotes"))
-    return days.where((F.hour("last") < last_hour) & (F.col("quotes") > 0))
+    return days.where((F.date_format("last", "HH:mm") < close) & (F.col("quotes") > 0))
 
 
 def changed_since(values: DataFrame, days: tuple[int, ...], splits: DataFrame | None = None) -> DataFrame:

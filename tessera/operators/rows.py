@@ -241,16 +241,17 @@ def latest_value(rows: DataFrame, key: str, value: str, time: str) -> DataFrame:
 def knowable(disclosed: DataFrame, ts: str, calendar: DataFrame, close_hour: int = 15) -> DataFrame:
     """``disclosed`` with knowable: the first trading day on which it could be acted on: the same day before the close, else the next one.
 
-    calendar (date) has a row a trading day.
+    calendar (date) has a row a trading day. Each trading day stands for the days since the one
+    before it, so rows look their day up in a table of days; days beyond the calendar are null.
     """
-    from tessera.operators.joins import asof
-
     day = F.to_date(ts)
-    wanted = disclosed.withColumn("__day", F.when(F.hour(ts) >= close_hour, F.date_add(day, 1)).otherwise(day)).withColumn("__all", F.lit(0))
-    # the next day of the calendar is the last one not after it, looking backwards in time
-    back = calendar.select(F.lit(0).alias("__all"), F.date_sub(F.lit("2200-01-01").cast("date"), F.datediff("date", F.lit("1900-01-01").cast("date"))).alias("__t"), F.col("date").alias("knowable"))
-    turned = wanted.withColumn("__turn", F.date_sub(F.lit("2200-01-01").cast("date"), F.datediff("__day", F.lit("1900-01-01").cast("date"))))
-    return asof(turned, back, "__all", "__turn", "__t", ["knowable"]).drop("__day", "__all", "__turn")
+    wanted = disclosed.withColumn("__day", F.when(F.hour(ts) >= close_hour, F.date_add(day, 1)).otherwise(day))
+    days = calendar.select("date").distinct().withColumn("__before", F.lag("date").over(Window.orderBy("date")))  # a row a date
+    first = days.agg(F.min("date").alias("__first"))
+    since = F.coalesce(F.date_add("__before", 1), F.col("date"))
+    looked = days.select(F.col("date").alias("knowable"), F.explode(F.sequence(since, F.col("date"))).alias("__day"))
+    out = wanted.crossJoin(F.broadcast(first)).withColumn("__day", F.greatest("__day", "__first"))  # one row on the right
+    return out.join(looked, "__day", "left").drop("__day", "__first")
 
 
 def shares_of_weight(rows: DataFrame, by: list[str], weight: str, value: str, to: str) -> DataFrame:

@@ -151,9 +151,9 @@ def evaluated(panel: DataFrame, strategies: dict[str, Strategy]) -> DataFrame:
 
 
 def basic_filter(
-    panel: DataFrame, least_price: float = 0.0, least_amount: float = 0.0, prefixes: tuple[str, ...] = (), excluded: str | None = None, listed_after: int = 0
+    panel: DataFrame, least_price: float = 0.0, least_amount: float = 0.0, prefixes: tuple[str, ...] = (), excluded: str | None = None, listed_after: int = 0, name: str = "name"
 ) -> DataFrame:
-    """Rows that pass the floors of price and amount, symbol prefixes, a pattern of excluded names and a minimum age in bars."""
+    """Rows that pass the floors of price and amount, symbol prefixes, a pattern of excluded names (column ``name``; a missing name passes) and a minimum age in bars."""
     out = panel.where((c("close") >= least_price) & (c("amount") >= least_amount))
     if prefixes:
         match = F.lit(False)
@@ -161,7 +161,7 @@ def basic_filter(
             match = match | c("symbol").cast("string").startswith(p)
         out = out.where(match)
     if excluded:
-        out = out.where(~c("symbol").cast("string").rlike(excluded))
+        out = out.where(~F.coalesce(c(name).rlike(excluded), F.lit(False)))
     if listed_after:
         out = out.withColumn("__age", F.row_number().over(S.spec)).where(c("__age") > listed_after).drop("__age")
     return out
@@ -208,12 +208,19 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def condition(spec: dict, columns: set[str]) -> Column:
-    """Column of one stored condition {left, op, right, leftDays, rightDays}; right is a column or a value. Undecided: false."""
+    """Column of one stored condition {left, op, right, leftDays, rightDays}; right is a column or a value. Undecided: false.
+
+    Only an equality or ``contains`` takes text for a value; elsewhere text must name a column.
+    """
     if spec["op"] not in OPERATORS:
         raise ValueError(f"unknown operator {spec['op']!r}")
     if spec["left"] not in columns:
         raise ValueError(f"unknown field {spec['left']!r}")
 
+    right = spec["right"]
+    if isinstance(right, str) and right not in columns and spec["op"] not in ("==", "!=", "contains"):
+        raise ValueError(f"unknown field {right!r}")
+
     def side(value, days: int) -> Column:
         if isinstance(value, str) and value in columns:
             return S.delay(value, days) if days else F.col(value)

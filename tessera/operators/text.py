@@ -76,7 +76,7 @@ def _candidates(rows: DataFrame, on: list[str], least: float) -> DataFrame:
 
 def similar_headlines(docs: DataFrame, key: str, text: str, least: float, block: list[str]) -> DataFrame:
     """Pairs (a, b) in one block whose headlines' n-grams are similar; rows with equal headlines are one, known by the smallest key."""
-    heads = docs.select(*block, F.lower(F.substring(clean(F.col(text)), 1, 60)).alias("head"), F.col(key).alias("key")).groupBy(*block, "head").agg(F.min("key").alias("key"))
+    heads = docs.select(*block, F.lower(clean(F.col(text))).alias("head"), F.col(key).alias("key")).groupBy(*block, "head").agg(F.min("key").alias("key"))
     g = heads.select(*block, "key", grams(F.col("head")).alias("g"))
     found = _candidates(g, block, least)
     x, y = g.select(F.col("key").alias("a"), F.col("g").alias("x"), *block), g.select(F.col("key").alias("b"), F.col("g").alias("y"), *block)

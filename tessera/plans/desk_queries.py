@@ -77,9 +77,9 @@ def sector_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("member", F.col("start").cast("timestamp_ntz").alias("start"), "symbols", "mom_1", "mom_3", "mom_5"), digits=5)
 
 
-@query("SELECT CAST(ts AS DATE) AS date, max(ts) AS last, count(*) FILTER (value > 0) AS quotes FROM events GROUP BY 1 HAVING hour(max(ts)) < 24 AND count(*) FILTER (value > 0) > 0")
+@query("SELECT CAST(ts AS DATE) AS date, max(ts) AS last, count(*) FILTER (value > 0) AS quotes FROM events GROUP BY 1 HAVING strftime(max(ts), '%H:%M') < '23:55' AND count(*) FILTER (value > 0) > 0")
 def unfinished_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return desk.unfinished(ticks(spark, sf_dir), 24)
+    return desk.unfinished(ticks(spark, sf_dir), "23:55")
 
 
 @query(f"""WITH {_FLOWS}, sp AS (SELECT s_suppkey AS symbol, DATE '1996-01-01' AS since, 2.0 AS ratio FROM supplier WHERE s_suppkey % 3 = 0), v AS (SELECT f.symbol, f.date, abs(net) + 1000 AS value, (abs(net) + 1000) / coalesce(CASE WHEN f.date >= since THEN ratio END, 1) AS adj FROM flows f LEFT JOIN sp ON sp.symbol = f.symbol),

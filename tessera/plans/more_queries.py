@@ -100,12 +100,13 @@ def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.named(table(spark, sf_dir, "documents"), "doc_id", "text", _NAMES)
 
 
-@query(f"""WITH m AS (SELECT doc_id, source, name, count(*) AS n FROM (SELECT doc_id, source, unnest(regexp_extract_all(coalesce(text, ''), '{_BY_NAME}')) AS name FROM documents) GROUP BY ALL), s AS (SELECT name, source, CASE WHEN doc_id BETWEEN 100 AND 400 THEN 'now' WHEN doc_id < 100 THEN 'before' END AS w, 1 + ln(sum(n)) AS s FROM m WHERE doc_id <= 400 GROUP BY 1, 2, 3),
+@query(f"""WITH m AS (SELECT doc_id, source, name, count(*) AS n FROM (SELECT doc_id, source, unnest(regexp_extract_all(coalesce(text, ''), '{_BY_NAME}')) AS name FROM documents) GROUP BY ALL), s AS (SELECT name, source, CASE WHEN doc_id >= last // 2 THEN 'now' ELSE 'before' END AS w, 1 + ln(sum(n)) AS s FROM m CROSS JOIN (SELECT max(doc_id) AS last FROM documents) GROUP BY 1, 2, 3),
   b AS (SELECT name, coalesce(sum(s) FILTER (w = 'now'), 0) AS score, coalesce(sum(s) FILTER (w = 'before'), 0) AS baseline FROM s GROUP BY 1) SELECT name, round(score, 5) AS score, round(baseline, 5) AS baseline, round(score / (baseline + 1), 5) AS growth FROM b""")
 def mention_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    last = docs.agg(F.max("doc_id")).first()[0]
     found = text.named(docs, "doc_id", "text", _NAMES).join(docs.select("doc_id", "source"), "doc_id").withColumnRenamed("doc_id", "at")
-    return rounded(text.growth(found, 100, 400), digits=5)
+    return rounded(text.growth(found, last // 2, last), digits=5)
 
 
 @query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS media FROM documents) SELECT min(doc_id) AS doc_id, CASE WHEN length(regexp_replace(t, '\s+', '', 'g')) < 400 AND media <> '' THEN sha256(media) ELSE sha256(lower(regexp_replace(t, '[ \t\n\x0B\f\r]+', '', 'g'))) END AS fp FROM t GROUP BY 2""")
@@ -116,15 +117,15 @@ def media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fp")
 
 
-_HEAD = r"lower(left(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 80))"
+_HEAD = r"lower(trim(regexp_replace(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')))"
 
 
 def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.lower(F.substring(text.clean(F.col("text")), 1, 80))
-    return table(spark, sf_dir, "documents").where(~F.coalesce(F.col("text"), F.lit("")).contains("<")).select("doc_id", "lang", head.alias("head"), F.timestamp_seconds(F.col("doc_id") * 60).alias("ts"))
+    head = F.lower(text.clean(F.substring_index("text", "\n", 1)))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", head.alias("head"), F.timestamp_seconds(F.col("doc_id") * 60).alias("ts"))
 
 
-@query(f"""WITH RECURSIVE h AS (SELECT doc_id, lang, {_HEAD} AS head FROM documents WHERE NOT contains(coalesce(text, ''), '<')), g AS (SELECT *, list_distinct(CASE WHEN length(trim(head)) >= 2 THEN list_transform(range(1, length(trim(head))), lambda i: trim(head)[i:i + 1]) ELSE [trim(head)] END) AS g FROM h),
+@query(f"""WITH RECURSIVE h AS (SELECT doc_id, lang, {_HEAD} AS head FROM documents), g AS (SELECT *, list_distinct(CASE WHEN length(trim(head)) >= 2 THEN list_transform(range(1, length(trim(head))), lambda i: trim(head)[i:i + 1]) ELSE [trim(head)] END) AS g FROM h),
   p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.lang = b.lang AND a.doc_id < b.doc_id AND (b.doc_id - a.doc_id) * 60 <= 6000 WHERE len(list_intersect(a.g, b.g)) >= 0.6 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))),
   w AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT doc_id, doc_id AS l FROM h UNION SELECT w.b, r.l FROM r JOIN w ON w.a = r.doc_id) SELECT doc_id, min(l) AS cluster FROM r GROUP BY 1""")
 def news_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,9 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.search(docs, ["text", "source"], "100%").select("doc_id").union(text.search(docs, ["text"], "the_").select("doc_id")).distinct()
 
 
-@query("SELECT source, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id BETWEEN 10 AND 600 GROUP BY 1")
+@query("SELECT source, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id BETWEEN (SELECT max(doc_id) // 10 FROM documents) AND (SELECT max(doc_id) * 6 // 10 FROM documents) GROUP BY 1")
 def archive_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.col("doc_id").between(10, 600))
+    docs = table(spark, sf_dir, "documents")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    rows = docs.where(F.col("doc_id").between(last // 10, last * 6 // 10))
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("n_chars").alias("chars"))

@@ -289,11 +289,11 @@ def sliding_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(events.sliding(ticks(spark, sf_dir), "2 hours", "1 hour"), digits=4).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts, value FROM events WHERE event_id % 50 = 0) SELECT e.event_id, count(t.ts) AS ticks, round(sum(t.value), 4) AS flow, round(last(t.value ORDER BY t.ts) / nullif(e.value, 0) - 1, 5) AS moved FROM e LEFT JOIN events t ON t.user_id = e.user_id AND t.ts > e.ts AND t.ts <= e.ts + INTERVAL 48 HOUR GROUP BY e.event_id, e.value""")
+@query("""WITH e AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase') SELECT e.event_id, count(t.ts) AS ticks, round(sum(t.value), 4) AS flow, round(last(t.value ORDER BY t.ts) / nullif(e.value, 0) - 1, 5) AS moved FROM e LEFT JOIN events t ON t.user_id = e.user_id AND t.ts > e.ts AND t.ts <= e.ts + INTERVAL 48 HOUR GROUP BY e.event_id, e.value""")
 def event_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What followed each event on its symbol within two days, after it and not before."""
+    """What followed each purchase on its symbol within two days, after it and not before."""
     e = table(spark, sf_dir, "events")
-    marks = e.where("event_id % 50 = 0").select("event_id", F.col("user_id").alias("symbol"), "ts", "value")
+    marks = e.where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("symbol"), "ts", "value")
     out = events.confirmed(marks, ticks(spark, sf_dir), 48)
     return out.select("event_id", "ticks", even("flow", 4).alias("flow"), even("moved", 5).alias("moved"))
 
@@ -309,9 +309,9 @@ def layered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.layered(table(spark, sf_dir, "documents"), "doc_id", "text", _LAYERS)
 
 
-@query(r"""WITH h AS (SELECT min(doc_id) AS k, source, lower(left(trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 60)) AS head FROM documents GROUP BY source, 3),
+@query(r"""WITH h AS (SELECT min(doc_id) AS k, source, lower(trim(regexp_replace(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS head FROM documents GROUP BY source, 3),
   g AS (SELECT *, list_distinct(CASE WHEN length(head) >= 2 THEN list_transform(range(1, length(head)), lambda i: head[i:i + 1]) ELSE [head] END) AS g FROM h)
   SELECT least(a.k, b.k) AS a, greatest(a.k, b.k) AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.source = b.source AND a.k < b.k WHERE len(list_intersect(a.g, b.g)) >= 0.6 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))""")
 def similar_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents of one source whose first sixty characters are alike."""
-    return text.similar_headlines(table(spark, sf_dir, "documents"), "doc_id", "text", 0.6, ["source"])
+    """Pairs of documents of one source whose headlines (first lines) are alike."""
+    return text.similar_headlines(table(spark, sf_dir, "documents").withColumn("head", F.substring_index("text", "\n", 1)), "doc_id", "head", 0.6, ["source"])
