@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import joins, limits, market, screen, text
 from tessera.plans.market_queries import _RATIOS, REGIME, changed, regimes
 from tessera.plans.panel import float_shares, membership, table, ticks
+from tessera.plans.row_queries import HEADLINE
 from tessera.plans.pattern_queries import LADDER, flagged
 from tessera.plans.queries import BARS, MEMBERS, ROLL, STRATEGY_SQL, even, query, rnd, rolled, rounded, week
 from tessera.plans.research_queries import _REPORTS, reports
@@ -117,11 +118,11 @@ def media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fp")
 
 
-_HEAD = r"lower(trim(regexp_replace(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')))"
+_HEAD = r"lower(trim(regexp_replace(regexp_replace(regexp_extract(coalesce(text, ''), '^[^\n.!?]*'), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')))"
 
 
 def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.lower(text.clean(F.substring_index("text", "\n", 1)))
+    head = F.lower(text.clean(F.regexp_extract("text", HEADLINE, 0)))
     return table(spark, sf_dir, "documents").select("doc_id", "lang", head.alias("head"), F.timestamp_seconds(F.col("doc_id") * 60).alias("ts"))
 
 

@@ -309,9 +309,13 @@ def layered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.layered(table(spark, sf_dir, "documents"), "doc_id", "text", _LAYERS)
 
 
-@query(r"""WITH h AS (SELECT min(doc_id) AS k, source, lower(trim(regexp_replace(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS head FROM documents GROUP BY source, 3),
+#: A headline is the first sentence of the first line, whole.
+HEADLINE = "^[^\\n.!?]*"
+
+
+@query(r"""WITH h AS (SELECT min(doc_id) AS k, source, lower(trim(regexp_replace(regexp_replace(regexp_extract(coalesce(text, ''), '^[^\n.!?]*'), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS head FROM documents GROUP BY source, 3),
   g AS (SELECT *, list_distinct(CASE WHEN length(head) >= 2 THEN list_transform(range(1, length(head)), lambda i: head[i:i + 1]) ELSE [head] END) AS g FROM h)
   SELECT least(a.k, b.k) AS a, greatest(a.k, b.k) AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.source = b.source AND a.k < b.k WHERE len(list_intersect(a.g, b.g)) >= 0.6 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))""")
 def similar_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents of one source whose headlines (first lines) are alike."""
-    return text.similar_headlines(table(spark, sf_dir, "documents").withColumn("head", F.substring_index("text", "\n", 1)), "doc_id", "head", 0.6, ["source"])
+    """Pairs of documents of one source whose headlines (first sentences) are alike."""
+    return text.similar_headlines(table(spark, sf_dir, "documents").withColumn("head", F.regexp_extract("text", HEADLINE, 0)), "doc_id", "head", 0.6, ["source"])
