@@ -151,6 +151,55 @@ def folds(dates: DataFrame, n: int, purge: int, embargo: int) -> DataFrame:
     return each.withColumn("part", part).where("part is not null").select("fold", "date", "part")
 
 
+def nested_folds(dates: DataFrame, train: int, test: int, step: int, inner_train: int, inner_test: int, inner_step: int, purge: int) -> DataFrame:
+    """(fold, inner, part, date): rolling folds of ``train`` dates, ``purge`` dates left out, and ``test`` dates, moved on by ``step``.
+
+    inner is null for the fold's own train and test; within its train lie the inner folds,
+    none of which reaches beyond it. Folds that do not fit whole are left out; none fits, no rows.
+    """
+    if inner_train + purge + inner_test > train:
+        raise ValueError("no inner fold fits into the training dates")
+    placed = dates.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)  # a row a date
+    number = placed.agg(F.count("*").alias("n"))
+    last = F.floor((F.col("n") - (train + purge + test)) / step)
+    outer = number.where(F.col("n") >= train + purge + test).select(F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("fold"))
+    start = F.col("fold") * step
+    span = lambda inner, part, lo, size: F.struct(inner.cast("long").alias("inner"), F.lit(part).alias("part"), lo.cast("long").alias("lo"), (lo + size - 1).cast("long").alias("hi"))
+    spans = [span(F.lit(None), "train", start, train), span(F.lit(None), "test", start + train + purge, test)]
+    for j in range((train - inner_train - purge - inner_test) // inner_step + 1):
+        at = start + j * inner_step
+        spans += [span(F.lit(j), "train", at, inner_train), span(F.lit(j), "test", at + inner_train + purge, inner_test)]
+    each = outer.select("fold", F.explode(F.array(*spans)).alias("s")).select("fold", "s.inner", "s.part", F.explode(F.sequence("s.lo", "s.hi")).alias("i"))
+    return each.join(placed, "i").select("fold", "inner", "part", "date")
+
+
+def walk_forward(daily: DataFrame, folds: DataFrame) -> DataFrame:
+    """Per fold the factor that did best on its inner tests, and how it did on the dates after.
+
+    daily: (date, factor, ic); folds: of ``nested_folds``. A factor's direction is the sign of
+    its mean on a part's training dates, so nothing of a test chooses. Returns fold, factor,
+    inner_ic (mean over inner tests, in the direction of each), inner_folds, train_ic, test_ic
+    (in the direction of the fold's training), days. Ties go to the first name.
+    """
+    parts = folds.join(daily.where("ic is not null"), "date").groupBy("fold", "inner", "factor").agg(
+        F.avg(F.when(F.col("part") == "train", F.col("ic"))).alias("seen"), F.avg(F.when(F.col("part") == "test", F.col("ic"))).alias("unseen"), F.count(F.when(F.col("part") == "test", 1)).alias("days")
+    )
+    way = F.when(F.col("seen") >= 0, 1).when(F.col("seen") < 0, -1)
+    parts = parts.withColumn("out", F.col("unseen") * way)
+    inner = parts.where("inner is not null and out is not null").groupBy("fold", "factor").agg(F.avg("out").alias("inner_ic"), F.count("*").alias("inner_folds"))
+    best = inner.groupBy("fold").agg(F.min(F.struct((-F.round("inner_ic", 9)).alias("worst"), "factor", "inner_ic", "inner_folds")).alias("b")).select("fold", "b.factor", "b.inner_ic", "b.inner_folds")
+    after = parts.where("inner is null").select("fold", "factor", (F.col("seen") * way).alias("train_ic"), F.col("out").alias("test_ic"), "days")
+    return best.join(after, ["fold", "factor"], "left")
+
+
+def out_of_sample(walked: DataFrame) -> DataFrame:
+    """One row over all folds of ``walk_forward``: folds, mean and ratio of the test correlations, share of positive ones, what is kept of the inner score."""
+    return walked.agg(
+        F.count("test_ic").alias("folds"), F.avg("test_ic").alias("test_ic"), safe_div(F.avg("test_ic"), F.stddev_pop("test_ic")).alias("test_ir"),
+        F.avg(F.when(F.col("test_ic").isNotNull(), (F.col("test_ic") > ZERO).cast("double"))).alias("win_rate"), safe_div(F.avg("test_ic"), F.avg("inner_ic")).alias("kept"),
+    )
+
+
 def attribution(rows: DataFrame, outcome: str, factors: list[str]) -> DataFrame:
     """Per outcome (won or not): number and mean of each factor at entry; rows without an outcome are left out."""
     won = F.when(F.col(outcome).isNotNull(), F.col(outcome) > 0)

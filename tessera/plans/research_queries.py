@@ -117,6 +117,40 @@ def factor_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "factors string, weights string, rank_ic double, ir double, observations long, dates long"))
 
 
+_WALKED = ["annual_vol_20d", "momentum_10d", "momentum_60d", "vol_ratio_5d"]
+#: Dates of a fold's training and test and how far it moves on; the same of inner folds; dates left out between.
+_FOLDS = {"train": 100, "test": 30, "step": 30, "inner_train": 40, "inner_test": 20, "inner_step": 20, "purge": 5}
+_WALK = f"""dn AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM fwd)),
+  fo AS (SELECT DISTINCT unnest(range(0, n - 135 + 1, 30)) AS s FROM dn WHERE n >= 135),
+  sp AS (SELECT s // 30 AS fold, CAST(NULL AS BIGINT) AS inn, s AS a, s + 100 AS b, s + 105 AS c, s + 135 AS d FROM fo UNION ALL SELECT s // 30, j, s + 20 * j, s + 20 * j + 40, s + 20 * j + 45, s + 20 * j + 65 FROM fo, range(0, 2) AS r(j)),
+  u AS (SELECT date, f AS factor, x, y FROM (UNPIVOT (SELECT symbol, date, fwd_1 AS y, {", ".join(_WALKED)} FROM fwd) ON {", ".join(_WALKED)} INTO NAME f VALUE x) WHERE y IS NOT NULL),
+  rk AS (SELECT date, factor, x, {_rank("x", "date", "factor")} AS p, {_rank("y", "date", "factor")} AS q FROM u),
+  ic AS (SELECT date, factor, covar_samp(p, q) / nullif(stddev_samp(p) * stddev_samp(q), 0) AS ic FROM rk GROUP BY ALL HAVING count(DISTINCT x) >= 3),
+  pa AS (SELECT fold, inn, factor, avg(ic) FILTER (i >= a AND i < b) AS seen, avg(ic) FILTER (i >= c AND i < d) AS unseen, count(*) FILTER (i >= c AND i < d) AS days FROM sp JOIN dn ON i >= a AND i < d JOIN ic USING (date) WHERE ic IS NOT NULL GROUP BY ALL),
+  wy AS (SELECT *, CASE WHEN seen >= 0 THEN 1 ELSE -1 END AS way FROM pa WHERE seen IS NOT NULL),
+  inn AS (SELECT fold, factor, avg(unseen * way) AS inner_ic, count(*) AS inner_folds FROM wy WHERE inn IS NOT NULL AND unseen IS NOT NULL GROUP BY ALL),
+  be AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(inner_ic, 9) DESC, factor) AS k FROM inn),
+  wk AS (SELECT be.fold, be.factor, inner_ic, inner_folds, seen * way AS train_ic, unseen * way AS test_ic, days FROM be LEFT JOIN wy ON wy.fold = be.fold AND wy.factor = be.factor AND wy.inn IS NULL WHERE k = 1)"""
+
+
+def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = forward(spark, sf_dir)
+    daily = mining.daily_correlations(panel, _WALKED, against=["fwd_1"]).select("date", F.col("a").alias("factor"), "ic")
+    return factor_test.walk_forward(daily, factor_test.nested_folds(panel.select("date"), **_FOLDS))
+
+
+@query(f"WITH {FORWARD}, {_WALK} SELECT fold, factor, {rnd('inner_ic')} AS inner_ic, inner_folds, {rnd('train_ic')} AS train_ic, {rnd('test_ic')} AS test_ic, days FROM wk")
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factor that each fold's inner folds choose, and what it did on the dates after the fold."""
+    return rounded(walked(spark, sf_dir))
+
+
+@query(f"""WITH {FORWARD}, {_WALK} SELECT count(test_ic) AS folds, {rnd("avg(test_ic)")} AS test_ic, {rnd("avg(test_ic) / nullif(stddev_pop(test_ic), 0)")} AS test_ir, {rnd("avg(CASE WHEN test_ic > 1e-9 THEN 1.0 WHEN test_ic IS NOT NULL THEN 0.0 END)")} AS win_rate,
+  {rnd("avg(test_ic) / nullif(avg(inner_ic), 0)")} AS kept FROM wk""")
+def walk_forward_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(factor_test.out_of_sample(walked(spark, sf_dir)))
+
+
 @query(f"""WITH {FORWARD}, r AS (SELECT date, fwd_1 AS y, round({_rank("momentum_20d", "date")} / count(*) OVER (PARTITION BY date) * 0.6 + {_rank("vol_ratio_5d", "date")} / count(*) OVER (PARTITION BY date) * 0.4, 12) AS x FROM fwd WHERE momentum_20d IS NOT NULL AND vol_ratio_5d IS NOT NULL AND fwd_1 IS NOT NULL),
   k AS (SELECT date, {AVG_RANK.format(x="x")} AS a, {AVG_RANK.format(x="y")} AS b FROM r WHERE date IN (SELECT date FROM r GROUP BY 1 HAVING count(DISTINCT x) >= 2))
   SELECT date, round(covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0), 6) AS ic, count(*) AS n FROM k GROUP BY 1""")

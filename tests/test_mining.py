@@ -10,7 +10,7 @@ import statistics as st
 
 import pytest
 
-from tessera.operators import mining
+from tessera.operators import factor_test, mining
 
 D = dt.date(2024, 1, 1)
 FACTORS = ["a", "b", "c", "d"]
@@ -112,3 +112,38 @@ def test_beam_search(spark):
     assert next(c for c in narrow if len(c.factors) == 2) == next(c for c in whole if len(c.factors) == 2 and best.factors[0] in c.factors)
     assert {len(c.factors) for c in mining.beam_search(df, FACTORS, "y", trials=4)} == {1}
     assert mining.beam_search(df.limit(0), FACTORS, "y") == [] == mining.beam_search(df, [], "y")
+
+
+def test_nested_folds(spark):
+    dates = spark.createDataFrame([(D + dt.timedelta(days=i),) for i in range(50)] * 2, "date date")
+    sizes = {"train": 20, "test": 6, "step": 7, "inner_train": 8, "inner_test": 4, "inner_step": 4, "purge": 2}
+    got = {}
+    for r in factor_test.nested_folds(dates, **sizes).collect():
+        got.setdefault((r["fold"], r["inner"], r["part"]), []).append((r["date"] - D).days)
+    got = {k: sorted(v) for k, v in got.items()}
+    want = {}
+    for f in range(4):  # 7 * 3 + 28 <= 50
+        s = 7 * f
+        want |= {(f, None, "train"): [*range(s, s + 20)], (f, None, "test"): [*range(s + 22, s + 28)]}
+        for j in range(2):  # 4 + 14 <= 20
+            a = s + 4 * j
+            want |= {(f, j, "train"): [*range(a, a + 8)], (f, j, "test"): [*range(a + 10, a + 14)]}
+    assert got == want
+    assert factor_test.nested_folds(dates.limit(5), **sizes).count() == 0
+    with pytest.raises(ValueError, match="inner fold"):
+        factor_test.nested_folds(dates, **(sizes | {"train": 10}))
+
+
+def test_nothing_of_a_test_chooses(spark):
+    """The chosen factor is the best of the inner tests, however it does afterwards; changing the last dates changes no choice."""
+    sizes = {"train": 20, "test": 6, "step": 7, "inner_train": 8, "inner_test": 4, "inner_step": 4, "purge": 2}
+    r = random.Random(5)
+    ics = [(D + dt.timedelta(days=i), f, r.gauss({"good": 0.2, "bad": -0.05, "mid": 0.05}[f], 0.02)) for i in range(28) for f in ("good", "bad", "mid")]
+    turned = [(d, f, -x if (d - D).days >= 22 else x) for d, f, x in ics]
+    made = []
+    for rows_ in (ics, turned):
+        daily = spark.createDataFrame(rows_, "date date, factor string, ic double")
+        made.append(factor_test.walk_forward(daily, factor_test.nested_folds(daily.select("date"), **sizes)).collect())
+    (a,), (b,) = made
+    assert a["factor"] == b["factor"] == "good" and a["inner_ic"] == b["inner_ic"] and a["inner_folds"] == 2 and a["days"] == 6
+    assert a["test_ic"] == pytest.approx(-b["test_ic"]) and a["train_ic"] == pytest.approx(b["train_ic"])
