@@ -46,9 +46,13 @@ def mention_scores(found: DataFrame, source: str) -> DataFrame:
 
 
 def grams(text: Column, n: int = 2) -> Column:
-    """Distinct character n-grams."""
-    size = F.length(text)
-    return F.array_distinct(F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array(text)))
+    """Distinct character n-grams; a shorter text is one. Characters are listed once and put side by side, so long texts cost their length."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    many = F.greatest(F.size(chars) - n + 1, F.lit(0))
+    out = F.slice(chars, 1, many)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(chars, k, many), lambda a, c: F.concat(a, c))
+    return F.array_distinct(F.when(F.length(text) >= n, out).otherwise(F.array(text)))
 
 
 def gram_similarity(a: Column, b: Column) -> Column:
