@@ -60,7 +60,8 @@ TOLD = {
     "ssn": ("(?:SSN|ssn|[Ss]ocial [Ss]ecurity(?: [Nn]umber)?)", "\\d{9}"),
     "passport": ("(?:[Pp]assport|[Rr]eisepass|[Pp]asaporte|[Pp]asseport)(?: [Nn]umber| [Nn]o| [Nn]r)?", "[A-Z]{0,2}\\d{6,9}"),
 }
-ANY = "|".join((*PATTERNS.values(), *[f"(?<={words}\\.?[:#]? ?){number}(?![\\p{{L}}\\p{{N}}]|[.-]\\d)" for words, number in TOLD.values()]))
+#: The number is looked at before the words, which stand behind it: few places hold such a number.
+ANY = "|".join((*PATTERNS.values(), *[f"(?={number}(?![\\p{{L}}\\p{{N}}]|[.-]\\d))(?<={words}\\.?[:#]? ?){number}" for words, number in TOLD.values()]))
 #: Two capitalised words side by side, wherever they begin.
 PAIR = f"{START}(?=({WORD} {WORD}){END})"
 #: Three, of which the middle one may be an initial or a particle.
