@@ -23,6 +23,12 @@ def safe_div(a: str | Column, b: str | Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def unbounded_div(a: str | Column, b: str | Column) -> Column:
+    """a / b of doubles, infinite where b is 0, and NaN where both are; null for null alone."""
+    a, b = _col(a), _col(b)
+    return F.when(b != 0, a / b).when(b == 0, a * float("inf"))
+
+
 @dataclass(frozen=True)
 class Series:
     """Functions that look back along each key."""

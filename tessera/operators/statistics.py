@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.windows import safe_div
+from tessera.functions.windows import safe_div, unbounded_div
 
 YEAR = 252
 #: Fewer values than this give no tail mean. A fixed value.
@@ -88,6 +88,7 @@ def deflated_sharpe(returns: DataFrame, by: str, x: str, expected: float = 0.0)
 def risk(returns: DataFrame, by: str, order: str, x: str, periods: int = YEAR) -> DataFrame:
     """Per group of returns in order: total and annual return, volatility, Sharpe, Sortino, Calmar, largest drawdown, ulcer index,
     system quality, share of gains, profit factor, payoff, Kelly share and mean of the worst twentieth (null below LEAST_TAIL values).
+    Sharpe, Sortino and quality are infinite without a deviation.
     """
     rows = returns.where(F.col(x).isNotNull())
     upto = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -99,8 +100,8 @@ def risk(returns: DataFrame, by: str, order: str, x: str, periods: int = YEAR) -
     n, total = F.count("*"), F.max_by("__nav", order)
     out = valued.groupBy(by).agg(
         n.alias("n"), (total - 1).alias("total"), (F.pow(total, F.lit(periods) / n) - 1).alias("annual"), (F.stddev_samp(x) * periods**0.5).alias("volatility"),
-        (safe_div(F.avg(x), F.stddev_samp(x)) * periods**0.5).alias("sharpe"), (safe_div(F.avg(x), F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), F.lit(2))))) * periods**0.5).alias("sortino"),
-        F.min("__dd").alias("max_drawdown"), F.sqrt(F.avg(F.col("__dd") * F.col("__dd"))).alias("ulcer"), (safe_div(F.avg(x), F.stddev_samp(x)) * F.sqrt(n)).alias("quality"),
+        (unbounded_div(F.avg(x), F.stddev_samp(x)) * periods**0.5).alias("sharpe"), (unbounded_div(F.avg(x), F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), F.lit(2))))) * periods**0.5).alias("sortino"),
+        F.min("__dd").alias("max_drawdown"), F.sqrt(F.avg(F.col("__dd") * F.col("__dd"))).alias("ulcer"), (unbounded_div(F.avg(x), F.stddev_samp(x)) * F.sqrt(n)).alias("quality"),
         F.avg((F.col(x) > NOTHING).cast("double")).alias("win_rate"), safe_div(F.sum(gain), F.sum(loss)).alias("profit_factor"), safe_div(F.avg(gain), F.avg(loss)).alias("payoff"),
         F.when(n >= LEAST_TAIL, F.avg("__tail")).alias("cvar_95"),
     )
