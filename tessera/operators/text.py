@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import ensure_checkpoints
@@ -55,37 +57,55 @@ def grams(text: Column, n: int = 2) -> Column:
     return F.array_distinct(F.when(F.length(text) >= n, out).otherwise(F.array(text)))
 
 
-def gram_similarity(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union)
+#: Bits of a signature, in words of 64, and parts of a group that meet in tasks of their own. Fixed values.
+WORDS, TILES = 8, 4
+
+
+def _codes(text: Column) -> Column:
+    """``grams(text)`` of two characters as numbers, one a gram; a shorter text has a negative one."""
+    points = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long"))
+    pairs = F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda a, c: a * 2**21 + c)
+    return F.array_distinct(F.when(F.size(points) >= 2, pairs).otherwise(F.array(-1 - F.coalesce(F.get(points, F.lit(0)), F.lit(0).cast("long")))))
+
+
+def _signature(codes: Column, word: int) -> Column:
+    """A word of the signature of a set: each bit tells whether an odd number of members fall on it.
+
+    The signatures of two sets differ in at most as many bits as members are in one of them alone.
+    """
+    mine = F.filter(codes, lambda x: F.pmod(F.hash(x), F.lit(64 * WORDS)).between(64 * word, 64 * word + 63))
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda done, x: done.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)))))
 
 
-def _candidates(rows: DataFrame, on: list[str], least: float) -> DataFrame:
-    """Pairs (a, b) of keys that may have a similarity of ``least``; rows: on..., key, g (distinct grams).
+def _alike(rows: DataFrame, on: list[str], least: float, tiles: int = TILES) -> DataFrame:
+    """Pairs (on..., a, b, similarity) of keys, a < b, whose sets g (on..., key, g: distinct numbers, one at least) are as similar as that.
 
-    With grams sorted by how many rows have them, rarest first, two sets as alike as that
-    share one of the first |g| - ceil(least * |g|) + 1 of each. So rows meet through rare grams
-    of their own, not because they share a block.
+    Sets as alike are of like size, so rows meet those of their own class of sizes and the next one. Within the
+    join their signatures are compared first, and full sets only where these allow it; nothing but pairs that are
+    alike leaves it, so what is written grows with rows and results, whatever the number of pairs that meet.
     """
-    flat = rows.select(*on, "key", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    common = flat.groupBy(*on, "gram").agg(F.count("*").alias("held")).where("held > 1")
-    ranked = flat.join(common, [*on, "gram"]).groupBy(*on, "key", "size").agg(F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("s"))
-    # grams that one row alone has come first, and meet nobody
-    alone = F.col("size") - F.size("s")
-    reach = F.greatest(F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - alone, F.lit(0))
-    placed = ranked.select(*on, "key", F.explode(F.slice("s", 1, reach.cast("int"))).alias("x")).select(*on, "key", "x.gram")
-    a, b = placed.withColumnRenamed("key", "a"), placed.withColumnRenamed("key", "b")
-    return a.join(b, [*on, "gram"]).where("a < b").select(*on, "a", "b").distinct()
+    width = max(-math.log(least), 1e-9) * (1 + 1e-9)
+    words = [f"w{i}" for i in range(WORDS)]
+    made = rows.select(*on, "key", "g", F.size("g").alias("n"), F.floor(F.ln(F.size("g")) / width).alias("class"), *[_signature(F.col("g"), i).alias(w) for i, w in enumerate(words)])
+    left = made.withColumn("meet", F.col("class")).withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)))
+    right = made.withColumn("meet", F.explode(F.array(F.col("class"), F.col("class") - 1))).withColumn("tile", F.explode(F.array(*[F.lit(i).cast("long") for i in range(tiles)])))
+    by = [*on, "meet", "tile"]
+    # tasks have little to read and much to compare: as many as the session has, not as their bytes ask for
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (side.select(*by, *[F.col(c).alias(f"{name}_{c}") for c in ("key", "g", "n", "class", *words)]).repartition(parts, *by) for side, name in ((left, "x"), (right, "y")))
+    both = F.col("x_n") + F.col("y_n")
+    apart = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words[1:]), F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))))
+    shared = F.size(F.array_intersect("x_g", "y_g"))
+    once = (F.col("y_class") > F.col("x_class")) | (F.col("x_key") < F.col("y_key"))
+    pairs = left.hint("merge").join(right, by).where(once & (apart <= both * ((1 - least) / (1 + least)) + 1e-6) & (shared / (both - shared) >= least))
+    return pairs.select(*on, F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"), (shared / (both - shared)).alias("similarity"))
 
 
 def similar_headlines(docs: DataFrame, key: str, text: str, least: float, block: list[str]) -> DataFrame:
-    """Pairs (a, b) in one block whose headlines' n-grams are similar; rows with equal headlines are one, known by the smallest key."""
+    """Pairs (a, b) in one block whose headlines' bigrams are similar; rows with equal headlines are one, known by the smallest key."""
     heads = docs.select(*block, F.lower(clean(F.col(text))).alias("head"), F.col(key).alias("key")).groupBy(*block, "head").agg(F.min("key").alias("key"))
-    g = heads.select(*block, "key", grams(F.col("head")).alias("g"))
-    found = _candidates(g, block, least)
-    x, y = g.select(F.col("key").alias("a"), F.col("g").alias("x"), *block), g.select(F.col("key").alias("b"), F.col("g").alias("y"), *block)
-    pairs = found.join(x, [*block, "a"]).join(y, [*block, "b"]).withColumn("similarity", gram_similarity(F.col("x"), F.col("y")))
-    return pairs.where(F.col("similarity") >= least).select("a", "b", F.round("similarity", 6).alias("similarity")).distinct()
+    pairs = _alike(heads.select(*block, "key", _codes(F.col("head")).alias("g")), block, least)
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity")).distinct()
 
 
 def layered(docs: DataFrame, key: str, text: str, layers: dict[str, list[str]]) -> DataFrame:
@@ -130,17 +150,14 @@ def growth(mentions_: DataFrame, since: str, until: str) -> DataFrame:
 def pairs_in_time(docs: DataFrame, key: str, text: str, ts: str, seconds: int, least: float, block: list[str]) -> DataFrame:
     """Pairs (a, b) of one block whose texts' bigrams are similar and whose times lie within ``seconds``. Keys name one row each.
 
-    A row stands in its stretch of time and in the next one, so that near rows share one;
-    within a stretch rows meet through rare grams of their own.
+    A row stands in its stretch of time and in the next one, so that near rows share one.
     """
     at = F.unix_seconds(F.col(ts).cast("timestamp"))
-    rows = docs.select(*block, F.col(key).alias("key"), at.alias("at"), grams(F.lower(clean(F.col(text)))).alias("g"))
+    rows = docs.select(*block, F.struct(F.col(key).alias("key"), at.alias("at")).alias("key"), at.alias("at"), _codes(F.lower(clean(F.col(text)))).alias("g"))
     stretch = F.floor(F.col("at") / seconds)
-    placed = rows.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
-    found = _candidates(placed.select(*block, "stretch", "key", "g"), [*block, "stretch"], least).select("a", "b").distinct()
-    x, y = rows.select(F.col("key").alias("a"), F.col("at").alias("at_a"), F.col("g").alias("x")), rows.select(F.col("key").alias("b"), F.col("at").alias("at_b"), F.col("g").alias("y"))
-    pairs = found.join(x, "a").join(y, "b").where(F.abs(F.col("at_a") - F.col("at_b")) <= seconds)
-    return pairs.where(gram_similarity(F.col("x"), F.col("y")) >= least).select("a", "b")
+    placed = rows.withColumn("stretch", F.explode(F.array(stretch, stretch + 1))).drop("at")
+    pairs = _alike(placed, [*block, "stretch"], least, tiles=1).where(F.abs(F.col("a.at") - F.col("b.at")) <= seconds)
+    return pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
 
 
 def clusters(keys: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
