@@ -91,29 +91,37 @@ class Series:
         """The window's values, oldest first; null until there are n."""
         return self.guarded(_col(x), n, F.collect_list(_col(x)).over(self.frame(n)))
 
-    def rank(self, x, n: int) -> Column:
+    # What follows takes the window's values from ``v``, a column of ``values`` of an earlier step, so that several share them.
+
+    def rank(self, x, n: int, v: Column | None = None) -> Column:
         """Rank of the last value in its window, ties averaged."""
-        v, last = self.values(x, n), _col(x)
+        v, last = self.values(x, n) if v is None else v, _col(x)
         return F.size(F.filter(v, lambda y: y < last)) + (F.size(F.filter(v, lambda y: y == last)) + 1) / 2
 
-    def pctrank(self, x, n: int) -> Column:
-        v, last = self.values(x, n), _col(x)
+    def pctrank(self, x, n: int, v: Column | None = None) -> Column:
+        v, last = self.values(x, n) if v is None else v, _col(x)
         return (F.size(F.filter(v, lambda y: y < last)) + F.size(F.filter(v, lambda y: y <= last)) + 1) / (2 * n)
 
-    def quantile(self, x, n: int, q: float) -> Column:
+    def quantile(self, x, n: int, q: float, v: Column | None = None) -> Column:
         """Nearest value to the q quantile."""
-        return F.get(F.sort_array(self.values(x, n)), F.lit(int((n - 1) * q + 0.5)))
-
-    def qlinear(self, x, n: int, q: float) -> Column:
-        return self.guarded(_col(x), n, F.percentile(_col(x), q).over(self.frame(n)))
-
-    def argmax(self, x, n: int) -> Column:
+        return F.get(F.sort_array(self.values(x, n) if v is None else v), F.lit(int((n - 1) * q + 0.5)))
+
+    def qlinear(self, x, n: int, q: float, v: Column | None = None) -> Column:
+        """The q quantile, between neighbours by their distance."""
+        v = F.sort_array(self.values(x, n) if v is None else v)
+        at = (n - 1) * q
+        low = int(at)
+        if low == at:
+            return F.get(v, F.lit(low)).cast("double")
+        return (low + 1 - at) * F.get(v, F.lit(low)) + (at - low) * F.get(v, F.lit(low + 1))
+
+    def argmax(self, x, n: int, v: Column | None = None) -> Column:
         """Position of the largest value, 1 the oldest, the first of ties."""
-        v = self.values(x, n)
+        v = self.values(x, n) if v is None else v
         return F.array_position(v, F.array_max(v))
 
-    def argmin(self, x, n: int) -> Column:
-        v = self.values(x, n)
+    def argmin(self, x, n: int, v: Column | None = None) -> Column:
+        v = self.values(x, n) if v is None else v
         return F.array_position(v, F.array_min(v))
 
     def slope(self, x, at: str, n: int) -> Column:
