@@ -79,26 +79,35 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def rewritten(spark: SparkSession, path: str, rows: DataFrame, partition: str) -> None:
+def rewritten(spark: SparkSession, path: str, rows: DataFrame, partition: str, aside: bool = True) -> None:
     """Replace the partitions of a table that ``rows`` has.
 
     Rows are written beside the table first, under a name of this run, since Spark can't
-    overwrite what it reads; then one job overwrites the partitions. Rows of a partition are
+    overwrite what it reads (aside false: they do not read it); then one job overwrites the partitions. Rows of a partition are
     brought together first, and a large one split by its size, so that files are few. The
     rows beside it are deleted once the table has them.
     """
-    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows.write.parquet(aside)
-    spark.read.schema(rows.schema).parquet(aside).hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(aside)  # the store's own interface, as the path may be on any
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    if aside:
+        rows.write.parquet(beside)
+        rows = spark.read.schema(rows.schema).parquet(beside)
+    rows.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    if not aside:
+        return
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)  # the store's own interface, as the path may be on any
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def touched(old: DataFrame, rows: DataFrame, partition: str) -> DataFrame:
+    """What ``old`` has in the partitions of ``rows``; the others are not read. The driver holds a value a partition."""
+    return old.where(F.col(partition).isin([r[0] for r in rows.select(partition).distinct().collect()]))
+
+
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], partition: str, order: str) -> None:
     """Merge ``rows`` into a partitioned table, the last by ``order`` of each key staying; only their partitions are written again."""
     old = existing(spark, path)
     if old is not None:
-        rows = old.join(rows.select(partition).distinct(), partition, "left_semi").unionByName(rows, allowMissingColumns=True)
+        rows = touched(old, rows, partition).unionByName(rows, allowMissingColumns=True)
     rewritten(spark, path, keep_last(rows, key, [order]), partition)
 
 
@@ -106,7 +115,7 @@ def replace_days(spark: SparkSession, path: str, rows: DataFrame, key: list[str]
     """Whole (partition, kind, ...) days give way to ``rows``; what the partition holds of other kinds stays."""
     old = existing(spark, path)
     if old is not None:
-        kept = old.join(rows.select(partition).distinct(), partition, "left_semi").join(rows.select(*key).distinct(), key, "left_anti")
+        kept = touched(old, rows, partition).join(rows.select(*key).distinct(), key, "left_anti")
         rows = kept.unionByName(rows, allowMissingColumns=True)
     rewritten(spark, path, rows, partition)
 

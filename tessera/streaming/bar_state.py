@@ -1,7 +1,9 @@
 """Indicators with memory, from a stored state: new bars need no history, corrected bars replay from the last good state.
 
 Two tables under one path. ``bars`` has one row per symbol and date, partitioned by month: the
-bar and the state after it. ``heads`` has the last state of each symbol, a version a batch.
+bar and the numbers that the recursions remember after it; the values of its windows stand
+with a symbol's last bar of a batch alone, as the bars before an earlier one tell them.
+``heads`` has the last state of each symbol, a version a batch.
 A batch of new bars reads the newest heads alone. Where a batch corrects or fills in earlier
 bars, the symbols concerned start again from the state before, and their later bars follow.
 A version that is there already is not applied again, so a repeated batch changes nothing.
@@ -11,12 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tessera.operators.joins import keep_last
-from tessera.sources.files import existing, upsert
+from tessera.sources.files import existing, rewritten, upsert
 
 #: Partitions of the table; with the letter, no reader takes them for numbers or dates.
 MONTH = "yyyy-MM'm'"
@@ -27,11 +29,14 @@ HELD = {"closes": ("close", 60), "highs": ("high", 9), "lows": ("low", 9), "volu
 #: Exponential means: name to weight of a new value.
 MEANS = {**{f"ema{n}": 2 / (n + 1) for n in SPANS}, "e12": 2 / 13, "e26": 2 / 27, "atr_14": 1 / 14, **{f"{side}{n}": 1 / n for side in ("gain", "loss") for n in SMOOTHED}}
 CARRIED = ("dea", "k", "d")
-SHOWN = (
-    "macd_dif", "macd_dea", "macd_hist", *[f"rsi_{n}" for n in SMOOTHED], "kdj_k", "kdj_d", "kdj_j",
-    *[f"ma{n}" for n in SPANS], "vol_ma5", "vol_ratio_5d", "change_pct",
-)
-STATE = "struct<date:date," + ",".join([f"{c}:double" for c in ("close", *MEANS, *CARRIED, *SHOWN)] + [f"{c}:array<double>" for c in HELD]) + ">"
+#: What is read from the windows of a bar.
+WINDOWED = (*[f"ma{n}" for n in SPANS], "vol_ma5", "vol_ratio_5d", "change_pct")
+SHOWN = ("macd_dif", "macd_dea", "macd_hist", *[f"rsi_{n}" for n in SMOOTHED], "kdj_k", "kdj_d", "kdj_j", *WINDOWED)
+#: ``ranged``: whether the bar has a place in its range, and so k and d of its own.
+REMEMBERED = ("date", "close", *MEANS, *CARRIED, "ranged", *WINDOWED)
+TYPES = {"date": "date", "ranged": "boolean"}
+PLAIN = "struct<" + ",".join(f"{c}:{TYPES.get(c, 'double')}" for c in REMEMBERED) + ">"
+STATE = PLAIN[:-1] + "," + ",".join(f"{c}:array<double>" for c in HELD) + ">"
 #: Columns that a user reads.
 INDICATORS = (*[f"ema{n}" for n in SPANS], "atr_14", *SHOWN)
 
@@ -73,30 +78,72 @@ def step(s: Column, b: Column) -> Column:
     def last(m: Column, t: Column, u: Column) -> Column:
         known = t["rsv"].isNotNull()
         d = F.when(known, F.coalesce(u["k"] / 3 + s["d"] * 2 / 3, u["k"])).otherwise(s["d"])
-        rsi = {f"rsi_{n}": 100 - 100 / (1 + m[f"gain{n}"] / F.when(m[f"loss{n}"] != 0, m[f"loss{n}"]).otherwise(1e-12)) for n in SMOOTHED}
         before = _mean(m["volumes"], 5, skip=1)
-        shown = {
-            "macd_dif": t["dif"], "macd_dea": u["dea"], "macd_hist": 2 * (t["dif"] - u["dea"]), **rsi,
-            "kdj_k": F.when(known, u["k"]), "kdj_d": F.when(known, d), "kdj_j": F.when(known, 3 * u["k"] - 2 * d),
+        windowed = {
             **{f"ma{n}": _mean(m["closes"], n) for n in SPANS},
             "vol_ma5": _mean(m["volumes"], 5), "vol_ratio_5d": F.when(before != 0, b["volume"] / before), "change_pct": F.when(prev != 0, b["close"] / prev - 1),
         }
-        fields = [b["date"].alias("date"), b["close"].alias("close"), *[m[c].alias(c) for c in MEANS], u["dea"].alias("dea"), u["k"].alias("k"), d.alias("d")]
-        return F.struct(*fields, *[shown[c].alias(c) for c in SHOWN], *[m[c].alias(c) for c in HELD]).cast(STATE)
+        fields = [b["date"].alias("date"), b["close"].alias("close"), *[m[c].alias(c) for c in MEANS], u["dea"].alias("dea"), u["k"].alias("k"), d.alias("d"), known.alias("ranged")]
+        return F.struct(*fields, *[windowed[c].alias(c) for c in WINDOWED], *[m[c].alias(c) for c in HELD]).cast(STATE)
 
     return _let(F.struct(*means, *held), second)
 
 
+def _plain(s: Column) -> Column:
+    """A state without HELD."""
+    return F.struct(*[s[c].alias(c) for c in REMEMBERED]).cast(PLAIN)
+
+
+def shown(s: Column) -> dict[str, Column]:
+    """SHOWN by name, from a state."""
+    dif = s["e12"] - s["e26"]
+    rsi = {f"rsi_{n}": 100 - 100 / (1 + s[f"gain{n}"] / F.when(s[f"loss{n}"] != 0, s[f"loss{n}"]).otherwise(1e-12)) for n in SMOOTHED}
+    kdj = {"kdj_k": s["k"], "kdj_d": s["d"], "kdj_j": 3 * s["k"] - 2 * s["d"]}
+    return {
+        "macd_dif": dif, "macd_dea": s["dea"], "macd_hist": 2 * (dif - s["dea"]), **rsi,
+        **{c: F.when(s["ranged"], x) for c, x in kdj.items()}, **{c: s[c] for c in WINDOWED},
+    }
+
+
 def replayed(rows: DataFrame, base: DataFrame) -> DataFrame:
     """``rows`` (symbol, date, BAR) with ``state``, each symbol going on from its state in ``base`` (symbol, state), or from none.
 
     A symbol's rows are folded in one task: those of a batch, and those after a corrected bar.
+    HELD is null in the states of all but a symbol's last row.
     """
     bars = F.array_sort(F.collect_list(F.struct("date", *BAR))).alias("__bars")
     grouped = rows.groupBy("symbol").agg(bars).join(base, "symbol", "left")
-    states = F.aggregate("__bars", F.array(F.col("state").cast(STATE)), lambda done, b: F.concat(done, F.array(step(F.element_at(done, -1), b))))
-    made = grouped.select("symbol", F.explode(F.arrays_zip("__bars", F.slice(states, 2, F.size("__bars")).alias("state"))).alias("x"))
-    return made.select("symbol", "x.__bars.date", *[f"x.__bars.{c}" for c in BAR], "x.state")
+
+    def on(done: Column, b: Column) -> Column:
+        # a fold copies what it carries at every step, so windows are carried once and not with every state
+        return _let(step(done["last"], b), lambda now: F.struct(F.concat(done["states"], F.array(_plain(now))).alias("states"), now.alias("last")))
+
+    start = F.struct(F.array().cast(f"array<{PLAIN}>").alias("states"), F.col("state").cast(STATE).alias("last"))
+    folded = grouped.select("symbol", "__bars", F.aggregate("__bars", start, on).alias("__f"))
+    made = folded.select("symbol", F.size("__bars").alias("__n"), F.col("__f.last").alias("__last"), F.posexplode(F.arrays_zip("__bars", F.col("__f.states").alias("state"))).alias("__i", "x"))
+    held = [F.when(F.col("__i") == F.col("__n") - 1, F.col(f"__last.{c}")).alias(c) for c in HELD]
+    state = F.struct(*[F.col(f"x.state.{c}").alias(c) for c in REMEMBERED], *held).cast(STATE)
+    return made.select("symbol", "x.__bars.date", *[f"x.__bars.{c}" for c in BAR], state.alias("state"))
+
+
+def before(stored: DataFrame, late: DataFrame) -> DataFrame:
+    """(symbol, state): the state before ``since`` of each row of ``late`` (symbol, since) that has bars before it.
+
+    Dates alone are compared over the whole table; states are read from the months that hold
+    them, and windows from the month on in which the first of them begins.
+    """
+    most = max(n for _, n in HELD.values())
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
+    dated = stored.select("symbol", "date").join(late, "symbol").where("date < since").withColumn("__n", place).where(F.col("__n") <= most)
+    ends = dated.groupBy("symbol").agg(F.min("date").alias("__first"), F.max("date").alias("__last"))
+    months, first = ends.agg(F.collect_set(F.date_format("__last", MONTH)), F.date_format(F.min("__first"), MONTH)).first()  # a text a month
+    last = stored.where(F.col("month").isin(months)).join(ends, "symbol").where(F.col("date") == F.col("__last")).select("symbol", "state")
+    near = stored.where(F.col("month") >= first).select("symbol", "date", *[of for of, _ in HELD.values()]).join(ends, "symbol").where("date between __first and __last")
+    bars = near.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", *[of for of, _ in HELD.values()]))).alias("__bars"))
+    size = F.size("__bars")
+    held = [F.slice(F.col(f"__bars.{of}"), F.greatest(size - n + 1, F.lit(1)), n).alias(c) for c, (of, n) in HELD.items()]
+    state = F.struct(*[F.col(f"state.{c}").alias(c) for c in REMEMBERED], *held).cast(STATE)
+    return last.join(bars, "symbol").select("symbol", state.alias("state"))
 
 
 def heads(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
@@ -127,19 +174,23 @@ def apply_bars(spark: SparkSession, path: str, batch: DataFrame, version: int) -
         if head is not None:
             since = rows.groupBy("symbol").agg(F.min("date").alias("since"))
             late = since.join(head, "symbol").where("since <= state.date").select("symbol", "since")
-            if not late.isEmpty():
-                stored = spark.read.parquet(f"{path}/bars").join(late, "symbol")
-                after = stored.where("date >= since").join(rows.select("symbol", "date"), ["symbol", "date"], "left_anti")
+            earliest = late.agg(F.min("since")).first()[0]
+            if earliest:
+                stored = spark.read.parquet(f"{path}/bars")
+                after = stored.where(F.col("month") >= f"{earliest:%Y-%m}m").select(*rows.columns).join(late, "symbol").where("date >= since").join(rows.select("symbol", "date"), ["symbol", "date"], "left_anti")
                 replay = rows.unionByName(after.select(*rows.columns))
-                before = stored.where("date < since").groupBy("symbol").agg(F.max_by("state", "date").alias("state"))
-                base = head.join(late, "symbol", "left_anti").unionByName(before)
+                base = head.join(late, "symbol", "left_anti").unionByName(before(stored, late))
         none = rows.select("symbol", F.lit(None).cast(STATE).alias("state")).limit(0)
-        done = replayed(replay, none if base is None else base).withColumn("version", F.lit(version).cast("long")).withColumn("month", F.date_format("date", MONTH)).persist()
-        upsert(spark, f"{path}/bars", done, ["symbol", "date"], "month", "version")
+        done = replayed(replay, none if base is None else base).withColumn("version", F.lit(version).cast("long")).withColumn("month", F.date_format("date", MONTH))
+        if existing(spark, f"{path}/bars") is None:
+            rewritten(spark, f"{path}/bars", done, "month", aside=False)
+        else:
+            done = done.persist()
+            upsert(spark, f"{path}/bars", done, ["symbol", "date"], "month", "version")
         # from what is written, so that heads and bars can't differ; heads come last and make the version count
         first = rows.agg(F.min("date")).first()[0]
         written = spark.read.parquet(f"{path}/bars").where((F.col("month") >= f"{first:%Y-%m}m") & (F.col("version") == version)) if first else None
-        fresh = none if written is None else written.groupBy("symbol").agg(F.max_by("state", "date").alias("state"))
+        fresh = none if written is None else written.where(F.col(f"state.{next(iter(HELD))}").isNotNull()).select("symbol", "state")
         kept = none if head is None else head.join(fresh.select("symbol"), "symbol", "left_anti")
         kept.unionByName(fresh).write.parquet(f"{path}/heads/version={version}")
     finally:
@@ -151,7 +202,8 @@ def apply_bars(spark: SparkSession, path: str, batch: DataFrame, version: int) -
 
 def indicators(spark: SparkSession, path: str) -> DataFrame:
     """symbol, date, BAR and INDICATORS of all stored bars."""
-    return spark.read.parquet(f"{path}/bars").select("symbol", "date", *BAR, *[F.col(f"state.{c}").alias(c) for c in INDICATORS])
+    made = shown(F.col("state"))
+    return spark.read.parquet(f"{path}/bars").select("symbol", "date", *BAR, *[made.get(c, F.col("state")[c]).alias(c) for c in INDICATORS])
 
 
 def stream_bars(bars: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

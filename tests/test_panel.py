@@ -350,3 +350,14 @@ def test_stream_of_bars_applies_each_batch_once(spark, tmp_path):
     bar_state.apply_bars(spark, f"file://{tmp_path}/whole", spark.createDataFrame(rows, BAR_SCHEMA), 0)
     assert stored(spark, path) == stored(spark, f"file://{tmp_path}/whole")
     assert bar_state.heads(spark, path)[1] == 2
+
+
+def test_stored_bars_hold_their_windows_once(spark, tmp_path):
+    """The values of windows stand with a symbol's last bar of a batch, whatever the number of its bars; months that a batch does not touch are not read."""
+    path = f"file://{tmp_path}/state"
+    rows = walk("ab", 70)
+    df = lambda xs: spark.createDataFrame(xs, BAR_SCHEMA)
+    bar_state.apply_bars(spark, path, df([x for x in rows if x[1] < day(68)]), 0)
+    bar_state.apply_bars(spark, path, df([x for x in rows if x[1] >= day(68)]), 1)
+    held = spark.read.parquet(f"{path}/bars").where("state.closes is not null").select("symbol", "date", F.size("state.closes").alias("n")).collect()
+    assert sorted(map(tuple, held)) == [(s, day(n), 60) for s in "ab" for n in (67, 69)]
