@@ -25,20 +25,18 @@ def latest_known(bars: DataFrame, reports: DataFrame) -> DataFrame:
     """``bars`` with qkey, the latest quarter announced before each date; a late report of an older quarter does not take it back."""
     upto = Window.partitionBy("symbol").orderBy("effective_from", "qkey").rowsBetween(Window.unboundedPreceding, 0)
     known = versioned(reports).select("symbol", "effective_from", "qkey").withColumn("qkey", F.max("qkey").over(upto))
-    return asof(bars, known, "symbol", "date", "effective_from", ["qkey"])
+    return asof(bars, known, "symbol", "date", "effective_from", ["qkey"], span=None)  # a symbol's bars in one piece, as windows by symbol have them: nothing is dealt twice
 
 
 def quarters_back(placed: DataFrame, reports: DataFrame, columns: list[str], offsets: list[int]) -> DataFrame:
     """``placed`` (from ``latest_known``) with <column>_<k>: the value of k quarters before the latest known one, if it was known at the date."""
-    out = placed
-    keyed = versioned(reports)
-    for k in offsets:
-        one = keyed.select("symbol", (F.col("qkey") + k).alias("qkey"), F.col("effective_from").alias("__from"), *[F.col(c).alias(f"{c}_{k}") for c in columns])
-        out = out.join(one, ["symbol", "qkey"], "left")
-        for c in columns:
-            out = out.withColumn(f"{c}_{k}", F.when(F.col("__from") <= F.col("date"), F.col(f"{c}_{k}")))
-        out = out.drop("__from")
-    return out
+    at = lambda c, k: F.first(c).over(Window.partitionBy("symbol").orderBy("qkey").rangeBetween(-k, -k))
+    keyed = versioned(reports).select("symbol", "qkey", "effective_from", *columns)
+    # the quarters back of each quarter come together in one sort of the reports, so that bars meet one row
+    back = keyed.select("symbol", "qkey", *[at("effective_from", k).alias(f"__from_{k}") for k in offsets], *[at(c, k).alias(f"{c}_{k}") for k in offsets for c in columns])
+    out = placed.join(back, ["symbol", "qkey"], "left")
+    known = {f"{c}_{k}": F.when(F.col(f"__from_{k}") <= F.col("date"), F.col(f"{c}_{k}")) for k in offsets for c in columns}
+    return out.withColumns(known).drop(*[f"__from_{k}" for k in offsets])
 
 
 def single_quarters(reports: DataFrame, column: str, to: str) -> DataFrame:

@@ -26,10 +26,10 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "week") -> DataFrame:
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", price.alias("p")).alias("at"),
     )
     return trades.groupBy("symbol", "date").agg(
-        F.min_by("price", "at").alias("open"),
+        F.min("at")["p"].alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "at").alias("close"),
+        F.max("at")["p"].alias("close"),
         F.sum("l_quantity").cast("double").alias("volume"),
         F.sum("l_extendedprice").alias("amount"),
     )
