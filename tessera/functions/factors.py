@@ -5,6 +5,10 @@ Stages keep windows unnested: FIRST needs bars with ``indicators.rolling``, SECO
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +21,15 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
+def _of_240(best: Callable[..., Column], of_60: str) -> Column:
+    """The best of 240 bars from that of 60 here and 60, 120 and 180 bars before: a frame that long is gone through for every row."""
+    parts = [_c(of_60), *[S.delay(of_60, n) for n in (60, 120, 180)]]
+    return F.when(reduce(and_, [p.isNotNull() for p in parts]), best(*parts))
+
+
 def first() -> dict[str, Column]:
     ret, volume, amount = _c("change_pct"), _c("volume"), _c("amount")
+    top, bottom = _of_240(F.greatest, "high_60d"), _of_240(F.least, "low_60d")
     return {
         **{f"ma{n}_bias": safe_div("close", f"ma{n}") - 1 for n in (5, 10, 20, 30, 60)},
         "boll_position": safe_div(_c("close") - _c("boll_lower"), _c("boll_upper") - _c("boll_lower")),
@@ -45,8 +56,8 @@ def first() -> dict[str, Column]:
         "obv_trend_20d": safe_div(S.sum(F.signum(ret) * volume, 20), S.mean("volume", 20) * 20),
         "amount_mean_20d": S.mean(amount / 1e8, 20),
         "amihud_20d": S.mean(safe_div(F.abs(ret), amount / 1e8), 20),
-        "position_240d": safe_div(_c("close") - S.min("close", 240), S.max("close", 240) - S.min("close", 240)),
-        "distance_to_high_240d": safe_div("close", S.max("close", 240)) - 1,
+        "position_240d": safe_div(_c("close") - bottom, top - bottom),
+        "distance_to_high_240d": safe_div("close", top) - 1,
     }
 
 
