@@ -161,35 +161,38 @@ class Series:
     def fill(self, x) -> Column:
         return F.last(_col(x), ignorenulls=True).over(self.spec.rowsBetween(Window.unboundedPreceding, 0))
 
-    def streak(self, x: str, island: str) -> Column:
-        """Length of the run of true that ends here; island: column of ``islands``."""
-        run = Window.partitionBy(self.key, island).orderBy(self.order)
-        return F.when(_col(x), F.sum(_col(x).cast("int")).over(run.rowsBetween(Window.unboundedPreceding, 0))).otherwise(0)
-
-    def islands(self, x: str) -> Column:
-        """Number of rows that are not true so far, the same along each run of true."""
-        return F.sum((~F.coalesce(_col(x), F.lit(False))).cast("int")).over(self.spec.rowsBetween(Window.unboundedPreceding, 0))
+    def streak(self, x: str, row: str) -> Column:
+        """Length of the run of true that ends here; row: column of ``row``. The last row that is not true tells it, in the sort of all other frames."""
+        off = F.when(~F.coalesce(_col(x), F.lit(False)), _col(row))
+        return F.when(_col(x), (_col(row) - F.coalesce(F.max(off).over(self.spec.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).cast("long")).otherwise(0)
 
 
 @dataclass(frozen=True)
 class Cross:
     """Functions over all keys of one date."""
 
-    by: str = "date"
+    by: str | tuple[str, ...] = "date"
 
     @property
     def spec(self) -> WindowSpec:
-        return Window.partitionBy(self.by)
+        return Window.partitionBy(*([self.by] if isinstance(self.by, str) else self.by))
 
     def average_rank(self, x) -> Column:
         """Rank from 1 with ties averaged; null for null."""
         x = _col(x)
-        ties = F.count(x).over(Window.partitionBy(self.by, x))
-        return F.when(x.isNotNull(), F.rank().over(Window.partitionBy(self.by).orderBy(x.asc_nulls_last())) + (ties - 1) / 2)
+        return F.when(x.isNotNull(), (F.rank().over(self.ordered(x)) + F.count(x).over(self.ordered(x).rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2)
 
     def rank(self, x) -> Column:
         """Average rank over the number of values."""
-        return self.average_rank(x) / F.count(_col(x)).over(self.spec)
+        return self.average_rank(x) / self.total(x)
+
+    def ordered(self, x) -> WindowSpec:
+        """By the values, null last. What a rank needs comes from one sort in this order: the values up to a row and its ties end where the ties do."""
+        return self.spec.orderBy(_col(x).asc_nulls_last())
+
+    def total(self, x) -> Column:
+        """Number of values, from the sort that ranks them."""
+        return F.count(_col(x)).over(self.ordered(x).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
     def zscore(self, x) -> Column:
         x = _col(x)

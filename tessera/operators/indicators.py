@@ -71,8 +71,8 @@ def recursive_signals() -> dict[str, Column]:
 def streaks(bars: DataFrame) -> DataFrame:
     """Lengths of the runs of rising and of falling closes that end at each bar."""
     moved = bars.withColumn("prev", S.delay("close")).withColumns({"up": F.coalesce(F.col("close") > F.col("prev"), F.lit(False)), "down": F.coalesce(F.col("close") < F.col("prev"), F.lit(False))})
-    marked = moved.withColumns({"up_island": S.islands("up"), "down_island": S.islands("down")})
-    return marked.withColumns({"up_streak": S.streak("up", "up_island"), "down_streak": S.streak("down", "down_island")}).drop("prev", "up", "down", "up_island", "down_island")
+    marked = moved.withColumn("__row", S.row())
+    return marked.withColumns({"up_streak": S.streak("up", "__row"), "down_streak": S.streak("down", "__row")}).drop("prev", "up", "down", "__row")
 
 
 def resample(bars: DataFrame, grain: str) -> DataFrame:

@@ -33,8 +33,7 @@ def flags(bars: DataFrame, free_days: int = 0) -> DataFrame:
     consecutive_limit_ups and consecutive_limit_downs. A symbol's first bar, and its first
     ``free_days`` bars, have no limits.
     """
-    prev = F.when(S.row() > free_days, S.delay("close"))
-    out = bars.withColumn("__prev", prev)
+    out = bars.withColumns({"__row": S.row(), "__prev": S.delay("close")}).withColumn("__prev", F.when(F.col("__row") > free_days, F.col("__prev")))
     out = out.withColumns({"limit_upper": limit_price(F.col("__prev"), F.col("percent")), "limit_lower": limit_price(F.col("__prev"), -F.col("percent"))})
     at_upper, at_lower = F.col("close") >= F.col("limit_upper") - HALF_CENT, F.col("close") <= F.col("limit_lower") + HALF_CENT
     off = F.lit(False)
@@ -46,10 +45,9 @@ def flags(bars: DataFrame, free_days: int = 0) -> DataFrame:
             "signal_limit_down_recovery": F.coalesce((F.col("low") <= F.col("limit_lower") + HALF_CENT) & ~at_lower & (F.col("close") > F.col("open")), off),
         }
     )
-    out = out.withColumns({"__ups": S.islands("signal_limit_up"), "__downs": S.islands("signal_limit_down")})
     return out.withColumns(
-        {"consecutive_limit_ups": S.streak("signal_limit_up", "__ups").cast("int"), "consecutive_limit_downs": S.streak("signal_limit_down", "__downs").cast("int")}
-    ).drop("__prev", "__ups", "__downs")
+        {"consecutive_limit_ups": S.streak("signal_limit_up", "__row").cast("int"), "consecutive_limit_downs": S.streak("signal_limit_down", "__row").cast("int")}
+    ).drop("__prev", "__row")
 
 
 def blocked_entries(flagged: DataFrame, lag: int) -> DataFrame:

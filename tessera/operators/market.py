@@ -56,10 +56,9 @@ def bands(panel: DataFrame) -> DataFrame:
 def relative_percentile(panel: DataFrame, members: DataFrame, value: str) -> DataFrame:
     """(average rank - 1) / (n - 1) of each symbol among its member group per date; null for a group of one."""
     joined = panel.join(members, "symbol").where(F.col(value).isNotNull())
-    by = joined.withColumn("__by", F.struct("date", "member"))
-    x = Cross("__by")
-    n = F.count("*").over(x.spec)
-    return by.withColumn("pct", F.when(n > 1, (x.average_rank(value) - 1) / (n - 1))).select("date", "member", "symbol", "pct")
+    x = Cross(("date", "member"))
+    n = x.total(value)
+    return joined.withColumn("pct", F.when(n > 1, (x.average_rank(value) - 1) / (n - 1))).select("date", "member", "symbol", "pct")
 
 
 def abnormal(panel: DataFrame, days: int = 3, limit: float = 0.2) -> DataFrame:
