@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import factors
 from tessera.functions.windows import Cross
-from tessera.operators import desk, fundamentals, indicators, limits
+from tessera.operators import candles, desk, fundamentals, indicators, limits
 
 BAR = "symbol string, date date, open double, high double, low double, close double, volume double, amount double"
 DAY = dt.date(2024, 1, 1)
@@ -71,3 +71,24 @@ def test_extremes_of_240_bars_come_from_those_of_60(spark):
     for i, r in enumerate(rows[239:], 239):
         last = [x["close"] for x in rows[i - 239 : i + 1]]
         assert r["d"] == r["close"] / max(last) - 1 and r["p"] == (r["close"] - min(last)) / (max(last) - min(last))
+
+
+def largest_method(spark, df) -> int:
+    """Bytes of the largest method that the stages of ``df`` are compiled to."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = df.select("*")._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+
+
+def test_patterns_fit_methods_that_are_compiled(spark):
+    """The JVM goes through a method of over 8,000 bytes without compiling it. Open patterns share their windows."""
+    made = candles.patterns(bars(spark, 30))
+    assert largest_method(spark, made) <= 8000
+    assert plan(made).count("Window [") == 5
+    assert len(made.columns) == 8 + len(candles.PATTERNS) and made.count() == 30
+    few = candles.patterns(bars(spark, 30), ["doji", "engulfing"])
+    assert few.columns[8:] == ["cdl_doji", "cdl_engulfing"]
+    assert few.exceptAll(made.select(few.columns)).count() == 0
