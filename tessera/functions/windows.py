@@ -7,7 +7,7 @@ Spark nests no windows. All frames of one (key, order) share a single sort.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -43,32 +43,36 @@ class Series:
     def frame(self, n: int, end: int = 0) -> WindowSpec:
         return self.spec.rowsBetween(end - n + 1, end)
 
+    def over(self, value: Column, spec: WindowSpec) -> Column:
+        """Every window of the functions below."""
+        return value.over(spec)
+
     def guarded(self, x: Column, n: int, value: Column, end: int = 0) -> Column:
-        return F.when(F.count(x).over(self.frame(n, end)) == n, value)
+        return F.when(self.over(F.count(x), self.frame(n, end)) == n, value)
 
     def mean(self, x, n: int, end: int = 0) -> Column:
-        return self.guarded(_col(x), n, F.avg(_col(x)).over(self.frame(n, end)), end)
+        return self.guarded(_col(x), n, self.over(F.avg(_col(x)), self.frame(n, end)), end)
 
     def std(self, x, n: int, end: int = 0) -> Column:
-        return self.guarded(_col(x), n, F.stddev_samp(_col(x)).over(self.frame(n, end)), end)
+        return self.guarded(_col(x), n, self.over(F.stddev_samp(_col(x)), self.frame(n, end)), end)
 
     def std0(self, x, n: int) -> Column:
-        return self.guarded(_col(x), n, F.stddev_pop(_col(x)).over(self.frame(n)))
+        return self.guarded(_col(x), n, self.over(F.stddev_pop(_col(x)), self.frame(n)))
 
     def sum(self, x, n: int) -> Column:
-        return self.guarded(_col(x), n, F.sum(_col(x)).over(self.frame(n)))
+        return self.guarded(_col(x), n, self.over(F.sum(_col(x)), self.frame(n)))
 
     def max(self, x, n: int, end: int = 0) -> Column:
-        return self.guarded(_col(x), n, F.max(_col(x)).over(self.frame(n, end)), end)
+        return self.guarded(_col(x), n, self.over(F.max(_col(x)), self.frame(n, end)), end)
 
     def min(self, x, n: int, end: int = 0) -> Column:
-        return self.guarded(_col(x), n, F.min(_col(x)).over(self.frame(n, end)), end)
+        return self.guarded(_col(x), n, self.over(F.min(_col(x)), self.frame(n, end)), end)
 
     def skew(self, x, n: int) -> Column:
-        return self.guarded(_col(x), n, F.skewness(_col(x)).over(self.frame(n)))
+        return self.guarded(_col(x), n, self.over(F.skewness(_col(x)), self.frame(n)))
 
     def delay(self, x, n: int = 1) -> Column:
-        return F.lag(_col(x), n).over(self.spec)
+        return self.over(F.lag(_col(x), n), self.spec)
 
     def delta(self, x, n: int) -> Column:
         return _col(x) - self.delay(x, n)
@@ -81,7 +85,7 @@ class Series:
 
     def cov(self, x, y, n: int) -> Column:
         both = F.when(_col(x).isNotNull() & _col(y).isNotNull(), 1)
-        return self.guarded(both, n, F.covar_samp(_col(x), _col(y)).over(self.frame(n)))
+        return self.guarded(both, n, self.over(F.covar_samp(_col(x), _col(y)), self.frame(n)))
 
     def corr(self, x, y, n: int) -> Column:
         """Pearson correlation; null where either side is constant (corr() itself raises there)."""
@@ -89,7 +93,7 @@ class Series:
 
     def values(self, x, n: int) -> Column:
         """The window's values, oldest first; null until there are n."""
-        return self.guarded(_col(x), n, F.collect_list(_col(x)).over(self.frame(n)))
+        return self.guarded(_col(x), n, self.over(F.collect_list(_col(x)), self.frame(n)))
 
     # What follows takes the window's values from ``v``, a column of ``values`` of an earlier step, so that several share them.
 
@@ -125,20 +129,20 @@ class Series:
         return F.array_position(v, F.array_min(v))
 
     def slope(self, x, at: str, n: int) -> Column:
-        """Least-squares slope on the row number ``at``."""
-        return self.guarded(_col(x), n, F.regr_slope(_col(x), F.col(at)).over(self.frame(n)))
+        """Least-squares slope on the row number ``at``, whose variance over n rows is known."""
+        return self.guarded(_col(x), n, self.over(F.covar_pop(_col(x), F.col(at)), self.frame(n)) / F.lit((n * n - 1) / 12)) if n > 1 else F.lit(None).cast("double")
 
     def rsquare(self, x, at: str, n: int) -> Column:
-        return F.when(self.std0(x, n) > 0, self.guarded(_col(x), n, F.regr_r2(_col(x), F.col(at)).over(self.frame(n))))
+        std0 = self.std0(x, n)
+        return F.when(std0 > 0, F.pow(self.slope(x, at, n) * ((n * n - 1) / 12) ** 0.5 / std0, F.lit(2.0)))
 
     def resi(self, x, at: str, n: int) -> Column:
-        """Residual of the line at the last row."""
-        line = F.regr_intercept(_col(x), F.col(at)).over(self.frame(n)) + F.regr_slope(_col(x), F.col(at)).over(self.frame(n)) * F.col(at)
-        return self.guarded(_col(x), n, _col(x) - line)
+        """Residual of the line at the last row, half a window after its mean."""
+        return _col(x) - (self.mean(x, n) + self.slope(x, at, n) * ((n - 1) / 2))
 
     def decay_linear(self, x, at: str, n: int) -> Column:
         """Mean with weights n for the newest to 1 for the oldest."""
-        weighted = F.sum(_col(x) * F.col(at)).over(self.frame(n)) - (F.col(at) - n) * F.sum(_col(x)).over(self.frame(n))
+        weighted = self.over(F.sum(_col(x) * F.col(at)), self.frame(n)) - (F.col(at) - n) * self.over(F.sum(_col(x)), self.frame(n))
         return self.guarded(_col(x), n, weighted / (n * (n + 1) / 2))
 
     def row(self) -> Column:
@@ -167,6 +171,20 @@ class Series:
         return F.when(_col(x), (_col(row) - F.coalesce(F.max(off).over(self.spec.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).cast("long")).otherwise(0)
 
 
+@dataclass(frozen=True)
+class Shared(Series):
+    """Series whose windows become columns of a step of their own, each of them once: Spark computes equal windows of one select as often as they are written."""
+
+    windows: dict[str, Column] = field(default_factory=dict)
+    names: dict[str, str] = field(default_factory=dict)
+
+    def over(self, value: Column, spec: WindowSpec) -> Column:
+        window = value.over(spec)
+        name = self.names.setdefault(str(window), f"__w{len(self.names)}")
+        self.windows.setdefault(name, window)
+        return F.col(name)
+
+
 @dataclass(frozen=True)
 class Cross:
     """Functions over all keys of one date."""

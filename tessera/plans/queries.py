@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import factors
-from tessera.functions.windows import Cross, Series, clamp, log, safe_div, sqrt
+from tessera.functions.windows import Cross, Series, Shared, clamp, log, safe_div, sqrt
 from tessera.operators import factor_test, indicators, joins, market, screen, text
 from tessera.operators.recursive import with_recursive
 from tessera.plans.panel import bars, float_shares, fundamentals, membership, table, ticks
@@ -250,7 +250,7 @@ TS_SQL = {
 }
 
 
-def _ts() -> dict[str, Column]:
+def _ts(S: Series) -> dict[str, Column]:
     c, v = "close", "volume"
     return {
         "ts_mean": S.mean(c, 10), "ts_std": S.std(c, 10), "ts_std0": S.std0(c, 10), "ts_sum": S.sum(c, 10), "ts_max": S.max(c, 10), "ts_min": S.min(c, 10), "ts_delay": S.delay(c, 3), "ts_delta": S.delta(c, 3), "ts_zscore": S.zscore(c, 10),
@@ -261,7 +261,10 @@ def _ts() -> dict[str, Column]:
 
 @query(f"WITH {BARS}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM bars) SELECT symbol, date, {', '.join(f'{rnd(v, 3)} AS {k}' if k not in ('ts_argmax', 'ts_argmin') else f'{v} AS {k}' for k, v in TS_SQL.items())} FROM b")
 def formula_time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(week(spark, sf_dir).withColumn("rn", S.row()).select("symbol", "date", *[v.alias(k) for k, v in _ts().items()]), digits=3)
+    shared = Shared()
+    made = _ts(shared)
+    windowed = week(spark, sf_dir).withColumn("rn", S.row()).withColumns(shared.windows)
+    return rounded(windowed.select("symbol", "date", *[v.alias(k) for k, v in made.items()]), digits=3)
 
 
 AVG_RANK = "(rank() OVER (PARTITION BY date ORDER BY {x}) + (count({x}) OVER (PARTITION BY date, {x}) - 1) / 2)"

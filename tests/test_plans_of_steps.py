@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tessera.functions import factors
-from tessera.functions.windows import Cross
+from tessera.functions.windows import Cross, Shared
 from tessera.operators import candles, desk, fundamentals, indicators, limits
+from tessera.plans import queries
 
 BAR = "symbol string, date date, open double, high double, low double, close double, volume double, amount double"
 DAY = dt.date(2024, 1, 1)
@@ -92,3 +93,42 @@ def test_patterns_fit_methods_that_are_compiled(spark):
     few = candles.patterns(bars(spark, 30), ["doji", "engulfing"])
     assert few.columns[8:] == ["cdl_doji", "cdl_engulfing"]
     assert few.exceptAll(made.select(few.columns)).count() == 0
+
+
+def test_equal_windows_are_computed_once(spark):
+    shared = Shared()
+    made = {"z": shared.zscore("close", 5), "m": shared.mean("close", 5), "r": shared.rank("close", 5), "least": shared.argmin("close", 5), "half": shared.quantile("close", 5, 0.5)}
+    got = bars(spark, 9).withColumns(shared.windows).select("date", "close", *[v.alias(k) for k, v in made.items()])
+    windows = next(x for x in plan(got).splitlines() if "Window [" in x)
+    assert windows.count("windowspecdefinition") == 4  # count, avg, stddev_samp, collect_list
+    rows = got.orderBy("date").collect()
+    assert all(v is None for r in rows[:4] for v in r[2:])
+    for i, r in enumerate(rows[4:], 4):
+        last = [x["close"] for x in rows[i - 4 : i + 1]]
+        assert r["m"] == sum(last) / 5 and r["least"] == last.index(min(last)) + 1 and r["half"] == sorted(last)[2]
+        assert r["r"] == sum(x < r["close"] for x in last) + (last.count(r["close"]) + 1) / 2
+
+
+def test_time_series_compute_equal_windows_once(spark):
+    made = plan(queries.formula_time_series(spark, "/root/testdata/sf0.001"))
+    (windows,) = [x for x in made.splitlines() if "Window [" in x and "row_number" not in x]
+    assert windows.count("windowspecdefinition") == 15 and "regr_" not in windows
+
+
+def test_lines_of_a_window(spark):
+    rows = [("a", DAY + dt.timedelta(days=i), x, i + 1) for i, x in enumerate([1.0, 3.0, 2.0, 6.0, 5.0, 5.0, 5.0, None, 7.0, 9.0, 11.0])]
+    got = spark.createDataFrame(rows, "symbol string, date date, x double, rn int")
+    S = Shared()
+    made = {"slope": S.slope("x", "rn", 3), "r2": S.rsquare("x", "rn", 3), "resi": S.resi("x", "rn", 3), "none": S.slope("x", "rn", 1)}
+    got = got.withColumns(S.windows).select("rn", *[v.alias(k) for k, v in made.items()]).orderBy("rn").collect()
+    values = [r[2] for r in rows]
+    for i, r in enumerate(got):
+        last = values[max(i - 2, 0) : i + 1]
+        assert r["none"] is None
+        if len(last) < 3 or None in last:
+            assert r["slope"] is None and r["r2"] is None and r["resi"] is None
+            continue
+        mean, slope = sum(last) / 3, (last[2] - last[0]) / 2
+        around = sum((x - mean) ** 2 for x in last)
+        assert abs(r["slope"] - slope) < 1e-12 and abs(r["resi"] - (last[2] - mean - slope)) < 1e-12
+        assert r["r2"] is None if not around else abs(r["r2"] - slope * slope * 2 / around) < 1e-12
