@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.windows import Cross, Series, clamp, log, safe_div, sqrt
+from tessera.functions.windows import Cross, Series, Shared, clamp, log, safe_div, sqrt
 
 #: Limits of a formula: depth of its tree, number of its parts, length of a window. Fixed values.
 DEPTH, PARTS, WINDOW = 12, 200, 512
@@ -67,15 +67,13 @@ def _pair(f) -> tuple:
 
 #: Functions along a symbol: number of columns they take before the window, and the column they make.
 ALONG = {
-    "ts_mean": _time(lambda x, n: S.mean(x, n)), "ts_std": _time(lambda x, n: S.std(x, n)), "ts_std0": _time(lambda x, n: S.std0(x, n)), "ts_sum": _time(lambda x, n: S.sum(x, n)),
-    "ts_max": _time(lambda x, n: S.max(x, n)), "ts_min": _time(lambda x, n: S.min(x, n)), "ts_delay": _time(lambda x, n: S.delay(x, n)), "ts_delta": _time(lambda x, n: S.delta(x, n)),
-    "ts_rank": _time(lambda x, n, v: S.rank(x, n, v)), "ts_pctrank": _time(lambda x, n, v: S.pctrank(x, n, v)), "ts_zscore": _time(lambda x, n: S.zscore(x, n)),
-    "ts_corr": _pair(lambda x, y, n: S.corr(x, y, n)), "ts_cov": _pair(lambda x, y, n: S.cov(x, y, n)), "ts_quantile": _time(lambda x, n, q, v: S.quantile(x, n, q, v)), "ts_qlinear": _time(lambda x, n, q, v: S.qlinear(x, n, q, v)),
-    "ts_slope": _time(lambda x, n: S.slope(x, ROW, n)), "ts_rsquare": _time(lambda x, n: S.rsquare(x, ROW, n)), "ts_resi": _time(lambda x, n: S.resi(x, ROW, n)),
-    "ts_argmax": _time(lambda x, n, v: S.argmax(x, n, v)), "ts_argmin": _time(lambda x, n, v: S.argmin(x, n, v)), "decay_linear": _time(lambda x, n: S.decay_linear(x, ROW, n)),
+    "ts_mean": _time(lambda s, x, n: s.mean(x, n)), "ts_std": _time(lambda s, x, n: s.std(x, n)), "ts_std0": _time(lambda s, x, n: s.std0(x, n)), "ts_sum": _time(lambda s, x, n: s.sum(x, n)),
+    "ts_max": _time(lambda s, x, n: s.max(x, n)), "ts_min": _time(lambda s, x, n: s.min(x, n)), "ts_delay": _time(lambda s, x, n: s.delay(x, n)), "ts_delta": _time(lambda s, x, n: s.delta(x, n)),
+    "ts_rank": _time(lambda s, x, n: s.rank(x, n)), "ts_pctrank": _time(lambda s, x, n: s.pctrank(x, n)), "ts_zscore": _time(lambda s, x, n: s.zscore(x, n)),
+    "ts_corr": _pair(lambda s, x, y, n: s.corr(x, y, n)), "ts_cov": _pair(lambda s, x, y, n: s.cov(x, y, n)), "ts_quantile": _time(lambda s, x, n, q: s.quantile(x, n, q)), "ts_qlinear": _time(lambda s, x, n, q: s.qlinear(x, n, q)),
+    "ts_slope": _time(lambda s, x, n: s.slope(x, ROW, n)), "ts_rsquare": _time(lambda s, x, n: s.rsquare(x, ROW, n)), "ts_resi": _time(lambda s, x, n: s.resi(x, ROW, n)),
+    "ts_argmax": _time(lambda s, x, n: s.argmax(x, n)), "ts_argmin": _time(lambda s, x, n: s.argmin(x, n)), "decay_linear": _time(lambda s, x, n: s.decay_linear(x, ROW, n)),
 }
-#: Those of them that look at the window's values, which they take last.
-BY_VALUES = ("ts_rank", "ts_pctrank", "ts_argmax", "ts_argmin", "ts_quantile", "ts_qlinear")
 #: Functions over a date, and functions of one row: least and most arguments, the column they make.
 ACROSS = {"rank": (1, 1, X.rank), "zscore": (1, 1, X.zscore), "winsorize": (1, 2, X.winsorize)}
 BY_ROW = {"log": log, "sqrt": sqrt, "abs": F.abs, "sign": F.signum}
@@ -89,6 +87,7 @@ class Compiler:
     names: frozenset[str]
     steps: dict[int, dict[str, Column]] = field(default_factory=dict)
     known: dict[str, str] = field(default_factory=dict)
+    windows: dict[str, str] = field(default_factory=dict)
 
     def compile(self, text: str) -> Part:
         try:
@@ -198,14 +197,9 @@ class Compiler:
             if name in ("ts_slope", "ts_rsquare", "ts_resi", "decay_linear"):
                 self.steps.setdefault(0, {})[ROW] = S.row()
             steps = max(p.steps for p in taken) + 1
-            if name in BY_VALUES:
-                # the values of a window are gathered once, in a step of their own, for all that look at them
-                key = f"{ast.dump(args[0])} {int(n)}"
-                if key not in self.known:
-                    self.known[key] = f"__f{len(self.known)}"
-                    self.steps.setdefault(steps, {})[self.known[key]] = S.values(taken[0].column, int(n))
-                return Part(make(taken[0].column, int(n), *q, F.col(self.known[key])), steps + 1)
-            return Part(make(*[p.column for p in taken], int(n), *q), steps)
+            # windows are computed once, in a step of their own, for all that look at them
+            shared = Shared(windows=self.steps.setdefault(steps, {}), names=self.windows)
+            return Part(make(shared, *[p.column for p in taken], int(n), *q), steps + 1)
         if name in ACROSS:
             least, most, make = ACROSS[name]
             if not least <= len(args) <= most:
